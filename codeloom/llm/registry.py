@@ -7,15 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality_rules, warc
+from . import bpe, language_model, licenses, line_dedup, media, mixing, near_join, quality_rules, toxicity, warc
 from .common import table
 
 
+def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.vector_media(table(spark, sf_dir, "embeddings"))
+    return media.copy_classes(images).withColumnRenamed("id", "vec_id")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shard", "quota")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_model.train(docs.where(~language_model.held_out(F.col("doc_id"))))
+    return language_model.score_documents(docs, model)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -37,6 +56,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -72,11 +95,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_near_join": op1_near_join,
+        "op2_image_copies": op2_image_copies,
         "op3_source_mix": op3_source_mix,
+        "op4_license_scan": op4_license_scan,
+        "op5_language_model": op5_language_model,
         "op6_bpe": op6_bpe,
         "op7_line_dedup": op7_line_dedup,
         "op8_warc": op8_warc,
         "op9_quality_rules": op9_quality_rules,
+        "op10_toxicity": op10_toxicity,
     }
 
 
