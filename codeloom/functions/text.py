@@ -77,7 +77,8 @@ def percent_delta(before: Column, after: Column) -> Column:
 
 def delta_label(before: Column, after: Column, zero: str) -> Column:
     """Signed percent with one decimal; ``zero`` where there is no base to compare with."""
-    return F.coalesce(F.format_string("%+.1f%%", percent_delta(before, after)), F.lit(zero))
+    percent = percent_delta(before, after)
+    return F.when(percent.isNull(), F.lit(zero)).otherwise(F.format_string("%+.1f%%", percent))
 
 
 def verdict(before: Column, after: Column, lower_is_better: bool = True) -> Column:

@@ -203,3 +203,10 @@ def report(exact: DataFrame, near: DataFrame, compared: int) -> DataFrame:
     )
     return clusters.crossJoin(pairs).withColumn("compared", F.lit(compared))  # one row each
 
+
+
+def cluster_members_by(files: DataFrame, mark: str, k: int = 5) -> DataFrame:
+    """h, path, line of clusters within one version; paths begin with the version and ``mark``."""
+    blocks = windows(files, k).withColumn("version", F.get(F.split("path", mark), F.lit(0)))
+    own = blocks.groupBy("h", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "version")
+    return blocks.join(own, ["h", "version"]).select("h", "path", "line")
