@@ -132,8 +132,8 @@ def sequence_ratio(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def near_pairs_difflib(blocks: DataFrame, cap: int = 4000, least: float = 0.85) -> DataFrame:
     """ratio (2 decimals), a_path, a_line, b_path, b_line of the budget's pairs at or above ``least``."""
     pairs = capped_pairs(first_seen(blocks), cap)
-    near = pairs.where(close_lengths(F.length("a_block"), F.length("b_block")))
     # the filter stays below the Python node: the ratio is computed for close lengths only
+    near = pairs.where(close_lengths(F.length("a_block"), F.length("b_block"))).repartition(32)  # cap + 1 rows at most, each costly
     scored = sequence_ratio(near, "a_block", "b_block").where(F.col("ratio") >= least)
     return scored.select(F.round("ratio", 2).alias("ratio"), "a_path", "a_line", "b_path", "b_line")
 

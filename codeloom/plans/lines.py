@@ -47,7 +47,7 @@ def cluster_sizes_top25(spark, sf_dir):
 def cross_corpus_duplicates(spark, sf_dir):
     bench = tables.table(spark, sf_dir, "benchmark")
     other = bench.select(F.col("item_id").cast("string").alias("path"), F.lit(".txt").alias("ext"), F.col("text").alias("content"))
-    return duplicates.cross_corpus(_blocks(spark, sf_dir, 2), duplicates.windows(other, 2))
+    return duplicates.cross_corpus(_blocks(spark, sf_dir, 1), duplicates.windows(other, 1))
 
 
 def near_pairs_dice(spark, sf_dir):
@@ -59,7 +59,7 @@ def near_pairs_difflib(spark, sf_dir):
 
 
 def conversation_clusters(spark, sf_dir):
-    return duplicates.cluster_sizes(duplicates.windows(tables.conversation_files(spark, sf_dir), 2))
+    return duplicates.cluster_sizes(duplicates.windows(tables.conversation_files(spark, sf_dir), 1))
 
 
 # The path, extension and lines of each document, as SQL.
@@ -185,12 +185,12 @@ FROM (SELECT * FROM melted WHERE r = 0) a JOIN (SELECT * FROM melted WHERE r = 1
     ),
     "cross_corpus_duplicates": (
         cross_corpus_duplicates,
-        f"WITH {FILES}, {BENCH}, {windows_sql(2)}, {windows_sql(2, source='bench', tag='2')} "
+        f"WITH {FILES}, {BENCH}, {windows_sql(1)}, {windows_sql(1, source='bench', tag='2')} "
         "SELECT h, n_left, n_right FROM (SELECT h, count(*) AS n_left FROM w GROUP BY h) JOIN (SELECT h, count(*) AS n_right FROM w2 GROUP BY h) USING (h)",
     ),
     "conversation_clusters": (
         conversation_clusters,
-        f"WITH {TALKS}, {windows_sql(2, source='talks')} SELECT h, count(*) AS n, min((path, line))[1] AS path, min((path, line))[2] AS line "
+        f"WITH {TALKS}, {windows_sql(1, source='talks')} SELECT h, count(*) AS n, min((path, line))[1] AS path, min((path, line))[2] AS line "
         "FROM w GROUP BY h HAVING count(*) > 1",
     ),
     "near_pairs_dice": (near_pairs_dice, NEAR_SQL),
