@@ -219,10 +219,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, params: RuleParams = Ru
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they came."""
-    measured = common.written(measure(docs, ["doc_id", "lang"]), "quality-measures")
-    cutoffs = common.written(calibrate(measured, labels, params), "quality-cutoffs")
+    """The rows of ``docs`` that the rules keep, all columns as they came.
+
+    Rows are written once beside their measures: the verdict then reads columns, where a filter over the
+    measures' expressions would be pushed below them and evaluate each many times.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select(whole, F.col("doc_id"), F.col("lang"), F.col("text"))
-    kept = judge(measure(rows, ["__row", "lang"]), cutoffs, params).where("kept")
-    return kept.select("__row.*")
+    measured = common.written(measure(rows, ["__row", "doc_id", "lang"]), "quality-measures")
+    cutoffs = common.written(calibrate(measured.drop("__row"), labels, params), "quality-cutoffs")
+    return judge(measured, cutoffs, params).where("kept").select("__row.*")
