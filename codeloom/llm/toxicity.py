@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +47,7 @@ class ToxicParams:
     batch_texts: int = 24
     rate: float = 0.01
     seed: int = 3
-    max_gap: int = 2048
+    score_words: int = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,35 +55,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+#: Windows that are read at once: their buffers fit a core's cache.
+CHUNK = 1024
+
 # ---------------------------------------------------------------- inputs
 
 
 class Vocabulary:
-    """Bucket numbers of words and of their character trigrams, remembered per worker."""
-
-    MEMO = 200_000
+    """Bucket numbers of words and of their character trigrams, all words at once."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
-        self.known: dict[str, tuple[int, np.ndarray]] = {}
-
-    def look(self, word: str) -> tuple[int, np.ndarray]:
-        found = self.known.get(word)
-        if found is None:
-            marked = f"<{word[:200]}>"
-            grams = [xxhash.xxh3_64_intdigest(marked[i : i + 3].encode("utf-8", "surrogatepass")) % self.buckets for i in range(len(marked) - 2)]
-            found = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 7) % self.buckets, np.array(grams, np.int32))
-            if len(self.known) >= self.MEMO:
-                self.known.clear()
-            self.known[word] = found
-        return found
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word buckets, all trigram buckets end to end, and where each word's trigrams begin."""
-        found = [self.look(w) for w in words]
-        sizes = np.array([len(x[1]) for x in found], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        return np.array([x[0] for x in found], np.int64), np.concatenate([x[1] for x in found]), begin
+        """Word buckets, all trigram buckets end to end, and where each word's trigrams begin. A word is read as <word>, to 200 code points."""
+        words = [w if len(w) <= 200 else w[:200] for w in words]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 2)
+        marked = "<" + "><".join(words) + ">"
+        code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        mixed = code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + code[2:] * np.uint64(0x165667B19E3779F9)
+        inside = np.ones(len(code), bool)
+        inside[ends - 1] = inside[ends - 2] = False
+        grams = hashing.mix64(mixed[inside[:-2]]) % np.uint64(self.buckets)
+        own = hashing.mix64(hashing.hashes_of(words) + np.uint64(7)) % np.uint64(self.buckets)
+        return own.astype(np.int64), grams.astype(np.int64), np.cumsum(sizes) - sizes
 
 
 def words_of(text: str | None) -> list[str]:
@@ -148,9 +143,13 @@ class Network:
     def inputs(self, table: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Input vectors of distinct words, and their share of the gates."""
         word, grams, begin = table
-        sizes = np.diff(np.append(begin, len(grams)))
-        chars = np.add.reduceat(self.w["char"][grams], begin) / sizes[:, None].astype(np.float32)
-        x = np.concatenate([self.w["word"][word], chars], axis=1)
+        ends = np.append(begin, len(grams))
+        x = np.empty((len(word), self.p.word_dim + self.p.char_dim), self.w["word"].dtype)
+        x[:, : self.p.word_dim] = self.w["word"][word]
+        for at in range(0, len(word), 4096):  # parts that fit the cache
+            lo, hi = at, min(at + 4096, len(word))
+            chars = np.add.reduceat(self.w["char"][grams[ends[lo] : ends[hi]]], begin[lo:hi] - ends[lo])
+            x[lo:hi, self.p.word_dim :] = chars / np.diff(ends[lo : hi + 1])[:, None].astype(np.float32)
         return x, x @ self.w["x"] + self.w["b"]
 
     def _run(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, u: np.ndarray, order, keep: list | None) -> np.ndarray:
@@ -192,6 +191,62 @@ class Network:
             keep.update(mask=mask, both=both, s=s, att=att, pooled=pooled, f=f_keep, b=b_keep)
         return pooled @ self.w["o"] + self.w["ob"][0]
 
+    def logits(self, tables: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """The same logits as ``forward`` without what training keeps: buffers are reused, gates halved in advance.
+
+        tables: the two directions' gates from ``split_gates``.
+        """
+        count, steps = ids.shape
+        h_n = self.p.hidden
+        whole = bool((ids[:, -1] >= 0).all())  # windows end in a word: nothing to mask
+        mask = None if whole else (ids >= 0).astype(np.float32)
+        safe = ids if whole else np.maximum(ids, 0)
+        by_step = np.ascontiguousarray(safe.T)
+        both = np.empty((steps, count, 2 * h_n), np.float32)
+        g, zr, n = np.empty((count, 3 * h_n), np.float32), np.empty((count, 2 * h_n), np.float32), np.empty((count, h_n), np.float32)
+        for side, name in ((0, "uf"), (1, "ub")):
+            table = tables[side]
+            u_zr = np.ascontiguousarray(self.w[name][:, : 2 * h_n] * np.float32(0.5))
+            u_n = np.ascontiguousarray(self.w[name][:, 2 * h_n :])
+            h = np.zeros((count, h_n), np.float32)
+            for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
+                np.take(table, by_step[t], axis=0, out=g)
+                np.matmul(h, u_zr, out=zr)
+                zr += g[:, : 2 * h_n]
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                z, r = zr[:, :h_n], zr[:, h_n:]
+                np.matmul(r * h, u_n, out=n)
+                n += g[:, 2 * h_n :]
+                np.tanh(n, out=n)
+                n -= h
+                n *= z
+                if mask is not None:
+                    n *= mask[:, t, None]
+                h = h + n
+                both[t, :, side * h_n : (side + 1) * h_n] = h
+        s = both.reshape(-1, 2 * h_n) @ self.w["a"]
+        s += self.w["ab"]
+        np.tanh(s, out=s)
+        e = (s @ self.w["v"]).reshape(steps, count)
+        if mask is not None:
+            e = np.where(mask.T > 0, e, np.float32(-1e9))
+        e = np.exp(e - e.max(axis=0))
+        if mask is not None:
+            e *= mask.T
+        value = (both.reshape(-1, 2 * h_n) @ self.w["o"]).reshape(steps, count)
+        return (e * value).sum(axis=0) / np.maximum(e.sum(axis=0), 1e-9) + self.w["ob"][0]
+
+    def split_gates(self, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gates of each direction, those of update and reset halved for the tanh form of the logistic function."""
+        h3, out = 3 * self.p.hidden, []
+        for part in (gates[:, :h3], gates[:, h3:]):
+            part = np.array(part, np.float32, order="C")
+            part[:, : 2 * self.p.hidden] *= 0.5
+            out.append(part)
+        return tuple(out)
+
     def backward(self, d_logit: np.ndarray, table: tuple, x: np.ndarray, ids: np.ndarray, keep: dict) -> dict[str, np.ndarray]:
         """Gradients of all weights, given those of the windows' logits."""
         h_n, w = self.p.hidden, self.w
@@ -317,18 +372,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]
     return max(a, 1e-3), b
 
 
-def best_logits(net: Network, vocab: Vocabulary, texts: list[list[str]], chunk: int = 4096) -> np.ndarray:
+def best_logits(net: Network, vocab: Vocabulary, texts: list[list[str]], chunk: int = CHUNK) -> np.ndarray:
     """Highest window logit per text; -inf for a text without words."""
     best = np.full(len(texts), -np.inf)
     distinct, ids, sizes = numbered(texts)
     if not distinct:
         return best
     _, gates = net.inputs(vocab.table(distinct))
+    tables = net.split_gates(gates)
     rows, owner, lens = windows(ids, sizes, net.p.length, net.p.stride)
     order = np.argsort(lens, kind="stable")  # short windows together
     for at in range(0, len(rows), chunk):
         part = order[at : at + chunk]
-        np.maximum.at(best, owner[part], net.forward(gates, rows[part][:, : max(1, int(lens[part].max()))]))
+        np.maximum.at(best, owner[part], net.logits(tables, rows[part][:, : max(1, int(lens[part].max()))]))
     return best
 
 
@@ -389,7 +445,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, params: ToxicParams = To
                 group.append(words)
                 n_windows.append(len(window_starts(len(words), params.length, params.stride)))
                 size += len(words)
-                if size >= 200_000:
+                if size >= params.score_words:
                     scores += scored(group)
                     group, size = [], 0
             if group:
