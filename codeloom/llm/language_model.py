@@ -10,6 +10,10 @@ totals and the number of followers seen once, twice and more often. What it lear
 many contexts, how often) goes, packed again, to the word shards, which write the third sorted array. All
 texts count; nothing is pruned.
 
+A context that a tenth of a shard's worth of tokens follows (the start mark, the commonest words) is dealt by
+context and word instead, over all shards; its totals are summed afterwards. Which contexts these are is read
+off a sample and bears on placement alone, never on a count.
+
 Files. Arrays lie in the shared folder, one file per shard and array. A task writes under a name of its own
 and the manifest names the files that count, so retried tasks do no harm. Workers map local files into memory;
 from a store without a mount they read the arrays they touch. No array is sent through the driver: it gets
@@ -47,11 +51,14 @@ START = np.uint64(0x57A57A57A57A57A5)
 
 @dataclass(frozen=True)
 class LmParams:
-    """chars_per_shard: text per shard of the model; the number of shards follows the input."""
+    """chars_per_shard: text per shard of the model; the number of shards follows the input. max_spread bounds the
+    contexts that are spread over the shards, sample_texts the texts that they are guessed from."""
 
     chars_per_shard: int = 16_000_000
     flush_tokens: int = 3_000_000
     score_tokens: int = 600_000
+    max_spread: int = 65_536
+    sample_texts: int = 2_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,6 +88,21 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
 
+def among(v: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of v are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(v), bool)
+    return known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v
+
+
+def pair_shard(v: np.ndarray, w: np.ndarray, shards: int, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each pair, and whether its context is spread (spread: sorted hashes)."""
+    wide = among(v, spread)
+    shard = shard_of(v, shards)
+    shard[wide] = shard_of(pair_hash(v[wide], w[wide]), shards)
+    return shard, wide
+
+
 # ---------------------------------------------------------------- arrays
 
 
@@ -168,14 +190,27 @@ def _open(folder: str, name: str) -> list[np.ndarray]:
 # ---------------------------------------------------------------- counting
 
 
-def _count_tasks(shards: int, params: LmParams):
+def frequent_contexts(texts: DataFrame, chars: int, params: LmParams) -> np.ndarray:
+    """Sorted hashes of the start mark and of words that take a tenth of a shard's text or more, most frequent first."""
+    share = min(1.0, params.chars_per_shard / max(chars, 1)) / 10
+    n = texts.count()
+    some = texts.select("text").sample(min(1.0, params.sample_texts / max(n, 1)), seed=1)
+    words = some.select(F.explode(common.blank_words(common.ascii_lower(F.coalesce("text", F.lit(""))))).alias("w"))
+    counts = common.written(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "lm-sample")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("n") >= max(2.0, share * total)).orderBy(F.desc("n"), "w").limit(params.max_spread - 1).collect()
+    found = hashing.hashes_of([r["w"] for r in top])
+    return np.unique(np.append(found, START))
+
+
+def _count_tasks(shards: int, spread: np.ndarray, params: LmParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vs, ws, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             v, w = np.concatenate(vs), np.concatenate(ws)
             v, w, c = merge_pairs(v, w, np.ones(len(v), np.int64))
-            p = shard_of(v, shards)
+            p, _ = pair_shard(v, w, shards, spread)
             order = np.argsort(p, kind="stable")
             p, v, w, c = p[order], v[order], w[order], c[order]
             cut = np.append(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])), len(p))
@@ -204,7 +239,7 @@ def _count_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _pair_shard(folder: str, word_shards: int):
+def _pair_shard(folder: str, word_shards: int, spread: np.ndarray):
     """Merge one shard's pairs; write pairs and contexts; pass on what is learnt about words."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -216,17 +251,22 @@ def _pair_shard(folder: str, word_shards: int):
         g = pair_hash(v, w)
         order = np.argsort(g)
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        cut = np.append(first, len(v))
         groups = [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c > 2)]
-        _save(folder, name, [g[order], np.minimum(c[order], 2**32 - 1).astype("<u4"), v[first], groups[0].astype("<u8"), *[x.astype("<u4") for x in groups[1:]]])
-        assert len(cut) == len(first) + 1
+        context = v[first]
+        wide = among(context, spread)
+        rows = [
+            {"kind": "spread", "shard": shard, "name": None, "stats": [int(context.view(np.int64)[i]), *[int(x[i]) for x in groups]], "data": None}
+            for i in np.flatnonzero(wide)
+        ]
+        own = [context[~wide], groups[0][~wide].astype("<u8"), *[x[~wide].astype("<u4") for x in groups[1:]]]
+        _save(folder, name, [g[order], np.minimum(c[order], 2**32 - 1).astype("<u4"), *own])
         q = shard_of(w, word_shards)
         order = np.lexsort((w, q))
         q, w, c = q[order], w[order], c[order]
         own = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         contexts, times, words, wq = np.diff(np.append(own, len(w))), np.add.reduceat(c, own), w[own], q[own]
         edge = np.append(np.flatnonzero(np.concatenate([[True], wq[1:] != wq[:-1]])), len(wq))
-        rows = [
+        rows += [
             {"kind": "words", "shard": int(wq[lo]), "name": None, "stats": None,
              "data": pack(words[lo:hi], times[lo:hi].astype(np.uint64), contexts[lo:hi].astype(np.int64))}
             for lo, hi in zip(edge[:-1], edge[1:], strict=True)
@@ -278,6 +318,7 @@ class LmModel:
     vocabulary: int
     pairs: int
     word_backoff: float
+    spread: tuple = ()
 
 
 def train(texts: DataFrame, params: LmParams = LmParams()) -> LmModel:
@@ -286,9 +327,10 @@ def train(texts: DataFrame, params: LmParams = LmParams()) -> LmModel:
     folder = common.fresh_path(spark, "lm")
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // params.chars_per_shard))
-    packed = texts.select("text").mapInArrow(_count_tasks(shards, params), "p int, data binary")
+    spread = frequent_contexts(texts, int(size), params)
+    packed = texts.select("text").mapInArrow(_count_tasks(shards, spread, params), "p int, data binary")
     dealt = packed.groupBy("p").applyInPandas(
-        _pair_shard(folder, shards), "kind string, shard int, name string, stats array<long>, data binary"
+        _pair_shard(folder, shards, spread), "kind string, shard int, name string, stats array<long>, data binary"
     )
     dealt = common.written(dealt, "lm-shards")
     pairs = dealt.where("kind = 'pairs'").select("shard", "name", "stats").collect()
@@ -296,6 +338,8 @@ def train(texts: DataFrame, params: LmParams = LmParams()) -> LmModel:
         _word_shard(folder), "shard int, name string, stats array<long>"
     )
     words = words.collect()
+    sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(1, 5)]
+    wide = dealt.where("kind = 'spread'").groupBy(F.get("stats", F.lit(0)).alias("v")).agg(*sums).collect()  # max_spread rows at most
     total = lambda rows, i: sum(r["stats"][i] for r in rows)
     pair_d = discounts(*(total(pairs, i) for i in range(4)))
     word_d = discounts(*(total(words, i) for i in range(4)))
@@ -308,7 +352,7 @@ def train(texts: DataFrame, params: LmParams = LmParams()) -> LmModel:
 
     return LmModel(
         folder, files(pairs), files(words), pair_d, word_d, total(words, 5), total(words, 4), contexts,
-        freed / contexts if contexts else 1.0,
+        freed / contexts if contexts else 1.0, tuple(sorted(tuple(r) for r in wide)),
     )
 
 
@@ -321,6 +365,9 @@ class MappedModel:
     def __init__(self, model: LmModel):
         self.model = model
         self.open: dict[str, list[np.ndarray]] = {}
+        table = np.array(sorted((v % 2**64, *rest) for v, *rest in model.spread), dtype=object).reshape(-1, 5)
+        self.spread = table[:, 0].astype(np.uint64)
+        self.spread_stats = table[:, 1:].astype(float)
 
     def arrays(self, name: str) -> list[np.ndarray]:
         if name not in self.open:
@@ -354,7 +401,7 @@ class MappedModel:
         """p(w|v) of pairs, given p(w)."""
         m = self.model
         out = p_word.copy()
-        shard = shard_of(v, len(m.pair_files))
+        shard, wide = pair_shard(v, w, len(m.pair_files), self.spread)
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(len(m.pair_files) + 1))
         d = np.array([0.0, *m.pair_discounts])
@@ -362,16 +409,24 @@ class MappedModel:
             own = order[cut[s] : cut[s + 1]]
             if name is None or not len(own):
                 continue
-            g, c, ctx, total, one, two, more = self.arrays(name)
-            contexts, back = np.unique(v[own], return_inverse=True)
-            at, there = self._find(ctx, contexts)
-            t = np.where(there, total[at], 1).astype(float)
-            free = np.where(there, d[1] * one[at] + d[2] * two[at] + d[3] * more[at], 1.0) / t
+            g, c, ctx, *stats = self.arrays(name)
             keys, kback = np.unique(pair_hash(v[own], w[own]), return_inverse=True)
             at, there = self._find(g, keys)
             n = np.where(there, c[at], 0).astype(np.int64)
-            kept = (n - d[np.minimum(n, 3)]).clip(0)
-            out[own] = kept[kback] / t[back] + free[back] * p_word[own]
+            kept = (n - d[np.minimum(n, 3)]).clip(0)[kback]
+            for part, known, known_stats in ((~wide[own], ctx, stats), (wide[own], self.spread, self.spread_stats.T)):
+                here = own[part]
+                if not len(here):
+                    continue
+                contexts, back = np.unique(v[here], return_inverse=True)
+                at, there = self._find(known, contexts)
+                if len(known):
+                    total, one, two, more = (np.where(there, x[at], 0).astype(float) for x in known_stats)
+                else:
+                    total = one = two = more = np.zeros(len(contexts))
+                total = np.where(there, total, 1.0)
+                free = np.where(there, d[1] * one + d[2] * two + d[3] * more, 1.0) / total
+                out[here] = kept[part] / total[back] + free[back] * p_word[here]
         return out
 
     def score(self, docs: list[np.ndarray]) -> list[tuple]:
