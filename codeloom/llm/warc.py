@@ -236,14 +236,12 @@ def plan_records(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFra
 
 
 def archive_dictionary(pages: DataFrame, params: WarcParams = WarcParams()) -> bytes:
-    """Trained on a bounded sample (dict_samples pages of at most 32 KB each, smallest seeded hashes)."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    some = (
-        pages.select(F.xxhash64("page_id", F.length(html)).alias("h"), "page_id", F.substring(html, 1, 8192).alias("t"))
-        .orderBy("h", "page_id")
-        .limit(params.dict_samples)
-        .collect()
-    )
+    """Trained on a bounded sample: the first 8,192 code points of the dict_samples pages whose ids have the smallest hashes."""
+    ids = pages.select(F.xxhash64("page_id").alias("h"), "page_id").orderBy("h", "page_id").limit(params.dict_samples)
+    html = F.substring(F.coalesce(F.col("html"), F.lit("")), 1, 8192)
+    # at most dict_samples ids: a bound by parameter; only their pages' text leaves the tasks
+    some = pages.join(F.broadcast(ids.select("page_id").distinct()), "page_id").select("page_id", html.alias("t"))
+    some = some.orderBy("page_id", "t").limit(params.dict_samples).collect()
     texts = [r["t"].encode() for r in some]
     return train_dictionary([record_bytes(0, "", t, hashlib.sha256(t).hexdigest(), len(t)) for t in texts], params.dict_bytes)
 
