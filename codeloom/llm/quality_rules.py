@@ -25,6 +25,7 @@ Defined results
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,8 +134,6 @@ def statistics() -> dict[str, Column]:
 
 def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
     """ln P(Bin(n, p) <= k), term by term in log space. k above the mean is answered with 0.0 (no proof there)."""
-    from math import log
-
     odds = log(p) - log(1 - p)
     first = n.cast("double") * log(1 - p)
     step = lambda acc, j: F.struct(
@@ -179,6 +178,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, params: RuleParams = RuleP
         .orderBy(F.desc("n"), "stratum")
         .limit(params.max_strata)
     )
+    counts = common.written(counts, "quality-counts")
     rows = F.explode(
         F.array(
             *[
@@ -190,11 +190,9 @@ def calibrate(measured: DataFrame, labels: DataFrame, params: RuleParams = RuleP
         )
     )
     tested = counts.select("stratum", "n", rows.alias("x")).select("stratum", "n", "x.*")
-    chains = counts.select(F.count(F.lit(1)).alias("strata"))
-    limit = F.log(F.lit(params.delta) / (F.col("strata") * len(params.grids)))
-    proven = tested.crossJoin(F.broadcast(chains)).withColumn(  # one row of counts
-        "ok", log_binomial_cdf(F.col("k"), F.col("n"), params.alpha / len(params.grids)) <= limit
-    )
+    chains = max(1, counts.count()) * len(params.grids)
+    limit = log(params.delta / chains)
+    proven = tested.withColumn("ok", log_binomial_cdf(F.col("k"), F.col("n"), params.alpha / len(params.grids)) <= limit)
     walk = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     certified = proven.withColumn("all_ok", F.min("ok").over(walk)).where("all_ok")
     return certified.groupBy("stratum").agg(
