@@ -165,6 +165,45 @@ def test_copies_are_found(spark, no_docs):
     assert media.copy_classes(empty).count() == 0
 
 
+def brute_copies(images, params):
+    """class_id and n_links of images by id: every pair with enough shared table rows is verified."""
+    points = {i: media.describe_batch(x[None], params)[0] for i, x in images.items()}
+    words = {i: set(media.band_words(p, params).tolist()) for i, p in points.items()}
+    links, root = Counter(), {i: i for i in images}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(images):
+        for b in sorted(images):
+            if a > b and len(words[a] & words[b]) >= params.votes:
+                if media.consensus(points[a], points[b], images[a].shape, images[b].shape, params):
+                    links.update((a, b))
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (find(i), links[i]) for i in images}
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_copies_are_found_beside_strangers(spark, block):
+    """Strangers with smaller ids lie in every table row that the copies share, a few rows each."""
+    params = media.MediaParams(block=block)
+    shared = scene(50)
+    copies = {100: shared, 101: np.clip(shared * 0.9 + 12, 0, 255).astype(np.uint8), 102: shared[4:, 4:], 103: shared[:90, :92]}
+    images = dict(copies)
+    for k, (y, x) in enumerate((y, x) for y in range(0, 72, 12) for x in range(0, 72, 12)):
+        other = scene(200 + k)
+        other[72 - y : 96 - y, 72 - x : 96 - x] = shared[y : y + 24, x : x + 24]
+        images[k] = other
+    want = brute_copies(images, params)
+    assert len({want[i][0] for i in copies}) == 1 and all(want[i][1] >= 3 for i in copies)
+    rows = [(i, media.encode_pgm(x)) for i, x in images.items()]
+    got = media.copy_classes(spark.createDataFrame(rows, "id long, image binary"), params).collect()
+    assert {r.id: (r.class_id, r.n_links) for r in got} == want
+
+
 # ---------------------------------------------------------------- language model
 
 
