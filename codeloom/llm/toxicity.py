@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is its hashed embedding beside the mean of its hashed character-trigram embeddings. A text
+A word's input is its hashed embedding beside the mean of its hashed character-trigram embeddings. A word of
+more than ``PIECE`` code points is read whole, as pieces of so many that overlap by two; each counts as a word. A text
 is cut into overlapping windows of ``length`` words, ``stride`` apart; every window of every text is read in
 both directions by gated recurrent units, pooled by attention and turned into a logit. A text's logit is
 its highest window's; a two-number logistic fit on the training texts turns it into the score.
@@ -57,6 +58,8 @@ def held_out(doc_id: Column) -> Column:
 
 #: Windows that are read at once: their buffers fit a core's cache.
 CHUNK = 1024
+#: Code points of a word that are read as one.
+PIECE = 200
 
 # ---------------------------------------------------------------- inputs
 
@@ -68,8 +71,7 @@ class Vocabulary:
         self.buckets = buckets
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word buckets, all trigram buckets end to end, and where each word's trigrams begin. A word is read as <word>, to 200 code points."""
-        words = [w if len(w) <= 200 else w[:200] for w in words]
+        """Word buckets, all trigram buckets end to end, and where each word's trigrams begin. A word is read as <word>."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 2)
         marked = "<" + "><".join(words) + ">"
@@ -83,7 +85,11 @@ class Vocabulary:
 
 
 def words_of(text: str | None) -> list[str]:
-    return hashing.words_of((text or "").lower())
+    """Words between blanks; a long one in pieces, so that every trigram of it lies in one."""
+    words = hashing.words_of((text or "").lower())
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[at : at + PIECE] for w in words for at in (range(0, len(w) - 2, PIECE - 2) if len(w) > PIECE else (0,))]
 
 
 def window_starts(n: int, length: int, stride: int) -> np.ndarray:

@@ -397,6 +397,22 @@ def test_toxicity_learns(spark, odd_docs, labels, no_docs):
     assert toxicity.score_documents(no_docs, labels).count() == 0
 
 
+def test_unbroken_texts_are_read_to_the_end():
+    rng = random.Random(12)
+    for n in (1, 199, 200, 201, 398, 399, 1000):
+        word = "".join(rng.choice("abcdé中") for _ in range(n))
+        pieces = toxicity.words_of("x " + word + " y")[1:-1]
+        assert pieces[0] + "".join(p[2:] for p in pieces[1:]) == word and max(map(len, pieces)) <= 200
+    rows, params = toxic_rows(), toxicity.ToxicParams()
+    weights, _, _ = toxicity.fit([r[1] for r in rows], [r[2] for r in rows], params, 0.3)
+    net, vocab = toxicity.Network(params, weights), toxicity.Vocabulary(params.buckets)
+    for mark in ("_", "-", ",", "\u3000"):
+        clean = mark.join(next(t for _, t, y in rows if not y and len(t) > 300).split())
+        toxic = clean + mark + mark.join(["vileness", "vilest"] * 30)
+        low, high = toxicity.best_logits(net, vocab, [toxicity.words_of(clean), toxicity.words_of(toxic)])
+        assert high > low + 1, mark
+
+
 def test_gradients():
     p = toxicity.ToxicParams(length=5, stride=3, buckets=16, word_dim=3, char_dim=4, hidden=3, attention=2)
     net, vocab = toxicity.Network(p), toxicity.Vocabulary(p.buckets)
