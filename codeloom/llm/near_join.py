@@ -4,11 +4,9 @@ Texts become sets of five-word shingles (words between ASCII blanks, case kept;
 shingle). Equal sets are one class and are joined once, through the smallest doc_id that has them.
 
 Forest. Each class has ``trees`` signatures of ``depth`` MinHash values. A tree is the trie of its sorted
-signatures; a level of the trie is a group-by on the prefix. Matching starts at ``start_depth`` and the prefixes
-are shortened by one value at a time until the recall reaches ``target``. Recall is estimated from the
-candidates themselves: a candidate whose signatures say similarity s was found with probability
-p = 1 - (1 - s**d)**trees, so it stands for 1/p links; shortening ends when found / sum(1/p) reaches the
-target, or at the depth where p at the threshold itself does.
+signatures; a level of the trie is a group-by on the prefix. Prefixes are shortened from ``start_depth`` until a
+link at the threshold itself is found with probability ``target``: p = 1 - (1 - s**d)**trees. Closer links are
+found more often, so no estimate over the table's links, which its close copies would dominate, is asked.
 
 Verification. Every class of a trie node is tied to the node's smallest class, and the ties' connected
 components hold all candidates. Components are cut into blocks of ``block`` classes; a task compares two
@@ -131,39 +129,17 @@ def forest_ties(reps: DataFrame, depth: int, params: NearParams) -> DataFrame:
     return nodes.join(heads, ["trie", "trie2"]).where("node > b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def estimated_recall(ties: DataFrame, reps: DataFrame, depth: int, params: NearParams) -> float:
-    """Share of links that prefixes of this depth find, from the ties' signatures. Two numbers reach the driver."""
-    chances = [float(found_chance(np.float64(s) / 1000, depth, params.trees)) for s in range(1001)]
-    least = params.threshold
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = np.array(chances)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(batch.num_rows, -1)
-            y = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, -1)
-            s = (x == y).mean(axis=1)
-            s = s[s >= least]
-            yield pa.RecordBatch.from_pydict({"found": [float(len(s))], "stands": [float((1 / p[(s * 1000).astype(int)]).sum())]})
-
-    left = reps.select(F.col("node").alias("a"), F.col("sig").alias("x"))
-    right = reps.select(F.col("node").alias("b"), F.col("sig").alias("y"))
-    both = ties.join(left, "a").join(right, "b").select("x", "y")
-    got = both.mapInArrow(run, "found double, stands double").agg(F.sum("found"), F.sum("stands")).first()
-    return 1.0 if not got[1] else got[0] / got[1]
+def match_depth(params: NearParams) -> int:
+    """The longest prefix, ``start_depth`` at most, that finds a link at the threshold with probability ``target``."""
+    depth = params.start_depth
+    while depth > 1 and found_chance(params.threshold, depth, params.trees) < params.target:
+        depth -= 1
+    return depth
 
 
 def adaptive_ties(reps: DataFrame, params: NearParams) -> DataFrame:
-    """Ties at the first depth, from ``start_depth`` down, whose recall reaches the target."""
-    depth = params.start_depth
-    while True:
-        ties = common.written(forest_ties(reps, depth, params), "near-ties")
-        if depth <= 1 or found_chance(params.threshold, depth, params.trees) >= params.target:
-            return ties
-        if estimated_recall(ties, reps, depth, params) >= params.target:
-            return ties
-        depth -= 1
+    """Ties at the first depth, from ``start_depth`` down, whose recall at the threshold reaches the target."""
+    return common.written(forest_ties(reps, match_depth(params), params), "near-ties")
 
 
 # ---------------------------------------------------------------- components

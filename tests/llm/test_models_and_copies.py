@@ -107,6 +107,21 @@ def test_prefixes_are_shortened(spark):
     assert shallow >= deep
 
 
+@pytest.mark.parametrize("close", [0, 6000])
+def test_recall_holds_at_the_threshold(spark, close):
+    """Links at 0.80 to 0.83 are found, alone and beside many close copies."""
+    p, rng = near_join.NearParams(), np.random.default_rng(6)
+    n = 3000
+    share = np.concatenate([rng.uniform(0.8, 0.83, n), np.full(close, 0.97)])
+    left = rng.integers(0, 2**16, (len(share), p.trees * p.depth)).astype("<u2")
+    same = rng.random(left.shape) < share[:, None]
+    right = np.where(same, left, rng.integers(0, 2**16, left.shape)).astype("<u2")
+    rows = [(2 * i + k, x.tobytes()) for i, pair in enumerate(zip(left, right)) for k, x in enumerate(pair)]
+    ties = near_join.adaptive_ties(spark.createDataFrame(rows, "node long, sig binary"), p).collect()
+    found = {r.b // 2 for r in ties if r.a // 2 == r.b // 2 < n}
+    assert len(found) / n >= p.target
+
+
 def test_one_of_each_group_stays(odd_docs, plain_rows, no_docs):
     got = near_join.drop_near_copies(odd_docs)
     assert got.columns == odd_docs.columns
