@@ -2,14 +2,15 @@
 
 Sources share a word budget by weight, at most ``max_repeats`` times what each
 has; what a full source cannot take is shared again by weight among the rest.
+The budget's words are given to sources as seats, by highest quotients votes / (2 seats + 1).
 Documents are dealt to shards by a seeded hash; shards hold about
 ``shard_words`` words each, so their number follows the input and none
 grows. In each shard the sources' documents are laid end to end in seeded
-order and cut into blocks of ``block_words``. The shard's blocks are allocated
-to its sources by highest quotients votes / (2 seats + 1), which gives integer
-quotas per shard and source; the quota takes every block of the source the
-same number of times, and the remainder goes to the blocks with the smallest
-seeded hashes. Nothing depends on the order or the partitioning of the input.
+order and cut into blocks of ``block_words``. A source's words are handed to its shards in turn: each gets the
+number of blocks whose words, the short last block counted by its own, bring the source's sum nearest to
+what is due so far, so a source strays from its words by half a block whatever the number of shards. The
+quota takes every block of the source the same number of times, and the remainder goes to the blocks with the
+smallest seeded hashes. Nothing depends on the order or the partitioning of the input.
 
 Defined results
 * null or empty text, size 0: taken 0.
@@ -70,7 +71,7 @@ def share_targets(sizes: list[float], weights: list[float], total: float, max_re
 def apportion(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     """Sainte-Laguë: every seat goes to the highest votes / (2 got + 1); a party at its cap gets no more.
 
-    The divisor is found by bisection; the last few seats are given, or taken back, one by one.
+    The divisor is found by bisection; the last few seats are given one by one.
     """
     votes, caps = votes.astype(float), caps.astype(np.int64)
     seats = int(min(seats, caps[votes > 0].sum()))
@@ -90,14 +91,15 @@ def apportion(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
         else:
             high = mid
     got = at(high)
-    while got.sum() < seats:
+    while (need := seats - int(got.sum())) > 0:
         quotient = np.where((got < caps) & (votes > 0), votes / (2 * got + 1), -1.0)
-        got[int(np.argmax(quotient))] += 1
+        best = np.argsort(-quotient, kind="stable")[:need]
+        got[best[quotient[best] > 0]] += 1
     return got
 
 
 def source_targets(sized: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """source, has_source, source_size, target: one row per source."""
+    """source, source_size, target, due (its words as an integer): one row per source."""
     spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(params.max_sources + 1).collect()
     if len(totals) > params.max_sources:
@@ -107,8 +109,39 @@ def source_targets(sized: DataFrame, params: MixParams = MixParams()) -> DataFra
     sizes = [float(r["n"] or 0) for r in totals]
     weights = [params.weights[i % len(params.weights)] for i in range(len(totals))]
     targets = share_targets(sizes, weights, params.total * sum(sizes), params.max_repeats)
-    rows = [(r["source"], int(s), t) for r, s, t in zip(totals, sizes, targets, strict=True)]
-    return spark.createDataFrame(rows, "source string, source_size long, target double")
+    caps = np.array(sizes, dtype=np.int64) * params.max_repeats
+    due = apportion(np.array(targets, dtype=float), int(round(sum(targets))), caps) if totals else []
+    rows = [(r["source"], int(s), t, int(d)) for r, s, t, d in zip(totals, sizes, targets, due, strict=True)]
+    return spark.createDataFrame(rows, "source string, source_size long, target double, due long")
+
+
+def nearest_blocks(words: int, want: float, block: int, repeats: int) -> tuple[int, int]:
+    """Number of blocks, and their words, nearest to ``want`` words of a run that may be taken ``repeats`` times."""
+    blocks, full = -(-words // block), words // block
+    if not words or want <= 0:
+        return 0, 0
+    if want >= repeats * words:
+        return repeats * blocks, repeats * words
+    every, rest = int(want // words), want % words
+    low = min(int(rest // block), full)
+    high = min(low + 1, blocks)
+    of = lambda n: min(n * block, words)
+    extra = low if rest - of(low) <= of(high) - rest else high
+    return every * blocks + extra, every * words + of(extra)
+
+
+def shard_quotas(pdf: pd.DataFrame, params: MixParams) -> pd.DataFrame:
+    """shard, src, quota: blocks of each source and shard. pdf holds whole sources: src, shard, words, source_size, due."""
+    pdf = pdf.sort_values(["src", "shard"])
+    quota, last, given = [], None, 0
+    for src, words, size, due in zip(*(pdf[c].tolist() for c in ("src", "words", "source_size", "due")), strict=True):
+        if src != last:
+            last, seen, given = src, 0, 0
+        seen += words
+        n, took = nearest_blocks(words, seen * due / max(size, 1) - given, params.block_words, params.max_repeats)
+        given += took
+        quota.append(n)
+    return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "src": pdf["src"].to_numpy(), "quota": np.array(quota, np.int64)})
 
 
 def _hash64(values: np.ndarray, salt: int) -> np.ndarray:
@@ -139,27 +172,31 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     small = targets.count() <= 10_000  # checked size: about 1 MB at most
     joined = sized.join(
         F.broadcast(known) if small else known, sized["source"].eqNullSafe(known["source"])
-    ).select(sized["*"], known["src"], known["source_size"], known["target"])
+    ).select(sized["*"], known["src"], known["source_size"], known["target"], known["due"])
     order = F.xxhash64(F.lit(params.seed), F.coalesce("doc_id", F.lit(-1)), "row_key")
     dealt = joined.select(
         "*",
         order.alias("order"),
         F.pmod(F.xxhash64(F.lit(params.seed + 1), "order"), F.lit(shards)).cast("long").alias("shard"),
-        (F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).alias("ratio"),
+    )
+    held = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("due").alias("due"))
+    # whole sources: a row per shard of each
+    quotas = held.groupBy(F.pmod("src", F.lit(max(64, shards)))).applyInPandas(
+        lambda pdf: shard_quotas(pdf, params), "shard long, src long, quota long"
     )
     schema = (
         "doc_id long, row_key long, source string, size long, shard long, source_size long, target double, "
         "quota long, taken long, spans array<struct<from:long,to:long,times:long>>"
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return mix_shard(pdf, params)
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return mix_shard(pdf, own, params)
 
-    return dealt.groupBy("shard").applyInPandas(run, schema)
+    return dealt.drop("due").groupBy("shard").cogroup(quotas.groupBy("shard")).applyInPandas(run, schema)
 
 
-def mix_shard(pdf: pd.DataFrame, params: MixParams) -> pd.DataFrame:
-    """One shard: apportion its blocks to its sources, draw the blocks, cut them back to documents."""
+def mix_shard(pdf: pd.DataFrame, own: pd.DataFrame, params: MixParams) -> pd.DataFrame:
+    """One shard: draw its sources' quotas of blocks, cut them back to documents. own: src, quota."""
     pdf = pdf.sort_values(["src", "order", "row_key", "size"], kind="stable").reset_index(drop=True)
     block = params.block_words
     size = pdf["size"].to_numpy(np.int64)
@@ -167,8 +204,7 @@ def mix_shard(pdf: pd.DataFrame, params: MixParams) -> pd.DataFrame:
     bounds = np.append(first, len(pdf))
     words = np.add.reduceat(size, first)
     blocks = -(-words // block)
-    votes = words * pdf["ratio"].to_numpy(float)[first]
-    quotas = apportion(votes, int(round(votes.sum() / block)), params.max_repeats * blocks)
+    quotas = own.set_index("src")["quota"].loc[src].to_numpy(np.int64)
     shard = int(pdf["shard"].iloc[0])
     quota_of, taken, spans = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), []
     for s, lo, hi, w, nb, q in zip(src, bounds[:-1], bounds[1:], words, blocks, quotas, strict=True):

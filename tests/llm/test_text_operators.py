@@ -171,6 +171,23 @@ def test_mix(odd_docs, plain_rows, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_thin_sources_reach_their_targets(spark):
+    """Sources of a few words a shard, over hundreds of shards."""
+    text = lambda n: " ".join(["w"] * n)
+    thin = [("a", 15), ("b", 20), ("c", 40), ("d", 100)]
+    rows = [(f"{s}{i}", text(n), s) for s, n in thin for i in range(300)] + [(f"z{i}", text(500), "z") for i in range(300)]
+    docs = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    for weights, repeats in (((5.0, 2.0, 1.0), 2), ((1.0,), 2), ((1.0, 1.5, 0.5, 3.0, 40.0), 3)):
+        params = mixing.MixParams(shard_words=700, weights=weights, max_repeats=repeats)
+        got = mixing.mix(docs, params).select("source", "taken", "target", "size", "shard", "spans").collect()
+        assert len({r.shard for r in got}) > 200
+        taken, target = Counter(), {r.source: r.target for r in got}
+        for r in got:
+            assert 0 <= r.taken <= repeats * r.size
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - target[s]) <= 64 for s in target), (weights, taken, target)
+
+
 def test_apportion_is_highest_quotients():
     rng = np.random.default_rng(0)
     for _ in range(200):
