@@ -114,7 +114,7 @@ def plan_groups(spark, sf_dir):
 
 def plan_totals(spark, sf_dir):
     changes = _changes(spark, sf_dir)
-    return plans.partition_totals(changes, plans.candidates(changes).select("plan_order", F.lit(1).alias("color")))
+    return plans.partition_totals(changes, plans.groups(changes))
 
 
 def effective_tier(spark, sf_dir):

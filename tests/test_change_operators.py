@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codeloom import cli, config
 from codeloom.functions import languages, text
 from codeloom.operators import delta, excludes, lines, plans, report
+from codeloom.plans import change as change_queries
 from codeloom.sources import files as fs
 
 
@@ -71,6 +72,19 @@ def first_fit(n, edges):
     return colors
 
 
+def test_plan_totals_counts_groups(spark):
+    """The query's group_count against first-fit by pairwise comparison of the tier-1 changes."""
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(r for r in change_queries._changes(spark, sf).select("plan_order", "tier", "files", "cluster", "targets").collect())
+    own = [(r.plan_order, set(r.files), set(r.cluster), set(r.targets)) for r in rows if r.tier == 1 and r.files]
+    color = {}
+    for i, (n, files, cluster, targets) in enumerate(own):
+        used = {color[m] for m, f, c, t in own[:i] if files & f or cluster & c or targets & c or t & cluster}
+        color[n] = min(set(range(1, len(own) + 1)) - used)
+    assert max(color.values()) > 1
+    assert tuple(change_queries.plan_totals(spark, sf).first()) == (len(rows), len(own), max(color.values()))
+
+
 def test_coloring_is_first_fit(spark):
     import random
 
