@@ -43,11 +43,11 @@ LENGTH_GRID = (60.0, 50.0, 40.0, 35.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0)
 @dataclass(frozen=True)
 class RuleParams:
     """alpha: false rejections allowed per stratum; delta: chance that the promise fails anywhere;
-    max_strata: languages with cutoffs of their own (the rest reject nothing), which bounds the broadcast."""
+    broadcast_rows: most cutoff rows that are broadcast, by a check of their number (more meet in a shuffle join)."""
 
     alpha: float = 0.02
     delta: float = 0.1
-    max_strata: int = 64
+    broadcast_rows: int = 10_000
     grids: dict = field(
         default_factory=lambda: {
             "symbol_ratio": RATIO_GRID,
@@ -153,7 +153,7 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def calibrate(measured: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """One row per certified stratum: ``stratum`` and, per rule, the strictest proven cutoff or null.
 
-    ``measured`` needs doc_id, lang and the columns of ``measure``. At most ``params.max_strata`` rows.
+    ``measured`` needs doc_id, lang and the columns of ``measure``. Every stratum with a label is tested.
     """
     good = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").alias("q"))
@@ -175,8 +175,6 @@ def calibrate(measured: DataFrame, labels: DataFrame, params: RuleParams = RuleP
             F.count(F.lit(1)).alias("n"),
             *[F.count(F.when(F.col(r) > c, 1)).alias(f"k_{r}_{i}") for r, i, c in cells],
         )
-        .orderBy(F.desc("n"), "stratum")
-        .limit(params.max_strata)
     )
     counts = common.written(counts, "quality-counts")
     rows = F.explode(
@@ -201,19 +199,20 @@ def calibrate(measured: DataFrame, labels: DataFrame, params: RuleParams = RuleP
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """``measured`` plus kept. ``cutoffs`` has at most ``params.max_strata`` rows, so it is broadcast."""
+    """``measured`` plus kept. ``cutoffs`` is read twice: few rows are broadcast, more are joined by a shuffle."""
     table = cutoffs.select(F.col("stratum").alias("__stratum"), *[F.col(f"max_{r}").alias(f"__max_{r}") for r in params.grids])
     exceeds = F.lit(False)
     for r, stat in statistics().items():
         exceeds = exceeds | F.coalesce(stat > F.col(f"__max_{r}"), F.lit(False))
-    joined = measured.join(F.broadcast(table), F.coalesce(F.col("lang"), F.lit("")) == F.col("__stratum"), "left")
+    few = cutoffs.limit(params.broadcast_rows + 1).count() <= params.broadcast_rows
+    joined = measured.join(F.broadcast(table) if few else table, F.coalesce(F.col("lang"), F.lit("")) == F.col("__stratum"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~exceeds).drop(*table.columns)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """doc_id, lang, the measures, base_failed and kept for every row of ``docs``."""
     measured = common.written(measure(docs, ["doc_id", "lang"]), "quality-measures")
-    return judge(measured, calibrate(measured, labels, params), params)
+    return judge(measured, common.written(calibrate(measured, labels, params), "quality-cutoffs"), params)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:

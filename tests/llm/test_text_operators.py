@@ -79,6 +79,21 @@ def test_cutoffs_are_proven(spark):
     assert {(r.lang, r.kept) for r in judged.select("lang", "kept").distinct().collect()} == {("en", False), ("de", True)}
 
 
+def test_every_stratum_is_tested(spark):
+    """More strata than any fixed number: each with enough labels has its cutoffs, broadcast or not."""
+    strata, each = 70, 2000
+    cols = [((F.col("id") % strata).cast("string"), "lang"), (100, "n_words"), (300, "word_chars"), (0, "n_symbols"), (0, "n_dup_lines"), (5, "n_lines"), (0, "n_repeat_words")]
+    measured = spark.range(strata * each).select(
+        F.col("id").alias("doc_id"), *[(c if n == "lang" else F.lit(c).cast("long")).alias(n) for c, n in cols], F.lit(False).alias("base_failed")
+    )
+    cutoffs = quality_rules.calibrate(measured, measured.select("doc_id", F.lit(1).alias("quality")))
+    assert {r.stratum for r in cutoffs.collect()} == {str(i) for i in range(strata)}
+    noisy = measured.where(F.col("doc_id") < strata).withColumn("n_symbols", F.lit(100))
+    for rows in (10_000, 0):
+        judged = quality_rules.judge(noisy, cutoffs, quality_rules.RuleParams(broadcast_rows=rows))
+        assert judged.where("NOT kept").count() == strata
+
+
 def test_filter_keeps_columns_and_base_passes(odd_docs, plain_rows, labels, no_docs):
     kept = quality_rules.filter_documents(odd_docs, labels)
     assert kept.columns == odd_docs.columns
