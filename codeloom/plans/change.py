@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.operators import delta, duplicates, excludes, graph, lines, plans, report
-from codeloom.plans.lines import FILES, LOC, NEAR_SQL, windows_sql
+from codeloom.plans.lines import FILES, LOC, NEAR_SQL, near_pairs_dice_all, windows_sql
 from codeloom.sources import tables
 from codeloom.sources.tables import table
 
@@ -52,6 +52,11 @@ def changed_scope_pairs(spark, sf_dir):
     return delta.pairs_in_scope(pairs, _changed(spark, sf_dir))
 
 
+def changed_scope_pairs_all(spark, sf_dir):
+    """Every near pair with a changed file; ``changed_scope_pairs`` filters after a pair budget."""
+    return delta.pairs_in_scope(near_pairs_dice_all(spark, sf_dir), _changed(spark, sf_dir))
+
+
 def regression_verdict(spark, sf_dir):
     """Even ids as base, odd ids as head: code lines and clusters; a third metric has no base."""
     files = tables.document_files(spark, sf_dir).withColumn("version", F.when(F.col("doc_id") % 2 == 0, "base").otherwise("head"))
@@ -235,6 +240,7 @@ SELECT DISTINCT path, line FROM w WHERE h IN (SELECT h FROM big)""",
         changed_scope_pairs,
         f"WITH near AS ({NEAR_SQL}), {FILES}, {CHANGED_SQL} SELECT * FROM near WHERE a_path IN (SELECT path FROM changed) OR b_path IN (SELECT path FROM changed)",
     ),
+    "changed_scope_pairs_all": (changed_scope_pairs_all, None),
     "regression_verdict": (
         regression_verdict,
         LOC + f""", {windows_sql(3, tag='3')},

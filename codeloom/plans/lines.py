@@ -54,6 +54,11 @@ def near_pairs_dice(spark, sf_dir):
     return duplicates.near_pairs_dice(_blocks(spark, sf_dir, 5))
 
 
+def near_pairs_dice_all(spark, sf_dir):
+    """Every near pair; ``near_pairs_dice`` is the form with a pair budget, kept for compatibility."""
+    return duplicates.similar_pairs(_blocks(spark, sf_dir, 5)).withColumn("ratio", F.round("ratio", 2))
+
+
 def near_pairs_difflib(spark, sf_dir):
     return duplicates.near_pairs_difflib(_blocks(spark, sf_dir, 5))
 
@@ -194,5 +199,6 @@ FROM (SELECT * FROM melted WHERE r = 0) a JOIN (SELECT * FROM melted WHERE r = 1
         "FROM w GROUP BY h HAVING count(*) > 1",
     ),
     "near_pairs_dice": (near_pairs_dice, NEAR_SQL),
+    "near_pairs_dice_all": (near_pairs_dice_all, None),
     "near_pairs_difflib": (near_pairs_difflib, None),
 }

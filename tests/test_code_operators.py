@@ -340,3 +340,16 @@ def test_cycles(spark):
 def test_tables_as_corpora(spark):
     files = tables.document_files(spark, "/root/testdata/sf0.001")
     assert {r.ext for r in files.select("ext").distinct().collect()} <= {".py", ".js", ".html", ".rs", ".txt"}
+
+
+def test_pairs_beyond_the_budget_are_found(spark, tmp_path):
+    """The only near pair lies after the first 4,002 texts; one of its files is changed."""
+    from codeloom.plans import catalogue
+
+    text = lambda i: "\n".join(f"w{i}x{j} v{i}x{j} u{i}x{j} t{i}x{j}" for j in range(5))
+    rows = [(10_000 + i, "s", "en", text(i)) for i in range(4100)] + [(99_999, "s", "en", text(4099) + "z")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(99_999,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("near_pairs_dice_all", "changed_scope_pairs_all"):
+        got = catalogue.queries()[name](spark, str(tmp_path)).collect()
+        assert [(r.a_path, r.b_path) for r in got] in ([("s/14099.py", "s/99999.py")], [("s/99999.py", "s/14099.py")]), name
