@@ -183,7 +183,7 @@ def test_copies_are_found(spark, no_docs):
 def brute_copies(images, params):
     """class_id and n_links of images by id: every pair with enough shared table rows is verified."""
     points = {i: media.describe_batch(x[None], params)[0] for i, x in images.items()}
-    words = {i: set(media.band_words(p, params).tolist()) for i, p in points.items()}
+    words = {i: set(media.row_paths(p, params)[0].tolist()) for i, p in points.items()}
     links, root = Counter(), {i: i for i in images}
 
     def find(x):
