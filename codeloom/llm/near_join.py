@@ -8,12 +8,19 @@ signatures; a level of the trie is a group-by on the prefix. Prefixes are shorte
 link at the threshold itself is found with probability ``target``: p = 1 - (1 - s**d)**trees. Closer links are
 found more often, so no estimate over the table's links, which its close copies would dominate, is asked.
 
-Verification. Every class of a trie node is tied to the node's smallest class, and the ties' connected
-components hold all candidates. Components are cut into blocks of ``block`` classes; a task compares two
-blocks, or many small components, with exact shingle sets, and returns one row per class: its number of
-links and the smallest class it reaches. Pairs never leave a task, so a group of any size costs rows in
-proportion to its size times its number of blocks. All pairs of a component are compared, so the verified
-recall is at least that of the forest.
+Crowds. Every class of a trie node is tied to the node's smallest class, and the ties' connected components hold
+all candidates. A component of ``crowd`` classes or fewer is verified as it is, so a class meets a bounded number
+of others. In a larger one, common passages join classes that are not alike, and all its pairs would grow with
+the square of the table. There an exact prefix filter takes over: a class's shingles are put in order of how many
+classes of the component have them, rarest first, and two classes with a similarity of ``threshold`` share one of
+the first n - ceil(threshold * n) + 1 of theirs. Classes are tied anew through those shingles alone, which lose no
+link, and the components of these ties replace the large one: what many texts share comes last in the order and
+ties nobody.
+
+Verification. Components are cut into blocks by members and by bytes; a task compares two blocks, or many small
+components, with exact shingle sets, and returns one row per class: its number of links and the smallest class it
+reaches. Pairs never leave a task, so a group of any size costs rows in proportion to its size times its number
+of blocks. All pairs of a component are compared, so the verified recall is at least that of the forest.
 
 Results of ``near_classes``: doc_id, text_id (smallest doc_id with the same shingles), class_id (smallest
 doc_id of the connected group), n_links (other classes of texts with a similarity of ``threshold`` or more).
@@ -35,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, hashing
@@ -43,13 +50,18 @@ from . import common, hashing
 
 @dataclass(frozen=True)
 class NearParams:
+    """crowd: classes of a component beyond which its shingles are asked; block: classes of a block, block_bytes their
+    shingle sets' bytes."""
+
     words: int = 5
     threshold: float = 0.8
     trees: int = 16
     depth: int = 8
     start_depth: int = 6
     target: float = 0.999
+    crowd: int = 64
     block: int = 512
+    block_bytes: int = 16_000_000
     seed: int = 5
 
 
@@ -61,6 +73,12 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(hashing.gram_hashes(hashing.hashes_of(hashing.words_of(text or "")), k))
 
 
+def _own_set(text: str | None, d1: int, params: NearParams) -> np.ndarray | None:
+    """The shingle set, or None where it is another text's under a repeated doc_id."""
+    s = shingle_set(text, params.words)
+    return s if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == d1 else None
+
+
 def _coefficients(params: NearParams) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(params.seed)
     n = params.trees * params.depth
@@ -156,7 +174,8 @@ def components(ties: DataFrame) -> DataFrame:
     def star(edges: DataFrame, large: bool) -> DataFrame:
         turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
         both = edges.unionByName(turned) if large else edges
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        # written, so that both sides of the join come from plain exchanges and a hub's rows can be split among tasks
+        least = common.written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")), "near-least")
         joined = both.join(least, "a")
         if large:  # larger neighbours to the smallest neighbour
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -178,6 +197,49 @@ def components(ties: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
 
 
+def crowd_ties(docs: DataFrame, reps: DataFrame, crowded: DataFrame, params: NearParams) -> DataFrame:
+    """a, b: classes of one crowded component (node, comp) that share a shingle of the prefix filter, each tied to the
+    shingle's smallest class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = _own_set(r["text"], r["d1"], params)
+                for at in range(0, 0 if s is None else len(s), 65_536):
+                    part = s[at : at + 65_536].view(np.int64)
+                    k = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(k, r["comp"])), pa.array(np.full(k, r["node"])), pa.array(np.full(k, len(s))), pa.array(part)],
+                        names=["comp", "node", "n", "x"],
+                    )
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
+    chosen = texts.join(crowded.join(reps.select("node", "d1"), "node"), "node").select("comp", "node", "d1", "text")
+    have = common.written(chosen.mapInArrow(run, "comp long, node long, n long, x long"), "near-shingles")
+    often = have.groupBy("comp", "x").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 8)
+    often = common.written(often, "near-often")
+    ranked = have.join(often, ["comp", "x"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rank = F.dense_rank().over(Window.partitionBy("node").orderBy("df", "x"))  # dense: a repeated row counts once
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(params.threshold) - 1e-6) + 1
+    kept = ranked.withColumn("rank", rank).where(F.col("rank") <= first).select("comp", "x", "node")
+    kept = common.written(kept, "near-prefixes")
+    heads = kept.groupBy("comp", "x").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").drop("last")
+    heads = common.written(heads, "near-heads")
+    return kept.join(heads, ["comp", "x"]).where("node > b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def candidate_components(docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """node, comp: the components whose pairs are compared."""
+    comps = common.written(components(adaptive_ties(reps, params)), "near-components")
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    large = common.written(sizes.where(F.col("m") > params.crowd).select("comp"), "near-crowds")
+    if large.isEmpty():
+        return comps
+    crowded = common.written(comps.join(large, "comp", "left_semi").select("node", "comp"), "near-crowded")
+    finer = components(crowd_ties(docs, reps, crowded, params))
+    return common.written(comps.join(large, "comp", "left_anti").select("node", "comp").unionByName(finer), "near-components")
+
+
 # ---------------------------------------------------------------- verification
 
 
@@ -241,12 +303,14 @@ def _compare(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thresh
 
 def verify(docs: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParams) -> DataFrame:
     """node, n_links, root, whole: one row per class and task. whole: the task saw the class's whole component."""
-    spark = docs.sparkSession
-    sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "comp")
-    members = sized.count()
-    packs = max(1, -(-members // (2 * params.block)))
-    blocks = F.ceil(F.col("m") / params.block).cast("int")
-    placed = sized.select("node", "comp", blocks.alias("nb")).withColumn(
+    weighed = comps.join(reps.select("node", "d1", "n"), "node")
+    totals = weighed.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), (F.sum("n") * 8).alias("bytes"))
+    sized = common.written(weighed.join(totals, "comp"), "near-sized")
+    cut = F.greatest(F.ceil(F.col("m") / params.block), F.ceil(F.col("bytes") / params.block_bytes))
+    blocks = F.least(cut, F.col("m")).cast("int")
+    whole = sized.where(blocks == 1).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("bytes")).first()
+    packs = max(1, -(-whole["m"] // (2 * params.block)), -(-(whole["bytes"] or 0) // params.block_bytes))
+    placed = sized.select("node", "comp", "d1", blocks.alias("nb")).withColumn(
         "blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     )
     tasks = F.when(F.col("nb") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
@@ -262,8 +326,7 @@ def verify(docs: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParam
     texts = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("node"), "text"
     )
-    digests = reps.select("node", "d1")
-    chosen = texts.join(placed.join(digests, "node"), "node").withColumn("tasks", tasks)
+    chosen = texts.join(placed, "node").withColumn("tasks", tasks)
     schema = "node long, comp long, whole boolean, i int, j int, side int, s binary"
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +334,8 @@ def verify(docs: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParam
             rows = []
             held = 0
             for r in batch.to_pylist():
-                s = shingle_set(r["text"], params.words)
-                if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) != r["d1"]:
-                    continue  # another text under a repeated doc_id
-                for t in r["tasks"]:
+                s = _own_set(r["text"], r["d1"], params)
+                for t in [] if s is None else r["tasks"]:
                     rows.append((r["node"], r["comp"], r["nb"] == 1, t["i"], t["j"], t["side"], s.tobytes()))
                     held += s.nbytes
                     if held > 16_000_000:
@@ -310,10 +371,10 @@ def verify(docs: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParam
 def near_classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """doc_id, text_id, class_id, n_links for every row of ``docs``."""
     signed = common.written(signatures(docs, params), "near-signatures")
-    reps = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    reps = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = common.written(reps, "near-classes")
     single = reps.dropDuplicates(["node"]) if _repeats(reps) else reps
-    comps = common.written(components(adaptive_ties(single, params)), "near-components")
+    comps = candidate_components(docs, single, params)
     seen = common.written(verify(docs, single, comps, params), "near-links")
     across = seen.where("NOT whole AND root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
     links = seen.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))

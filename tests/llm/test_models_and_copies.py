@@ -95,6 +95,37 @@ def test_large_groups_are_cut_into_blocks(spark):
     assert by_counts(tuple(r) for r in got) == by_counts(brute_classes(rows))
 
 
+def boilerplate_rows(n, groups=6, copies=5, seed=8):
+    """Texts of 110 words that share 64 of them (similarity about 0.39), and groups of near copies among them."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(4000)]
+    shared = [rng.choice(vocab) for _ in range(64)]
+    rows = [shared + [rng.choice(vocab) for _ in range(46)] for _ in range(n)]
+    for g in range(groups):
+        for k in range(copies):
+            rows.append([*rows[g][:-1 - k], *[rng.choice(vocab) for _ in range(1 + k)]])
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_common_passages_make_no_crowds(spark):
+    """The pairs compared grow with the texts, not with their square, and no link is lost."""
+    p = near_join.NearParams(crowd=8)
+    compared = {}
+    for n in (150, 600):
+        rows = boilerplate_rows(n)
+        docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string")  # repeated rows too
+        signed = near_join.signatures(docs, p)
+        reps = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        reps = near_join.common.written(reps, "test-reps")
+        loose = near_join.components(near_join.adaptive_ties(reps, p)).groupBy("comp").count().agg(F.max("count")).first()[0]
+        sizes = [r["count"] for r in near_join.candidate_components(docs, reps, p).groupBy("comp").count().collect()]
+        compared[n] = sum(m * (m - 1) // 2 for m in sizes)
+        assert max(sizes) <= 8 < n / 4 < loose
+    assert compared[600] <= 5 * max(compared[150], 90)
+    got = near_join.near_classes(docs, p).collect()
+    assert by_counts(tuple(r) for r in got) == by_counts(brute_classes(rows + rows[:40]))
+
+
 def test_prefixes_are_shortened(spark):
     """Recall of the start depth falls short for links at the threshold, so the depth shrinks until the bound holds."""
     p = near_join.NearParams()
