@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -224,7 +225,7 @@ def brute_copies(images, params):
 
     for a in sorted(images):
         for b in sorted(images):
-            if a > b and len(words[a] & words[b]) >= params.votes:
+            if a > b and len(words[a] & words[b]) >= (params.votes + 1) // 2:
                 if media.consensus(points[a], points[b], images[a].shape, images[b].shape, params):
                     links.update((a, b))
                     x, y = find(a), find(b)
@@ -250,6 +251,105 @@ def test_copies_are_found_beside_strangers(spark, block):
     assert {r.id: (r.class_id, r.n_links) for r in got} == want
 
 
+def resized(image, factor):
+    return np.clip(media._shrink(image.shape[0], factor) @ image.astype(np.float32) @ media._shrink(image.shape[1], factor).T, 0, 255).astype(np.uint8)
+
+
+def turned_by(image, degrees):
+    """About the middle, linear between pixels, edges repeated."""
+    h, w = image.shape
+    t, (y, x) = np.deg2rad(degrees), np.mgrid[:h, :w]
+    y, x = y - (h - 1) / 2, x - (w - 1) / 2
+    sy, sx = -np.sin(t) * x + np.cos(t) * y + (h - 1) / 2, np.cos(t) * x + np.sin(t) * y + (w - 1) / 2
+    y0, x0 = np.clip(np.floor(sy).astype(int), 0, h - 2), np.clip(np.floor(sx).astype(int), 0, w - 2)
+    fy, fx, f = np.clip(sy - y0, 0, 1), np.clip(sx - x0, 0, 1), image.astype(float)
+    rows = [f[y0 + d, x0] * (1 - fx) + f[y0 + d, x0 + 1] * fx for d in (0, 1)]
+    return (rows[0] * (1 - fy) + rows[1] * fy).astype(np.uint8)
+
+
+def test_recall_of_edits(spark):
+    """Of the edited copies that consensus of all pairs links, the tables find 0.9 or more, for every kind of edit."""
+    rng = np.random.default_rng(31)
+    edits = {
+        "brighter": lambda i: np.clip(i * 0.8 + 20, 0, 255).astype(np.uint8), "noise": lambda i: np.clip(i + rng.normal(0, 8, i.shape), 0, 255).astype(np.uint8),
+        "crop 0.66": lambda i: i[6:58, 6:58], "crop 0.39": lambda i: i[12:52, 10:50], "quarter turn": lambda i: np.rot90(i).copy(),
+        "turn of 20": lambda i: turned_by(i, 20), "larger": lambda i: resized(i, 1.5), "smaller": lambda i: resized(i, 0.75),
+    }
+    n = 40
+    params, images = media.MediaParams(), {}
+    for k, edit in enumerate(edits.values()):
+        for i in range(n):
+            whole = media.draw_vector(rng.normal(size=64))
+            images[k * n + i], images[10_000 + k * n + i] = whole, edit(whole)
+    points = {i: media.describe_batch(x[None], params)[0] for i, x in images.items()}
+    rows = spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in images.items()], "id long, image binary")
+    got = {r.id: r.class_id for r in media.copy_classes(rows, params).collect()}
+    recall = {}
+    for k, name in enumerate(edits):
+        pairs = [(10_000 + i, i) for i in range(k * n, k * n + n)]
+        linked = [(a, b) for a, b in pairs if media.consensus(points[a], points[b], images[a].shape, images[b].shape, params)]
+        assert len(linked) >= n / 2, name
+        recall[name] = sum(got[a] == got[b] for a, b in linked) / len(linked)
+    assert min(recall.values()) >= 0.9, recall
+    assert all(c % 10_000 == i % 10_000 for i, c in got.items())  # no stranger joined
+
+
+def test_popular_rows_are_tied(spark):
+    """Rows that very many images share are tied through an aggregation; the classes stay the same."""
+    image = scene(77)
+    rng = np.random.default_rng(4)
+    images = {i: np.clip(image + rng.normal(0, 2, image.shape), 0, 255).astype(np.uint8) for i in range(600)}
+    images |= {1000 + i: scene(300 + i) for i in range(10)}
+    rows = spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in images.items()], "id long, image binary")
+    able = media.common.written(media.describe(rows), "test-points")
+    low = media.MediaParams(popular=512)
+    assert media.popular_rows(able, low).count() > 0
+    ties = media.candidate_ties(able, low).collect()
+    comps = {r.node: r.comp for r in near_join.components(media.candidate_ties(able, low)).collect()}
+    assert all(r.a > r.b for r in ties) and {comps[i] for i in range(600)} == {0}
+    assert not any(i in comps and comps[i] == 0 for i in range(1000, 1010))
+
+
+def png(image, kind=0, filters=(0,)):
+    """A PNG of a grey, colour or alpha image; filters in turn, line by line."""
+    h, w = image.shape[:2]
+    flat = image.reshape(h, -1).astype(int)
+    step, lines, above = flat.shape[1] // w, [], np.zeros(flat.shape[1], int)
+    for y in range(h):
+        left = np.concatenate([np.zeros(step, int), flat[y][:-step]])
+        corner = np.concatenate([np.zeros(step, int), above[:-step]])
+        near = np.array([min((a, b, c), key=lambda v: abs(a + b - c - v)) for a, b, c in zip(left, above, corner)])
+        f = filters[y % len(filters)]
+        lines.append(bytes([f]) + ((flat[y] - [0, left, above, (left + above) // 2, near][f]) & 255).astype(np.uint8).tobytes())
+        above = flat[y]
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)), (b"IDAT", zlib.compress(b"".join(lines))), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
+
+
+def test_png_is_read(spark):
+    rng = np.random.default_rng(1)
+    grey, colour = rng.integers(0, 256, (9, 7)).astype(np.uint8), rng.integers(0, 256, (9, 7, 3)).astype(np.uint8)
+    for filters in ((0,), (1,), (2,), (3,), (4,), (0, 1, 2, 3, 4)):
+        assert (media.decode_image(png(grey, 0, filters)) == grey).all()
+        assert (media.decode_image(png(colour, 2, filters)) == media._grey(colour)).all()
+    data = png(grey)
+    for broken in (data[:30], data[:-20][:50], data.replace(b"IDAT", b"XDAT"), b"\x89PNG\r\n\x1a\n", png(grey, 3)):
+        assert media.decode_image(broken) is None
+    big = scene(5)
+    rows = [(1, png(big)), (2, media.encode_pgm(big)), (3, b"\xff\xd8\xff\xe0"), (2, media.encode_pgm(big)), (2, png(scene(6)))]
+    frame = spark.createDataFrame([(*r, 1.5, "x") for r in rows], "id long, image binary, n double, pixel_id string")
+    got = media.copy_classes(frame).collect()
+    assert sorted((r.id, r.decoded) for r in got) == [(1, True), (2, True), (2, True), (2, True), (3, False)]
+    assert {r.class_id for r in got if r.id == 3} == {3} and len({r.class_id for r in got if r.id == 2}) == 1
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [0.0] * 4), (2, [float("nan"), 1.0, float("inf"), -1.0]), (3, None), (4, []), (None, [1.0] * 4), (5, [1.0, 2.0, 3.0, 4.0]), (6, [1.0, 2.0, 3.0, 4.0])]
+    got = {r.id: r for r in media.copy_classes(media.vector_media(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))).collect()}
+    assert len(got) == 7 and not got[3].decoded and not got[4].decoded and got[1].decoded and got[None].class_id is None
+    assert got[6].class_id == 5 and got[6].pixel_id == 5 and got[1].class_id == 1
+
+
 # ---------------------------------------------------------------- language model
 
 
