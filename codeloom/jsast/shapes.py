@@ -1,354 +1,347 @@
-"""What the structural pass sees of a function: name, complexity, parameters, shape.
+"""What the structural pass sees of a function: name, complexity, parameters, and a shape to compare by.
 
-Two functions have equal shapes when one can be turned into the other by renaming. The canonical shape also
-settles spellings of the same computation: order of operands of logical and equality operators, array
-pipelines against accumulator loops, and the order of independent statements; and it tells operators and
-member names apart, which the plain shape does not.
+A function is rewritten into terms, nested tuples that begin with a label. Variables stay apart from words, and
+are numbered only when a term is read out, so equal read-outs mean equal up to renaming. The plain form keeps
+kinds of nodes and keys of objects. The canonical form also keeps operators and members, and adds terms that have
+no order of their own:
+
+* ``any``: operands of one logical operator, or the two sides of an equality. They are read out smallest first.
+* ``each``: what walks a list and keeps or turns its elements, be it map and filter calls or a loop that pushes to
+  an array. Its three parts (source, guard, element) are sealed: read out by themselves, with numbers of their own.
+* ``steps``: statements of the body. They are read out along their dependences, the smallest free one first.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
 from hashlib import sha1
-
-import regex
+from itertools import groupby
 
 from codeloom.jsast.parse import Node, parse
+from codeloom.jsast.patterns import absent, alone, either, find, in_turn, node, only, part, variable, word
 from codeloom.jsast.scan import JsError
 
-FUNCTIONS = frozenset(
-    ("FunctionDeclaration", "FunctionExpression", "ArrowFunctionExpression", "ObjectMethod", "ClassMethod", "ClassPrivateMethod")
-)
-DECISIONS = frozenset(
-    ("IfStatement", "ForStatement", "ForInStatement", "ForOfStatement", "WhileStatement", "DoWhileStatement", "CatchClause",
-     "ConditionalExpression", "LogicalExpression")
-)
-KEYED = frozenset(("ObjectProperty", "ClassProperty", "ClassMethod", "ObjectMethod", "ClassPrivateMethod"))
-LITERALS = {
-    "StringLiteral": "STR", "NumericLiteral": "NUM", "BigIntLiteral": "NUM", "BooleanLiteral": "BOOL", "NullLiteral": "NULL",
-    "RegExpLiteral": "REGEX", "TemplateLiteral": "TEMPLATE",
+# Names that results show for what has none.
+NAMELESS, DEFAULT, TAKEN_APART, INTRICATE = "(anonymous)", "(default)", "(destructured)", "(complex)"
+
+METHODS = frozenset(("ObjectMethod", "ClassMethod", "ClassPrivateMethod"))
+FUNCTIONS = METHODS | {"FunctionDeclaration", "FunctionExpression", "ArrowFunctionExpression"}
+CLASSES = frozenset(("ClassDeclaration", "ClassExpression"))
+#: Decisions that a node adds.
+WEIGHTS = {
+    "IfStatement": 1, "ConditionalExpression": 1, "LogicalExpression": 1, "CatchClause": 1, "ForStatement": 1, "ForInStatement": 1,
+    "ForOfStatement": 1, "WhileStatement": 1, "DoWhileStatement": 1, "SwitchCase": 1,
+}
+#: Literals by sort; their values do not count.
+SORTS = {
+    "StringLiteral": "text", "TemplateLiteral": "template", "NumericLiteral": "number", "BigIntLiteral": "number",
+    "BooleanLiteral": "truth", "NullLiteral": "null", "RegExpLiteral": "pattern",
 }
-STAY = frozenset(("ReturnStatement", "ThrowStatement", "BreakStatement", "ContinueStatement"))
-ELEMENT = "#E"
+#: Where a nameless function's name may stand, by the parent's kind.
+NAMED_BY = {
+    "VariableDeclarator": "id", "AssignmentExpression": "left", "ObjectProperty": "key", "ClassProperty": "key", "ClassMethod": "key",
+    "ObjectMethod": "key",
+}
+#: What a statement of this kind writes to, if that is a plain variable.
+WRITES = {"VariableDeclarator": "id", "AssignmentExpression": "left", "UpdateExpression": "argument"}
+LEAVING = frozenset(("ReturnStatement", "ThrowStatement", "BreakStatement", "ContinueStatement"))
+EQUALITIES = frozenset(("==", "===", "!=", "!=="))
+ITEM = ("item",)
+
+# ---------------------------------------------------------------- patterns
+
+_result = either(node("BlockStatement", body=only(node("ReturnStatement", argument=part("element")))), part("element"))
+WALK_CALL = node(
+    "CallExpression",
+    callee=node("MemberExpression", computed=absent, object=part("source"), property=word("how", "map", "filter")),
+    arguments=only(node("ArrowFunctionExpression", "FunctionExpression", params=only(variable("item")), body=_result)),
+)
+_push = node(
+    "ExpressionStatement",
+    expression=node(
+        "CallExpression",
+        callee=node("MemberExpression", computed=absent, object=variable("list"), property=word("how", "push")),
+        arguments=only(part("element")),
+    ),
+)
+WALK_LOOP = in_turn(
+    node("VariableDeclaration", declarations=only(node("VariableDeclarator", id=variable("list"), init=node("ArrayExpression", elements=absent)))),
+    node(
+        "ForOfStatement",
+        left=node("VariableDeclaration", declarations=only(node("VariableDeclarator", id=variable("item"), init=absent))),
+        right=part("source"),
+        body=alone(either(_push, node("IfStatement", test=part("guard"), consequent=alone(_push), alternate=absent))),
+    ),
+    node("ReturnStatement", argument=variable("list")),
+)
 
+# ---------------------------------------------------------------- trees
 
-def children(node: Node):
-    for value in node.fields.values():
-        if isinstance(value, Node):
-            yield value
-        elif isinstance(value, list):
-            yield from (x for x in value if isinstance(x, Node))
 
+def parts_of(tree: Node) -> Iterator[Node]:
+    for value in tree.fields.values():
+        yield from (x for x in (value if isinstance(value, list) else [value]) if isinstance(x, Node))
 
-def walk(node: Node):
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        yield n
-        todo.extend(children(n))
+
+def everything(tree: Node) -> Iterator[Node]:
+    yield tree
+    for inner in parts_of(tree):
+        yield from everything(inner)
 
 
 def complexity(function: Node) -> int:
-    """1 and one for every decision, those of inner functions included."""
-    return 1 + sum(n.kind in DECISIONS or (n.kind == "SwitchCase" and n.get("test") is not None) for n in walk(function))
-
-
-# ---------------------------------------------------------------- names
-
-
-def own_name(node: Node, parent: Node | None) -> str:
-    if node.get("id") is not None:
-        return node.get("id").get("name")
-    if node.kind in ("ClassMethod", "ObjectMethod", "ClassPrivateMethod"):
-        if node.get("kind") == "constructor":
-            return "constructor"
-        key = node.get("key")
-        if not node.get("computed") and key.kind in ("Identifier", "StringLiteral", "NumericLiteral"):
-            return str(key.get("name", key.get("value")))
-    if parent is not None:
-        if parent.kind == "VariableDeclarator" and parent.get("id").kind == "Identifier":
-            return parent.get("id").get("name")
-        if parent.kind in ("ObjectProperty", "ClassProperty", "ClassMethod", "ObjectMethod") and parent.get("key").get("name"):
-            return parent.get("key").get("name")
-        if parent.kind == "AssignmentExpression" and parent.get("left").kind == "Identifier":
-            return parent.get("left").get("name")
-        if parent.kind == "ExportDefaultDeclaration":
-            return "(default)"
-    return "(anonymous)"
+    """1 and the decisions inside, inner functions' included; a default case decides nothing."""
+    return 1 + sum(WEIGHTS.get(n.kind, 0) for n in everything(function) if n.kind != "SwitchCase" or n.get("test"))
+
+
+def names_of(function: Node, parent: Node | None) -> Iterator[str | None]:
+    """Names that a function could go by, best first."""
+    spelled = lambda n: n.get("name") if n is not None else None
+    yield spelled(function.get("id"))
+    if function.kind in METHODS:
+        if function.get("kind") == "constructor":
+            yield "constructor"
+        key = function.get("key")
+        if not function.get("computed") and key.kind in ("Identifier", "StringLiteral", "NumericLiteral"):
+            yield str(key.get("name", key.get("value")))
+    if parent is not None and parent.kind in NAMED_BY:
+        yield spelled(parent.get(NAMED_BY[parent.kind]))
+    if parent is not None and parent.kind == "ExportDefaultDeclaration":
+        yield DEFAULT
+    yield NAMELESS
 
 
 def parameter(p: Node) -> str:
-    if p.kind == "Identifier":
-        return p.get("name")
-    if p.kind == "AssignmentPattern" and p.get("left").kind == "Identifier":
-        return p.get("left").get("name")
-    if p.kind in ("ObjectPattern", "ArrayPattern"):
-        return "(destructured)"
-    if p.kind == "RestElement" and p.get("argument").kind == "Identifier":
-        return "..." + p.get("argument").get("name")
-    return "(complex)"
-
-
-def functions(tree: Node):
-    """(function, dotted name) of every function, outermost first."""
-
-    def visit(node: Node, parent: Node | None, names: tuple):
-        if node.kind in FUNCTIONS:
-            names = (*names, own_name(node, parent))
-            yield node, ".".join(names)
-        elif node.kind in ("ClassDeclaration", "ClassExpression") and node.get("id") is not None:
-            names = (*names, node.get("id").get("name"))
-        for c in children(node):
-            yield from visit(c, node, names)
-
-    yield from visit(tree, None, ())
-
-
-# ---------------------------------------------------------------- shapes
-
-
-class Shape:
-    """Text of a node under renaming. ``numbers`` maps names to placeholders in order of first use."""
-
-    def __init__(self, canonical: bool, numbers: dict[str, str] | None = None):
-        self.canonical = canonical
-        self.numbers = {} if numbers is None else numbers
-
-    def apart(self, node: Node, **seed: str) -> str:
-        """Text with numbering of its own, so that it does not depend on where the node stands."""
-        return Shape(self.canonical, dict(seed)).of(node)
-
-    def of(self, value) -> str:
-        if value is None:
-            return ""
-        if isinstance(value, list):
-            return f"[{','.join(self.of(x) for x in value)}]"
-        kind = value.kind
-        if kind in ("Identifier", "JSXIdentifier"):
-            name = value.get("name")
-            return f"Id({self.numbers.setdefault(name, f'${len(self.numbers) + 1}')})"
-        if kind in LITERALS:
-            return LITERALS[kind]
-        if self.canonical:
-            if (text := self.pipeline(value)) is not None:
-                return text
-            if kind == "LogicalExpression":
-                return f"Log({value.get('operator')}[{','.join(sorted(self.of(x) for x in operands(value)))}])"
-            if kind == "BinaryExpression" and value.get("operator") in ("==", "===", "!=", "!=="):
-                sides = sorted((self.of(value.get("left")), self.of(value.get("right"))))
-                return f"Bin({value.get('operator')}[{','.join(sides)}])"
-        parts = []
-        for name in sorted(value.fields):
-            child = value.fields[name]
-            if name == "key" and kind in KEYED and not value.get("computed"):
-                parts.append("key=K:" + (child.get("name") if child.kind == "Identifier" else self.of(child)))
-            elif self.canonical and name == "property" and not value.get("computed") and isinstance(child, Node) and child.kind == "Identifier" and kind.endswith("MemberExpression"):
-                parts.append("property=P:" + child.get("name"))
-            elif isinstance(child, (Node, list)):
-                parts.append(f"{name}={self.of(child)}")
-            elif self.canonical and child is not None:
-                parts.append(f"{name}={child!r}")
-        return f"{kind}{{{','.join(parts)}}}"
-
-    # -- array pipelines
-
-    def pipeline(self, node: Node) -> str | None:
-        """map, filter and filter-then-map calls with simple callbacks."""
-        outer = chain_call(node)
-        if outer is None:
-            return None
-        method, source, param, body = outer
-        element = self.apart(body, **{param: ELEMENT})
-        if method == "filter":
-            return marker(self.apart(source), element, f"Id({ELEMENT})")
-        inner = chain_call(source)
-        if inner is not None and inner[0] == "filter" and chain_call(inner[1]) is None:
-            return marker(self.apart(inner[1]), self.apart(inner[3], **{inner[2]: ELEMENT}), element)
-        return marker(self.apart(source), None, element)
-
-    def accumulator(self, body: list[Node]) -> str | None:
-        """The last three statements as a pipeline: an empty array, a loop that pushes to it, its return."""
-        if len(body) < 3:
-            return None
-        first, loop, last = body[-3:]
-        name = empty_array(first)
-        found = pushing_loop(loop, name) if name else None
-        value = last.get("argument") if last.kind == "ReturnStatement" else None
-        if found is None or value is None or value.kind != "Identifier" or value.get("name") != name:
-            return None
-        source, element, test, pushed = found
-        others = [*body[:-3], source, pushed, *([test] if test else [])]
-        if any(n.kind == "Identifier" and n.get("name") == name for o in others for n in walk(o)):
-            return None
-        seed = {element: ELEMENT}
-        inner = marker(self.apart(source), self.apart(test, **seed) if test else None, self.apart(pushed, **seed))
-        return f"ReturnStatement{{argument={inner}}}"
-
-    # -- statements
-
-    def body(self, function: Node) -> str:
-        """The body's statements, independent ones in an order of their own."""
-        inner = function.get("body")
-        statements = inner.get("body") if inner.kind == "BlockStatement" else [inner]
-        tail = self.accumulator(statements)
-        rest = statements[:-3] if tail else statements
-        out, run = [], []
-        for s in rest:
-            if s.kind in STAY:
-                out += [*self.ordered(run), s]
-                run = []
-            else:
-                run.append(s)
-        out += self.ordered(run)
-        return ";".join([*[self.of(s) for s in out], *([tail] if tail else [])])
-
-    def ordered(self, run: list[Node]) -> list[Node]:
-        """Smallest text first among the statements whose predecessors in dependence are placed. Ties keep their order."""
-        uses = [names(s) for s in run]
-        text = [Shape(True, dict(self.numbers)).of(s) for s in run]
-        left, out = list(range(len(run))), []
-        while left:
-            ready = [i for i in left if not any(j < i and dependent(uses[j], uses[i]) for j in left)]
-            best = min(ready, key=lambda i: (text[i], i))
-            left.remove(best)
-            out.append(run[best])
-        return out
-
-    def function(self, node: Node) -> str:
-        if not self.canonical:
-            return self.of(node)
-        text = self.body(node)
-        rest = Node(node.kind, node.line, node.end, {k: v for k, v in node.fields.items() if k != "body"})
-        return f"{text}|{self.of(rest)}"
-
-
-def operands(node: Node) -> list[Node]:
-    out, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        if n.kind == "LogicalExpression" and n.get("operator") == node.get("operator"):
-            todo += [n.get("right"), n.get("left")]
-        else:
-            out.append(n)
-    return out
-
+    mark, inner = {"AssignmentPattern": ("", "left"), "RestElement": ("...", "argument")}.get(p.kind, ("", None))
+    target = p.get(inner) if inner else p
+    if target.kind == "Identifier":
+        return mark + target.get("name")
+    return TAKEN_APART if p.kind in ("ObjectPattern", "ArrayPattern") else INTRICATE
 
-def marker(source: str, test: str | None, element: str) -> str:
-    """One text per meaning; an element that maps to itself leaves the source, or the filter."""
-    same = element == f"Id({ELEMENT})"
-    parts = [f"src={source}"] + ([f"cond={test}"] if test is not None else []) + ([] if same else [f"elem={element}"])
-    kind = "PL" if (test is None) == same else "MAP" if test is None else "FILTER"
-    return f"{kind}{{{','.join(parts)}}}"
 
-
-def chain_call(node: Node):
-    """(method, source, parameter, body) of a map or filter call with one simple callback."""
-    if node.kind != "CallExpression" or len(node.get("arguments")) != 1:
-        return None
-    callee, fn = node.get("callee"), node.get("arguments")[0]
-    if callee.kind != "MemberExpression" or callee.get("computed") or callee.get("property").kind != "Identifier":
-        return None
-    if callee.get("property").get("name") not in ("map", "filter") or fn.kind not in ("ArrowFunctionExpression", "FunctionExpression"):
+def functions(tree: Node) -> Iterator[tuple[Node, str]]:
+    """Every function with its dotted name, outermost first."""
+    todo: list[tuple[Node, Node | None, str]] = [(tree, None, "")]
+    while todo:
+        here, parent, path = todo.pop()
+        own = None
+        if here.kind in FUNCTIONS:
+            own = next(n for n in names_of(here, parent) if n)
+            yield here, path + own
+        elif here.kind in CLASSES and here.get("id") is not None:
+            own = here.get("id").get("name")
+        below = path if own is None else f"{path}{own}."
+        todo += [(inner, here, below) for inner in reversed(list(parts_of(here)))]
+
+
+# ---------------------------------------------------------------- terms
+
+
+def plain(value) -> tuple:
+    """The term of a tree in the plain form."""
+    return _lowered(value, plain, False)
+
+
+def canonical(value) -> tuple:
+    """The term of a tree in the canonical form."""
+    if isinstance(value, Node):
+        if (walk := find(WALK_CALL, value)) is not None:
+            return _call_walk(walk)
+        operator = value.get("operator")
+        if value.kind == "LogicalExpression":
+            return ("any", operator, *[canonical(x) for x in _operands(value, operator)])
+        if value.kind == "BinaryExpression" and operator in EQUALITIES:
+            return ("any", operator, canonical(value.get("left")), canonical(value.get("right")))
+    return _lowered(value, canonical, True)
+
+
+def _lowered(value, again, exact: bool) -> tuple:
+    if value is None:
+        return ("none",)
+    if isinstance(value, list):
+        return ("list", *map(again, value))
+    if value.kind in ("Identifier", "JSXIdentifier"):
+        return ("variable", value.get("name"))
+    if value.kind in SORTS:
+        return ("literal", SORTS[value.kind])
+    fixed = not value.get("computed")
+    members = exact and value.kind.endswith("MemberExpression")
+    out = [value.kind]
+    for field, inner in sorted(value.fields.items()):
+        if fixed and isinstance(inner, Node) and inner.kind == "Identifier" and (field == "key" or field == "property" and members):
+            out.append((field, inner.get("name")))
+        elif isinstance(inner, (Node, list)):
+            out.append((field, again(inner)))
+        elif exact and inner is not None:
+            out.append((field, repr(inner)))
+    return tuple(out)
+
+
+def _operands(value: Node, operator: str) -> Iterator[Node]:
+    """Operands of a chain of one logical operator, however it is bracketed."""
+    if value.kind == "LogicalExpression" and value.get("operator") == operator:
+        for side in ("left", "right"):
+            yield from _operands(value.get(side), operator)
+    else:
+        yield value
+
+
+def _call_walk(walk: dict) -> tuple:
+    if walk["how"] == "filter":
+        return each(walk["source"], walk["item"], walk["element"], None, walk["item"])
+    before = find(WALK_CALL, walk["source"])
+    if before is not None and before["how"] == "filter" and find(WALK_CALL, before["source"]) is None:
+        return each(before["source"], before["item"], before["element"], walk["element"], walk["item"])
+    return each(walk["source"], walk["item"], None, walk["element"], walk["item"])
+
+
+def each(source: Node, guarded: str, guard: Node | None, element: Node | None, item: str) -> tuple:
+    """A walk over ``source``. ``guarded`` and ``item``: how guard and element call what they get; no element: itself."""
+    kept = None if guard is None else sealed(canonical(guard), guarded)
+    turned = sealed(ITEM, item) if element is None else sealed(canonical(element), item)
+    return ("each", sealed(canonical(source)), kept, turned)
+
+
+def sealed(term: tuple, item: str | None = None) -> str:
+    """A digest that depends on the term alone."""
+    return _digest(read_out(term, {} if item is None else {item: ITEM[0]}))
+
+
+def body_term(function: Node) -> tuple:
+    """The body in the canonical form, a list that a loop builds up at its end as a walk."""
+    body = function.get("body")
+    statements = body.get("body") if body.kind == "BlockStatement" else [body]
+    last = _loop_walk(statements)
+    if last is not None:
+        statements = statements[:-3]
+    return ("body", *_stretches(statements), *([] if last is None else [last]))
+
+
+def _loop_walk(statements: list[Node]) -> tuple | None:
+    walk = find(WALK_LOOP, statements[-3:])
+    if walk is None:
         return None
-    if len(fn.get("params")) != 1 or fn.get("params")[0].kind != "Identifier":
+    others = [*statements[:-3], *(walk[k] for k in ("source", "element", "guard") if k in walk)]
+    if any(n.kind == "Identifier" and n.get("name") == walk["list"] for tree in others for n in everything(tree)):
         return None
-    body = fn.get("body")
-    if body.kind == "BlockStatement":
-        inner = body.get("body")
-        if len(inner) != 1 or inner[0].kind != "ReturnStatement" or inner[0].get("argument") is None:
-            return None
-        body = inner[0].get("argument")
-    return callee.get("property").get("name"), callee.get("object"), fn.get("params")[0].get("name"), body
+    made = each(walk["source"], walk["item"], walk.get("guard"), walk["element"], walk["item"])
+    return ("ReturnStatement", ("argument", made))
 
 
-def empty_array(s: Node) -> str | None:
-    if s.kind != "VariableDeclaration" or len(s.get("declarations")) != 1:
-        return None
-    d = s.get("declarations")[0]
-    init = d.get("init")
-    if d.get("id").kind != "Identifier" or init is None or init.kind != "ArrayExpression" or init.get("elements"):
-        return None
-    return d.get("id").get("name")
+def _stretches(statements: list[Node]) -> Iterator[tuple]:
+    """Stretches of statements that may change places, and the statements that leave, which end them."""
+    for leaving, stretch in groupby(statements, lambda s: s.kind in LEAVING):
+        if leaving:
+            yield from map(canonical, stretch)
+        else:
+            yield steps(list(stretch))
 
 
-def single(s: Node) -> Node | None:
-    """The one statement of a body."""
-    inner = s.get("body") if s.kind == "BlockStatement" else [s]
-    return inner[0] if len(inner) == 1 else None
+def steps(statements: list[Node]) -> tuple:
+    """The terms of statements, each with the places of those that must come before it."""
+    writer: dict[str, int] = {}
+    readers: dict[str, set[int]] = defaultdict(set)
+    out = []
+    for i, s in enumerate(statements):
+        said, written = set(), set()
+        for n in everything(s):
+            target = n.get(WRITES[n.kind]) if n.kind in WRITES else None
+            if n.kind == "Identifier":
+                said.add(n.get("name"))
+            elif target is not None and target.kind == "Identifier":
+                written.add(target.get("name"))
+        before = {writer[name] for name in said | written if name in writer}
+        for name in written:
+            before |= readers.pop(name, set())
+            writer[name] = i
+        for name in said:
+            readers[name].add(i)
+        out.append((canonical(s), frozenset(before - {i})))
+    return ("steps", *out)
+
+
+# ---------------------------------------------------------------- read-out
+
+
+def read_out(term, numbers: dict[str, str]) -> list[str]:
+    """Words of a term in one order. ``numbers`` gets a number for every variable that is new."""
+    out: list[str] = []
+    _read(term, numbers, out)
+    return out
 
 
-def pushed_to(s: Node | None, name: str) -> Node | None:
-    call = s.get("expression") if s is not None and s.kind == "ExpressionStatement" else None
-    if call is None or call.kind != "CallExpression" or len(call.get("arguments")) != 1:
-        return None
-    callee = call.get("callee")
-    if callee.kind != "MemberExpression" or callee.get("computed"):
-        return None
-    target, method = callee.get("object"), callee.get("property")
-    if (target.kind, target.get("name"), method.kind, method.get("name")) != ("Identifier", name, "Identifier", "push"):
-        return None
-    return call.get("arguments")[0]
+def _read(term, numbers: dict[str, str], out: list[str]) -> None:
+    if not isinstance(term, tuple):
+        out.append(str(term))
+        return
+    label = term[0]
+    if label == "variable":
+        out.append(numbers.setdefault(term[1], f"${len(numbers)}"))
+        return
+    out.append(f"<{label}")
+    if label == "any":
+        out.append(term[1])
+        rest = sorted(term[2:], key=lambda t: read_out(t, dict(numbers)))
+    elif label == "steps":
+        rest = _settled(term[1:], numbers)
+    else:
+        rest = term[1:]
+    for t in rest:
+        _read(t, numbers, out)
+    out.append(">")
+
+
+def _settled(found: tuple, numbers: dict[str, str]) -> list[tuple]:
+    """Statements along their dependences, of those that are free the smallest first; equal ones as they stand."""
+    waits = [set(before) for _, before in found]
+    free = [(read_out(t, dict(numbers)), i) for i, (t, before) in enumerate(found) if not before]
+    heapq.heapify(free)
+    held = {i: read_out(t, dict(numbers)) for i, (t, before) in enumerate(found) if before}
+    out = []
+    while free:
+        _, done = heapq.heappop(free)
+        out.append(found[done][0])
+        for i in list(held):
+            waits[i].discard(done)
+            if not waits[i]:
+                heapq.heappush(free, (held.pop(i), i))
+    return out
 
 
-def pushing_loop(s: Node, name: str):
-    """(source, element, test, value) of a for-of loop that does nothing but push to the array."""
-    if s.kind != "ForOfStatement" or s.get("left").kind != "VariableDeclaration":
-        return None
-    d = s.get("left").get("declarations")
-    if len(d) != 1 or d[0].get("id").kind != "Identifier" or d[0].get("init") is not None:
-        return None
-    inner, test = single(s.get("body")), None
-    if inner is not None and inner.kind == "IfStatement" and inner.get("alternate") is None:
-        test, inner = inner.get("test"), single(inner.get("consequent"))
-    value = pushed_to(inner, name)
-    return None if value is None else (s.get("right"), d[0].get("id").get("name"), test, value)
-
-
-def names(s: Node) -> tuple[set, set]:
-    """Names that a statement mentions, and plain variables that it writes."""
-    reads, writes = set(), set()
-    for n in walk(s):
-        target = None
-        if n.kind == "Identifier":
-            reads.add(n.get("name"))
-        elif n.kind == "VariableDeclarator":
-            target = n.get("id")
-        elif n.kind == "AssignmentExpression":
-            target = n.get("left")
-        elif n.kind == "UpdateExpression":
-            target = n.get("argument")
-        if target is not None and target.kind == "Identifier":
-            writes.add(target.get("name"))
-    return reads, writes
-
-
-def dependent(a: tuple[set, set], b: tuple[set, set]) -> bool:
-    return bool(a[1] & b[0] or a[1] & b[1] or b[1] & a[0])
+def _digest(words: list[str]) -> str:
+    return sha1("\x00".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-# ---------------------------------------------------------------- files
+def shape(function: Node, exact: bool) -> list[str]:
+    """The words that a function is compared by."""
+    if not exact:
+        return read_out(plain(function), {})
+    frame = Node(function.kind, function.line, function.end, {k: v for k, v in function.fields.items() if k != "body"})
+    return read_out(("function", body_term(function), canonical(frame)), {})
 
-_TOKEN = regex.compile(r"(?<=\}\)|\]\)|\))|,(?=[A-Za-z])|,(?=\{)")
+
+# ---------------------------------------------------------------- files
 
 
-def analyze(source: str, canonical: bool = False, blocks: bool = True) -> tuple[list[dict], str | None]:
-    """Rows of the functions of a file, and what stopped the parser if it stopped."""
+def analyze(source: str, exact: bool = False, blocks: bool = True) -> tuple[list[dict], str | None]:
+    """Rows of the functions of a file, and what stopped the parser if it stopped. exact: the canonical form."""
     try:
         tree = parse(source)
+        found = list(functions(tree))
+        shapes = [shape(f, exact) for f, _ in found] if blocks else []
     except (JsError, RecursionError) as e:
         return [], str(e) or type(e).__name__
     lines = source.split("\n")
     out = []
-    for node, name in functions(tree):
+    for k, (function, name) in enumerate(found):
         row = {
-            "function": name, "line": node.line, "end_line": node.end, "complexity": complexity(node),
-            "params": [parameter(p) for p in node.get("params")],
+            "function": name, "line": function.line, "end_line": function.end, "complexity": complexity(function),
+            "params": [parameter(p) for p in function.get("params")],
         }
         if blocks:
-            text = Shape(canonical).function(node)
-            row |= {
-                "n_lines": sum(bool(x.strip()) for x in lines[node.line - 1 : node.end]),
-                "fingerprint": sha1(text.encode("utf-8", "surrogatepass")).hexdigest(),
-                "tokens": _TOKEN.split(text),
-            }
+            full = sum(bool(x.strip()) for x in lines[function.line - 1 : function.end])
+            row |= {"n_lines": full, "fingerprint": _digest(shapes[k]), "tokens": [w for w in shapes[k] if w != ">"]}
         out.append(row)
     return out, None

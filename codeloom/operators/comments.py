@@ -2,39 +2,52 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import languages, text
 
-_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
-_LINE = re.compile(f"(?P<quoted>{_QUOTED})|//")
-_BLOCK = re.compile(rf"(?P<quoted>{_QUOTED})|/\*")
+def _closing(line: str, at: int) -> int:
+    """Where the quote that opens at ``at`` closes, or -1. A backslash takes the character after it along."""
+    quote, at = line[at], at + 1
+    while at < len(line):
+        if line[at] == quote:
+            return at
+        at += 2 if line[at] == "\\" else 1
+    return -1
 
 
-def _outside(pattern: re.Pattern, line: str) -> int:
-    """Place of the first marker outside quotes, or -1."""
-    return next((m.start() for m in pattern.finditer(line) if m["quoted"] is None), -1)
+def _markers(line: str) -> tuple[int, int]:
+    """Places of the first // and the first /* outside quotes; the line's length where there is none."""
+    slashes = block = len(line)
+    at = 0
+    while at < len(line) and slashes == len(line):
+        c = line[at]
+        if c in "'\"" and (end := _closing(line, at)) > 0:
+            at = end
+        elif line.startswith("//", at):
+            slashes = at
+        elif line.startswith("/*", at):
+            block = min(block, at)
+        at += 1
+    return slashes, block
 
 
 def strip_line(line: str, inside: bool) -> tuple[str, bool]:
     """The line without comments, and whether a block stays open."""
     if inside:
-        end = line.find("*/")
-        if end < 0:
+        _, closed, line = line.partition("*/")
+        if not closed:
             return "", True
-        line = line[end + 2 :]
-    if (at := _outside(_LINE, line)) >= 0:
-        line = line[:at]
-    if (at := _outside(_BLOCK, line)) >= 0:
-        end = line.find("*/", at + 2)
-        if end < 0:
-            return line[:at], True
-        line = line[:at] + line[end + 2 :]
-    return line, False
+    if "/" not in line:
+        return line, False
+    slashes, block = _markers(line)
+    code = line[:slashes]
+    if block >= slashes:
+        return code, False
+    _, closed, rest = code[block + 2 :].partition("*/")
+    return code[:block] + rest, not closed
 
 
 def strip_all(lines: list[str]) -> list[str]:
