@@ -51,7 +51,7 @@ from . import common, hashing
 @dataclass(frozen=True)
 class NearParams:
     """crowd: classes of a component beyond which its shingles are asked; block: classes of a block, block_bytes their
-    shingle sets' bytes."""
+    shingle sets' bytes; broadcast_rows: ids up to which they are sent to the texts instead of the texts to them."""
 
     words: int = 5
     threshold: float = 0.8
@@ -62,6 +62,7 @@ class NearParams:
     crowd: int = 64
     block: int = 512
     block_bytes: int = 16_000_000
+    broadcast_rows: int = 1_000_000
     seed: int = 5
 
 
@@ -163,19 +164,43 @@ def adaptive_ties(reps: DataFrame, params: NearParams) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(ties: DataFrame) -> DataFrame:
+def _forests(batches: Iterator[pa.RecordBatch], hold: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Star edges (a, b) that connect what a task's edges connect; at most ``hold`` nodes' edges are kept at a time."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = nodes[_roots(len(nodes), at.reshape(2, -1).T)]
+        return nodes[nodes != root], root[nodes != root]
+
+    fresh = 0
+    for batch in batches:
+        a, b = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((a, b)))
+        fresh += batch.num_rows
+        if fresh >= hold:
+            (a, b), fresh = stars(), 0
+            if len(a) >= hold:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = stars()
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def components(ties: DataFrame, task_edges: int = 1_000_000) -> DataFrame:
     """node, comp (smallest node it reaches) for the nodes of the ties (a, b).
 
-    Rounds of large-star and small-star: each ties every neighbour of a node, itself included, to the
-    smallest of them. Rows stay about as many as the ties, the number of rounds grows with the logarithm of
-    the longest path, and every aggregate is combined before the shuffle.
+    Each task first reduces about ``task_edges`` ties to stars. What one task held is then done. Otherwise rounds of
+    large-star and small-star follow: each ties every neighbour of a node, itself included, to the smallest of them.
+    Rows stay about as many as the ties, the number of rounds grows with the logarithm of the longest path, and every
+    aggregate is combined before the shuffle.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
         both = edges.unionByName(turned) if large else edges
-        # written, so that both sides of the join come from plain exchanges and a hub's rows can be split among tasks
-        least = common.written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")), "near-least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        if large:  # written, so that both sides of the join come from plain exchanges and a hub's rows can be split among tasks
+            least = common.written(least, "near-least")
         joined = both.join(least, "a")
         if large:  # larger neighbours to the smallest neighbour
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -185,18 +210,29 @@ def components(ties: DataFrame) -> DataFrame:
             )
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    edges = common.written(ties.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
-    while True:
+    edges = common.written(ties.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "near-edges")
+    tasks = max(1, -(-edges.count() // task_edges))
+    edges = common.written(edges.coalesce(tasks).mapInArrow(_forests, "a long, b long"), "near-edges")
+    nxt = edges
+    while tasks > 1:
         nxt = common.written(star(star(edges, True), False), "near-edges")
         # done when every node has one edge and no node is both ends: all are stars
-        many = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-        if not many and not nxt.select("a").join(nxt.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
+        ends = nxt.select(F.col("a").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("head")).unionByName(
+            nxt.select(F.col("b").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("head"))
+        )
+        if ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("head").alias("head")).where("n > 1 OR n = 1 AND head = 1").isEmpty():
             break
         edges = nxt
     stars = nxt.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
 
 
+def _with_texts(docs: DataFrame, chosen: DataFrame, params: NearParams) -> DataFrame:
+    """The rows of ``chosen`` (node, ...; written) beside their texts. Up to ``broadcast_rows`` ids go to the texts, else both move."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
+    return texts.join(F.broadcast(chosen) if chosen.count() <= params.broadcast_rows else chosen, "node")
+
+
 def crowd_ties(docs: DataFrame, reps: DataFrame, crowded: DataFrame, params: NearParams) -> DataFrame:
     """a, b: classes of one crowded component (node, comp) that share a shingle of the prefix filter, each tied to the
     shingle's smallest class."""
@@ -213,8 +249,8 @@ def crowd_ties(docs: DataFrame, reps: DataFrame, crowded: DataFrame, params: Nea
                         names=["comp", "node", "n", "x"],
                     )
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
-    chosen = texts.join(crowded.join(reps.select("node", "d1"), "node"), "node").select("comp", "node", "d1", "text")
+    members = common.written(crowded.join(reps.select("node", "d1"), "node"), "near-crowd-members")
+    chosen = _with_texts(docs, members, params).select("comp", "node", "d1", "text")
     have = common.written(chosen.mapInArrow(run, "comp long, node long, n long, x long"), "near-shingles")
     often = have.groupBy("comp", "x").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 8)
     often = common.written(often, "near-often")
@@ -310,7 +346,7 @@ def verify(docs: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParam
     blocks = F.least(cut, F.col("m")).cast("int")
     whole = sized.where(blocks == 1).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("bytes")).first()
     packs = max(1, -(-whole["m"] // (2 * params.block)), -(-(whole["bytes"] or 0) // params.block_bytes))
-    placed = sized.select("node", "comp", "d1", blocks.alias("nb")).withColumn(
+    placed = sized.select("node", "comp", "d1", blocks.cast("int").alias("nb")).withColumn(
         "blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     )
     tasks = F.when(F.col("nb") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
@@ -323,10 +359,7 @@ def verify(docs: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParam
             ),
         )
     )
-    texts = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("node"), "text"
-    )
-    chosen = texts.join(placed, "node").withColumn("tasks", tasks)
+    chosen = _with_texts(docs, common.written(placed.withColumn("tasks", tasks), "near-placed"), params)
     schema = "node long, comp long, whole boolean, i int, j int, side int, s binary"
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,8 +177,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = near_join.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.comp for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+    ties = spark.createDataFrame(edges * 2, "a long, b long").repartition(8)
+    for held in (1_000_000, 20):
+        got = near_join.components(ties, held).collect()
+        assert {r.node: r.comp for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+    assert near_join.components(ties.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- media
