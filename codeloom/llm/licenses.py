@@ -7,9 +7,10 @@ diagonal, neighbouring diagonals of long templates are merged, and a span is ver
 template's words that exactly matched k-grams cover (the hash only finds candidates: the words themselves
 are compared at the join).
 
-Two kinds of templates: phrases (2-grams; every word must match, one diagonal is one place) and notices
-(5-grams; ``least`` of the words must be covered, diagonals up to ``slack`` apart are merged). The template
-table has a fixed number of rows, so it is broadcast; the text is never shuffled.
+Two kinds of templates: phrases (2-grams; every word must match, one diagonal is one place) and longer texts, the
+built-in notices and whole licenses and those of a table of the caller's (5-grams; ``least`` of the words must be
+covered, diagonals up to ``slack`` apart are merged). The built-in templates have a fixed number of positions and are
+broadcast, and so is a table up to ``broadcast_rows``; a larger one is joined by a shuffle of the k-grams.
 
 Words: A-Z lower-cased, then runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F].
 
@@ -75,33 +76,92 @@ NOTICES = {
 }
 
 
+# Whole texts of public licenses.
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_HOLDERS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEXTS = {
+    "mit-text": NOTICES["mit-notice"] + " " + _AS_IS,
+    "bsd-2-text": NOTICES["bsd-notice"] + " " + _HOLDERS,
+    "bsd-3-text": (
+        NOTICES["bsd-notice"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission. " + _HOLDERS
+    ),
+    "isc-text": (
+        NOTICES["isc-notice"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this "
+        "software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a "
+        "product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must "
+        "be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or "
+        "altered from any source distribution."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate "
+        "any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at "
+        "large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+        "perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+        "SOFTWARE."
+    ),
+}
+
+
 @dataclass(frozen=True)
 class LicenseParams:
-    """least: share of a notice's words that a span must cover; slack: distance of diagonals that are merged."""
+    """least: share of a notice's or given template's words that a span must cover; least_whole: the same for the built-in
+    whole texts, which hold notices; slack: distance of diagonals that are merged;
+    broadcast_rows: template positions up to which they are sent to every task."""
 
     least: float = 0.5
+    least_whole: float = 0.8
     slack: int = 3
+    broadcast_rows: int = 200_000
 
 
-def template_words(text: str) -> list[str]:
-    import re
+#: label and text of the templates that are there from the start.
+BUILT_IN = [*NOTICES.items(), *TEXTS.items()]
 
-    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    return re.findall(WORD, lower)
 
+def template_positions(spark: SparkSession, templates: DataFrame | None = None) -> DataFrame:
+    """gram (words joined by spaces), k, template, label, phrase, length, t: one row per position.
 
-def template_positions(spark: SparkSession) -> DataFrame:
-    """gram (words joined by spaces), k, template, label, phrase, length, t: one row per position."""
-    rows = []
-    for source, k, phrase in ((PHRASES, PHRASE_GRAM, True), (NOTICES, NOTICE_GRAM, False)):
-        for name, other in source.items():
-            words = template_words(name if phrase else other)
-            label = other if phrase else name
-            rows += [
-                (" ".join(words[t : t + k]), k, name, label, phrase, len(words), t) for t in range(len(words) - k + 1)
-            ]
-    found = spark.createDataFrame(rows, "gram string, k int, template string, label string, phrase boolean, length int, t int")
-    return found.withColumn("h", _gram_hash(F.col("k"), F.split("gram", " "), None))
+    templates: label and text of further templates; null and repeated ones, and texts of fewer than NOTICE_GRAM words, have none.
+    """
+    phrases = spark.createDataFrame([(k, v, True) for k, v in PHRASES.items()], "text string, label string, phrase boolean")
+    given = spark.createDataFrame([(t, label, False) for label, t in BUILT_IN], phrases.schema)
+    if templates is not None:
+        given = given.unionByName(templates.where("label IS NOT NULL AND text IS NOT NULL").select("text", "label", F.lit(False).alias("phrase")))
+    rows = phrases.unionByName(given.distinct()).withColumn("w", text_words(F.col("text")))
+    rows = rows.withColumn("k", F.when(F.col("phrase"), PHRASE_GRAM).otherwise(NOTICE_GRAM)).where(F.size("w") >= F.col("k"))
+    places = F.sequence(F.lit(0), F.size("w") - F.col("k"))
+    found = rows.select(
+        "k", F.concat_ws(":", "label", F.xxhash64("text")).alias("template"), "label", "phrase", F.size("w").alias("length"), "w",
+        F.explode(places).alias("t"),
+    )
+    gram = F.slice("w", F.col("t") + 1, F.col("k"))
+    return found.select(F.array_join(gram, " ").alias("gram"), "k", "template", "label", "phrase", "length", "t", _gram_hash(F.col("k"), gram, None).alias("h"))
 
 
 def _gram_hash(k: Column, words: Column, size: int | None) -> Column:
@@ -115,31 +175,32 @@ def text_words(text: Column) -> Column:
     return F.regexp_extract_all(common.ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def matches(docs: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, params: LicenseParams = LicenseParams(), templates: DataFrame | None = None) -> DataFrame:
     """doc_id, tk, p (word position) and the template position of every k-gram that a template has."""
-    templates = template_positions(docs.sparkSession)
+    positions = template_positions(docs.sparkSession, templates)
+    if templates is not None:  # of unknown size: looked at once, and joined by a shuffle when large
+        positions = common.written(positions, "license-positions")
+    small = templates is None or positions.count() <= params.broadcast_rows
     words = docs.select("doc_id", common.text_key(F.col("text")).alias("tk"), text_words(F.col("text")).alias("w"))
     shifted = [F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(NOTICE_GRAM)]
     rows = words.select("doc_id", "tk", F.posexplode(F.arrays_zip(*shifted)).alias("p", "x"))
     own = [F.col(f"x.w{i}") for i in range(NOTICE_GRAM)]
     last = lambda k: own[k - 1].isNotNull()
     hashes = [F.when(last(k), F.xxhash64(F.lit(k), *own[:k])) for k in (PHRASE_GRAM, NOTICE_GRAM)]
-    grams = [F.concat_ws(" ", *own[:k]) for k in (PHRASE_GRAM, NOTICE_GRAM)]
     hashed = rows.select(
         "doc_id", "tk", "p", *[c.alias(f"w{i}") for i, c in enumerate(own)], F.explode(F.array(*hashes)).alias("h")
     )
-    found = hashed.where("h IS NOT NULL").join(F.broadcast(templates), "h")
+    found = hashed.where("h IS NOT NULL").join(F.broadcast(positions) if small else positions, "h")
     exact = F.when(F.col("k") == PHRASE_GRAM, F.concat_ws(" ", "w0", "w1")).otherwise(
         F.concat_ws(" ", *[f"w{i}" for i in range(NOTICE_GRAM)])
     )
-    assert len(grams) == 2
     return found.where(exact == F.col("gram")).select("doc_id", "tk", "p", "template", "label", "phrase", "length", "k", "t")
 
 
-def spans(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
+def spans(docs: DataFrame, params: LicenseParams = LicenseParams(), templates: DataFrame | None = None) -> DataFrame:
     """doc_id, tk, template, label, phrase, first (word), last (word), coverage of every verified span."""
     key = ["doc_id", "tk", "template", "label", "phrase", "length", "k"]
-    votes = matches(docs).groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal")).agg(
+    votes = matches(docs, params, templates).groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal")).agg(
         F.collect_set("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi")
     )
     order = Window.partitionBy("doc_id", "tk", "template").orderBy("diagonal")
@@ -155,15 +216,19 @@ def spans(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame
         F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + F.col("k") - 1))))
     ) / F.col("length")
     judged = merged.withColumn("coverage", covered)
-    return judged.where(F.when(F.col("phrase"), F.col("coverage") == 1).otherwise(F.col("coverage") >= params.least)).select(
+    least = F.when(F.col("phrase"), 1.0).when(F.col("label").isin(*TEXTS), params.least_whole).otherwise(params.least)
+    return judged.where(F.col("coverage") >= least).select(
         "doc_id", "tk", "template", "label", "phrase", "first", "last", "coverage"
     )
 
 
-def scan(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
+def scan(docs: DataFrame, params: LicenseParams = LicenseParams(), templates: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
+
+    templates: a table of label and text to scan for besides the built-in ones.
+    """
     base = F.col("phrase")
-    found = spans(docs, params).groupBy("doc_id", "tk").agg(
+    found = spans(docs, params, templates).groupBy("doc_id", "tk").agg(
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),

@@ -410,14 +410,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, params: ToxicParams) ->
     prior = counts.get(1, 0) / total if total else 0.0
     if not (counts.get(0) and counts.get(1)):
         return [], [], prior
+    short = docs.where(F.length("text") <= params.train_chars)
+    # only ids that have a text short enough are drawn, so the sample is whole
+    ids = short.where(F.col("doc_id").isNotNull()).select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = common.written(ids, "toxic-ids")
+    counts = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     half = params.train_rows // 2
-    wanted = {1: max(half, params.train_rows - counts[0]), 0: max(half, params.train_rows - counts[1])}
+    wanted = {1: max(half, params.train_rows - counts.get(0, 0)), 0: max(half, params.train_rows - counts.get(1, 0))}
     rows = []
     for label, most in wanted.items():
-        drawn = known.where(F.col("toxic") == label).orderBy(F.xxhash64(F.lit(params.seed), "doc_id"), "doc_id").limit(most)
-        texts = docs.where(F.length("text") <= params.train_chars).select("doc_id", "text")
-        # at most train_rows ids: a bound by parameter
-        rows += texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
+        drawn = ids.where(F.col("toxic") == label).orderBy(F.xxhash64(F.lit(params.seed), "doc_id"), "doc_id").limit(most)
+        # at most train_rows ids: a bound by parameter; one text for an id, however often it is there
+        texts = short.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        rows += texts.select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows], prior
 

@@ -275,3 +275,19 @@ def test_license_scan(spark, odd_docs, no_docs):
 def test_kept_hash_matches(odd_docs, plain_rows):
     got = line_dedup.deduped(odd_docs).select(F.sha2("kept_text", 256)).collect()
     assert Counter(r[0] for r in got) == Counter(hashlib.sha256(x[3].encode()).hexdigest() for x in dedup(plain_rows))
+
+
+def test_license_templates_can_be_given(spark):
+    own = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. " * 2
+    given = [("own", own), ("own", own), ("short", "three words only"), (None, own), ("null", None)]
+    templates = spark.createDataFrame(given, "label string, text string")
+    rows = [(1, "x y " + own.upper() + " z"), (2, own[:60]), (3, licenses.TEXTS["isc-text"]), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for params in (licenses.LicenseParams(), licenses.LicenseParams(broadcast_rows=0)):
+        got = {r.doc_id: r for r in licenses.scan(docs, params, templates).collect()}
+        assert got[1].labels == "own" and got[1].score == 1.0 and got[1].base_labels == ""
+        assert got[4].labels == "" and "isc-text" in got[3].labels.split(",")
+    assert "own" not in licenses.scan(docs).where("doc_id = 1").first().labels
+    for label, text in licenses.BUILT_IN:
+        found = licenses.scan(spark.createDataFrame([(1, "before " + text.lower() + " after")], "doc_id long, text string")).first()
+        assert label in found.labels.split(",") and found.score == 1.0
