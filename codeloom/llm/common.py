@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local session gets one of its own; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: the driver and the executors have no folder in common")
         found = os.path.join(tempfile.gettempdir(), "codeloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,14 +36,32 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back. Survives lost executors."""
+    """Cut the lineage: write to the shared folder, read back. Survives lost executors. ``sweep`` deletes what was written."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete all that ``written`` wrote so far, once results have been used or stored. Returns the number of folders."""
+    n = 0
+    while _WRITTEN:
+        delete(spark, _WRITTEN.pop())
+        n += 1
+    return n
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def local_path(uri: str) -> str | None:
     """The mounted path behind a URI, or None for a store that only Spark or Arrow reaches."""
     parts = urlparse(uri)

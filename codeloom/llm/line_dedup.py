@@ -9,6 +9,11 @@ level has gathered ``fanout`` runs, they are compacted into one run of the
 next level, so a key is rewritten once per level and the number of live runs
 is at most ``fanout`` times the number of levels.
 
+A store outlives a call: ``RunStore.open(spark, folder)`` takes up what an earlier session left there, and
+``dedup_documents(docs, store=...)`` drops the lines that documents of earlier calls hold, then adds its own. The
+store's list of runs is written last, under a new number each time, so a job that breaks off leaves the list before
+it whole. A call without a store makes one for itself and removes it, also where it fails.
+
 A key is the line without the blanks [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased; only keys of
 ``min_chars`` code points or more take part. Batches are ranges of doc_id in rising order, so the
 owner of a key is the smallest doc_id that holds it.
@@ -23,8 +28,10 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,18 +50,68 @@ class LineParams:
 
 @dataclass
 class RunStore:
-    """The live runs, by level. Tables lie in the shared folder; names are unique to the store."""
+    """The live runs, by level. Tables lie in ``folder``; their names are unique to the store."""
 
     spark: SparkSession
     fanout: int
     buckets: int
+    folder: str = ""
     levels: list[list[str]] = field(default_factory=list)
     serial: int = 0
     tag: str = field(default_factory=lambda: uuid.uuid4().hex)
+    _replaced: list[str] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.folder = (self.folder or common.fresh_path(self.spark, "line-store")).rstrip("/")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, params: LineParams = LineParams()) -> RunStore:
+        """The store in ``folder``, or an empty one there. Its latest list of runs counts."""
+        store = cls(spark, params.fanout, int(spark.conf.get("spark.sql.shuffle.partitions")), folder)
+        lists = store._lists()
+        if lists:
+            found = json.loads(spark.read.text(lists[-1], wholetext=True).first()[0])
+            store.levels, store.serial, store.tag, store.buckets = (found[k] for k in ("levels", "serial", "tag", "buckets"))
+            for name in store.live():
+                store._register(name)
+        return store
 
     def live(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
+    def _lists(self) -> list[str]:
+        """Paths of the lists of runs, oldest first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs-*.json")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(x.getPath().toString() for x in found)
+
+    def _register(self, name: str) -> None:
+        """Tell the catalog of a run that an earlier session wrote."""
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"{c} BIGINT" for c in KEY)
+            keys = ", ".join(KEY)
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS "
+                f"LOCATION '{self.folder}/{name}'"
+            )
+
+    def save(self) -> None:
+        """Write the list of runs, then delete the lists and the runs that it replaces."""
+        old, kept = self._lists(), set(self.live())
+        state = json.dumps({"levels": self.levels, "serial": self.serial, "tag": self.tag, "buckets": self.buckets})
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs-{self.serial:012d}-{uuid.uuid4().hex}.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(state.encode()))
+        finally:
+            out.close()
+        for x in old:
+            common.delete(self.spark, x)
+        for name in self._replaced:
+            if name not in kept:
+                self._drop(name)
+        self._replaced.clear()
+
     def _write(self, keys: DataFrame) -> str:
         self.serial += 1
         name = f"line_run_{self.tag}_{self.serial}"
@@ -63,8 +120,9 @@ class RunStore:
             .repartition(self.buckets, *KEY)
             .write.bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
-            .option("path", f"{common.shared_dir(self.spark)}/{name}")
+            .option("path", f"{self.folder}/{name}")
             .format("parquet")
+            .mode("overwrite")
             .saveAsTable(name)
         )
         return name
@@ -78,20 +136,15 @@ class RunStore:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            runs = [self.spark.table(t) for t in self.levels[level]]
-            merged = runs[0].select(*KEY)
-            for run in runs[1:]:
-                merged = merged.unionByName(run.select(*KEY))
-            name = self._write(merged)
+            runs = [self.spark.table(t).select(*KEY) for t in self.levels[level]]
+            name = self._write(reduce(DataFrame.unionByName, runs))
             old, self.levels[level] = self.levels[level], []
-            for t in old:
-                self._drop(t)
+            self._replaced += old  # dropped when the list of runs no longer names them
             self._put(level + 1, name)
 
     def _drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{common.shared_dir(self.spark)}/{name}")
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        common.delete(self.spark, f"{self.folder}/{name}")
 
     def mark(self, keys: DataFrame) -> DataFrame:
         """``keys`` plus ``known``: whether any live run holds the key. One merge join per run."""
@@ -104,9 +157,11 @@ class RunStore:
         return marked
 
     def close(self) -> None:
-        for t in self.live():
+        """Delete the store and all its runs."""
+        for t in [*self.live(), *self._replaced]:
             self._drop(t)
-        self.levels = []
+        self.levels, self._replaced = [], []
+        common.delete(self.spark, self.folder)
 
 
 def line_key(line: Column) -> Column:
@@ -127,47 +182,51 @@ def keyed_lines(docs: DataFrame, params: LineParams) -> DataFrame:
     )
 
 
-def line_drops(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """doc_id, tk, line_no of every line to drop."""
+def line_drops(docs: DataFrame, params: LineParams = LineParams(), store: RunStore | None = None) -> DataFrame:
+    """doc_id, tk, line_no of every line to drop. With a store, also lines that it knows from earlier calls."""
     spark = docs.sparkSession
-    lines = common.written(keyed_lines(docs, params), "line-keys")
-    cuts = _cuts(lines, params.batches)
-    store = RunStore(spark, params.fanout, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    drops = None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("doc_id") >= low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") < high)
+    own = RunStore(spark, params.fanout, int(spark.conf.get("spark.sql.shuffle.partitions"))) if store is None else None
+    try:
+        return _drops(docs, params, own or store, store is not None)
+    finally:
+        if own is not None:
+            own.close()
+
+
+def _drops(docs: DataFrame, params: LineParams, store: RunStore, stays: bool) -> DataFrame:
+    cuts = _cuts(docs, params.batches)
+    batch_of = sum(((F.col("doc_id") >= c).cast("int") for c in cuts), F.lit(0))
+    path = common.fresh_path(docs.sparkSession, "line-keys")
+    keyed = keyed_lines(docs, params)
+    keyed.withColumn("batch", batch_of).write.partitionBy("batch").parquet(path)  # a batch reads its own folder alone
+    lines = docs.sparkSession.read.schema(keyed.schema.add("batch", "integer")).parquet(path)
+    drops = []
+    for k in range(len(cuts) + 1):
+        batch = lines.where(F.col("batch") == k)
         owners = batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
         marked = common.written(store.mark(owners), "line-owners")
         lost = marked.where(F.col("known") | (F.col("owner") < F.col("last")))
-        here = (
-            batch.join(lost, KEY)
-            .where(F.col("known") | (F.col("doc_id") != F.col("owner")))
-            .select("doc_id", "tk", "line_no")
-        )
-        here = common.written(here, "line-drops")
-        drops = here if drops is None else drops.unionByName(here)
-        if high is not None:
+        here = batch.join(lost, KEY).where(F.col("known") | (F.col("doc_id") != F.col("owner")))
+        drops.append(common.written(here.select("doc_id", "tk", "line_no"), "line-drops"))
+        if stays or k < len(cuts):
             store.add(marked.where(~F.col("known")))
-    store.close()
-    return drops
+    if stays:
+        store.save()
+    return reduce(DataFrame.unionByName, drops)
 
 
-def _cuts(lines: DataFrame, batches: int) -> list[int]:
-    """Rising doc_ids that split the rows into about equal batches. A fixed number of values reaches the driver."""
+def _cuts(docs: DataFrame, batches: int) -> list[int]:
+    """Rising doc_ids that split the documents into about equal batches. A fixed number of values reaches the driver."""
     if batches < 2:
         return []
-    shares = [i / batches for i in range(1, batches)]
-    found = lines.select(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(1000)).alias("q")).first()[0]
-    return sorted(set(found or []))
+    shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
+    found = docs.select(F.percentile_approx("doc_id", shares, F.lit(1000)).alias("q"))
+    return sorted(set(found.first()[0] or []))
 
 
-def _kept(docs: DataFrame, payload: Column, params: LineParams) -> DataFrame:
+def _kept(docs: DataFrame, payload: Column, params: LineParams, store: RunStore | None = None) -> DataFrame:
     """payload, n_lines, n_dropped and the text that stays, for every row of ``docs``."""
-    drops = line_drops(docs, params).groupBy("doc_id", "tk").agg(F.collect_set("line_no").alias("gone"))
+    drops = line_drops(docs, params, store).groupBy("doc_id", "tk").agg(F.collect_set("line_no").alias("gone"))
     drops = drops.select(F.col("doc_id").alias("__doc"), F.col("tk").alias("__tk"), "gone")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(payload.alias("__row"), F.col("doc_id").alias("__id"), text.alias("__text"))
@@ -187,13 +246,13 @@ def _kept(docs: DataFrame, payload: Column, params: LineParams) -> DataFrame:
     )
 
 
-def deduped(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+def deduped(docs: DataFrame, params: LineParams = LineParams(), store: RunStore | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for every row of ``docs``."""
-    kept = _kept(docs.select("doc_id", "text"), F.col("doc_id"), params)
+    kept = _kept(docs.select("doc_id", "text"), F.col("doc_id"), params, store)
     return kept.withColumnRenamed("__row", "doc_id")
 
 
-def dedup_documents(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+def dedup_documents(docs: DataFrame, params: LineParams = LineParams(), store: RunStore | None = None) -> DataFrame:
     """``docs`` with the staying text and n_chars to match; a null text stays null. Other columns as they came."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     row = F.struct(
@@ -201,7 +260,7 @@ def dedup_documents(docs: DataFrame, params: LineParams = LineParams()) -> DataF
         F.col("text").isNull().alias("__null_text"),
         *([F.col("n_chars")] if "n_chars" in docs.columns else []),
     )
-    kept = _kept(docs, row, params)
+    kept = _kept(docs, row, params, store)
     text = F.when(~F.col("__row.__null_text"), F.col("kept_text"))
     out = {c: F.col(f"__row.`{c}`") for c in rest}
     out["text"] = text

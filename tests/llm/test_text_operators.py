@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -151,6 +152,31 @@ def test_runs_are_compacted(spark):
     store.close()
 
 
+def test_a_store_takes_new_batches(spark, tmp_path):
+    """What earlier calls hold goes; a broken call leaves the list of runs as it was."""
+    params, folder = line_dedup.LineParams(batches=2, fanout=2), str(tmp_path / "store")
+    rng, seen = random.Random(3), set()
+    for day in range(5):
+        rows = [(100 * day + i, "\n".join(f"line number {rng.randrange(60)}" for _ in range(6)) + "\nshort") for i in range(12)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        store = line_dedup.RunStore.open(spark, folder, params)  # as a later session would
+        got = {r.doc_id: r.kept_text for r in line_dedup.deduped(docs, params, store).collect()}
+        fresh = dedup([(i, t) for i, t in rows])
+        for (i, text), (_, _, _, left) in zip(rows, fresh):
+            assert got[i] == "\n".join(x for x in left.split("\n") if x == "short" or x not in seen), (day, i)
+        seen |= {x for _, t in rows for x in t.split("\n")}
+        if day == 2:  # breaks off before its list is written
+            broken = line_dedup.RunStore.open(spark, folder, params)
+            broken.add(spark.createDataFrame([(7, 7)], "h1 long, h2 long"))
+            assert broken.live() != line_dedup.RunStore.open(spark, folder, params).live()
+    assert len(store.live()) <= 2 * len(store.levels)
+    for name in store.live():
+        spark.sql(f"DROP TABLE {name}")  # another session's catalog does not know the runs
+    again = line_dedup.RunStore.open(spark, folder, params)
+    assert sum(spark.table(t).count() for t in again.live()) == len(seen - {"short"})
+    again.close()
+
+
 # ---------------------------------------------------------------- mixing
 
 
