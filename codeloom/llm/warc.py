@@ -6,7 +6,11 @@ is a WARC/1.1 header block, the record block (an HTTP response) and two line
 ends. The reader loads the dictionary, decodes one frame at a time and
 validates the version line, the required headers, the block length, the HTTP
 length and the block and payload digests; a fault raises ``WarcError`` that
-names the archive and the byte offset.
+names the archive and the byte offset. Archives are read as streams: a reader holds one record and a buffer.
+
+Archives of others. ``read_records`` takes any WARC/1.0 or 1.1 archive of one Zstandard frame per record, with or
+without a dictionary: all record types, any record ids, digests in MD5, SHA-1, SHA-256 or SHA-512, hexadecimal or
+base 32; digests of another algorithm are returned unchecked. ``read_archives`` is for the pages written here.
 
 Payloads of ``min_bytes`` or more that repeat are stored once: the smallest
 record key holds the response, the others are revisits that keep the HTTP
@@ -20,10 +24,13 @@ Defined results
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import io
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,21 +88,40 @@ def record_bytes(page_id, url: str, payload: bytes, digest: str, length: int, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(raw: bytes, where: str = "") -> dict:
-    """Validate one record and take it apart."""
+#: What every record must say.
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+
+
+def _same_digest(told: str, data: bytes) -> bool | None:
+    """Whether a header's digest is that of data; None for an algorithm that is not known here."""
+    algorithm, _, value = told.partition(":")
+    name = algorithm.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    found = hashlib.new(name, data).digest()
+    return value.strip().lower() in (found.hex(), base64.b32encode(found).decode().rstrip("=").lower(), base64.b32encode(found).decode().lower())
+
+
+def parse_warc(raw: bytes, where: str = "") -> dict:
+    """Any record: validated headers (names in lower case), block and payload. A revisit has no payload."""
     cut = raw.find(b"\r\n\r\n")
     if cut < 0:
         raise WarcError(f"{where}: no end of the headers")
-    lines = raw[:cut].split(b"\r\n")
-    if lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
-        raise WarcError(f"{where}: not a WARC version line: {lines[0][:40]!r}")
-    head = {}
-    for line in lines[1:]:
+    version, *lines = raw[:cut].split(b"\r\n")
+    if version not in (b"WARC/1.0", b"WARC/1.1"):
+        raise WarcError(f"{where}: not a WARC version line: {version[:40]!r}")
+    head: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last:  # a folded line
+            head[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise WarcError(f"{where}: not a header: {line[:40]!r}")
-        head[name.strip().lower().decode()] = value.strip().decode()
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
+        last = name.strip().lower().decode("utf-8", "replace")
+        head[last] = value.strip().decode("utf-8", "replace")
+    for name in REQUIRED:
         if name not in head:
             raise WarcError(f"{where}: {name} is missing")
     if not head["content-length"].isdigit():
@@ -104,32 +130,50 @@ def parse_record(raw: bytes, where: str = "") -> dict:
     block, tail = raw[cut + 4 : cut + 4 + length], raw[cut + 4 + length :]
     if len(block) != length or tail != b"\r\n\r\n":
         raise WarcError(f"{where}: the block does not end where Content-Length says")
-    if "warc-block-digest" in head and head["warc-block-digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
+    if "warc-block-digest" in head and _same_digest(head["warc-block-digest"], block) is False:
         raise WarcError(f"{where}: the block digest differs")
-    http = block.find(b"\r\n\r\n")
-    if http < 0:
+    kind, payload, http = head["warc-type"].lower(), block, None
+    if head.get("content-type", "").lower().startswith("application/http"):
+        end = block.find(b"\r\n\r\n")
+        if end < 0:
+            raise WarcError(f"{where}: the HTTP headers do not end")
+        http, payload = block[:end], block[end + 4 :]
+    if kind == "revisit":
+        payload = None
+    elif "warc-payload-digest" in head and _same_digest(head["warc-payload-digest"], payload) is False:
+        raise WarcError(f"{where}: the payload differs from its digest")
+    return {"head": head, "type": kind, "http": http, "block": block, "payload": payload}
+
+
+def parse_record(raw: bytes, where: str = "") -> dict:
+    """Validate a record of a page written here and take it apart."""
+    record = parse_warc(raw, where)
+    head, http = record["head"], record["http"]
+    if "warc-payload-digest" not in head:
+        raise WarcError(f"{where}: warc-payload-digest is missing")
+    if http is None:
         raise WarcError(f"{where}: the HTTP headers do not end")
-    told = [x.split(b":", 1)[1] for x in block[:http].split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")]
+    told = [x.split(b":", 1)[1] for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")]
     if len(told) != 1 or not told[0].strip().isdigit():
         raise WarcError(f"{where}: the HTTP length is missing")
-    payload, payload_len = block[http + 4 :], int(told[0])
+    body, payload_len = record["block"][len(http) + 4 :], int(told[0])
     algorithm, _, digest = head["warc-payload-digest"].partition(":")
     if algorithm != "sha256" or len(digest) != 64:
         raise WarcError(f"{where}: the payload digest is not SHA-256")
-    kind, refers = head["warc-type"], None
-    if kind == "response":
-        if len(payload) != payload_len or hashlib.sha256(payload).hexdigest() != digest:
+    refers = None
+    if record["type"] == "response":
+        if len(body) != payload_len:
             raise WarcError(f"{where}: the payload differs from its headers")
-    elif kind == "revisit":
-        if payload or not (refers := _page(head.get("warc-refers-to", ""), where)):
+    elif record["type"] == "revisit":
+        if body or not (refers := _page(head.get("warc-refers-to", ""), where)):
             raise WarcError(f"{where}: a revisit with a payload or without a reference")
-        refers, payload = int(refers), None
+        refers = int(refers)
     else:
-        raise WarcError(f"{where}: unknown record type {kind[:40]}")
+        raise WarcError(f"{where}: unknown record type {record['type'][:40]}")
     name = _page(head["warc-record-id"], where)
     return {
-        "page_id": None if name == "null" else int(name), "url": head.get("warc-target-uri"), "payload": payload,
-        "payload_bytes": payload_len, "payload_digest": digest, "record_type": kind, "refers_to": refers,
+        "page_id": None if name == "null" else int(name), "url": head.get("warc-target-uri"), "payload": record["payload"],
+        "payload_bytes": payload_len, "payload_digest": digest, "record_type": record["type"], "refers_to": refers,
     }
 
 
@@ -172,42 +216,88 @@ class ArchiveWriter:
         return b"".join(self.parts)
 
 
-def read_archive(data: bytes, where: str = "", max_record: int = 1 << 31) -> Iterator[dict]:
-    """The records of one archive, one frame at a time."""
+class _Feed:
+    """A stream that can be looked into before it is read."""
+
+    def __init__(self, stream: BinaryIO, step: int = 1 << 18):
+        self.stream, self.step, self.held, self.at = stream, step, b"", 0
+
+    def look(self, n: int) -> bytes:
+        while len(self.held) < n and (more := self.stream.read(max(self.step, n - len(self.held)))):
+            self.held += more
+        return self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        out, self.held = self.look(n), self.held[n:]
+        self.at += len(out)
+        return out
+
+    def some(self) -> bytes:
+        return self.take(len(self.held) or len(self.look(self.step)))
+
+    def give_back(self, data: bytes) -> None:
+        self.held = data + self.held
+        self.at -= len(data)
+
+
+def _skippable(magic: bytes) -> bool:
+    return len(magic) == 4 and struct.unpack("<I", magic)[0] & 0xFFFFFFF0 == 0x184D2A50
+
+
+def read_frames(stream: BinaryIO, where: str = "", max_record: int = 1 << 31, dictionary: bool = True) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of every Zstandard frame. dictionary: whether the stream has to begin with one."""
     import zstandard
 
-    if len(data) < 8:
-        raise WarcError(f"{where}: too short for a dictionary frame")
-    magic, size = struct.unpack_from("<II", data)
-    if magic != SKIPPABLE or 8 + size > len(data):
+    feed, found = _Feed(stream), None
+    if struct.pack("<I", SKIPPABLE) == feed.look(4):
+        size = struct.unpack("<II", feed.take(8).ljust(8, b"\xff"))[1]
+        content = feed.take(size) if size < 1 << 28 else b""
+        if len(content) < size:
+            raise WarcError(f"{where}: the dictionary is cut off")
+        if content[:4] == ZSTD_MAGIC:
+            try:
+                content = zstandard.ZstdDecompressor().decompress(content, max_output_size=1 << 26)
+            except zstandard.ZstdError as e:
+                raise WarcError(f"{where}: the dictionary: {e}") from e
+        found = zstandard.ZstdCompressionDict(content)
+    elif dictionary or not feed.look(4):
         raise WarcError(f"{where}: no leading dictionary frame")
-    dictionary = data[8 : 8 + size]
-    if dictionary[:4] == ZSTD_MAGIC:
-        dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=1 << 26)
-    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-    view, at = memoryview(data), 8 + size
-    while at < len(data):
-        here = f"{where} at {at}"
-        if bytes(view[at : at + 4]) != ZSTD_MAGIC:
+    reader = zstandard.ZstdDecompressor(dict_data=found) if found else zstandard.ZstdDecompressor()
+    unknown = (zstandard.CONTENTSIZE_UNKNOWN, zstandard.CONTENTSIZE_ERROR)
+    while magic := feed.look(4):
+        here, at = f"{where} at {feed.at}", feed.at
+        if _skippable(magic):
+            size = struct.unpack("<II", feed.take(8).ljust(8, b"\xff"))[1]
+            if len(feed.take(size)) < size:
+                raise WarcError(f"{here}: a skippable frame is cut off")
+            continue
+        if magic != ZSTD_MAGIC:
             raise WarcError(f"{here}: no Zstandard frame")
         try:
-            told = zstandard.get_frame_parameters(view[at : at + 18]).content_size
-            if told > max_record and told not in (zstandard.CONTENTSIZE_UNKNOWN, zstandard.CONTENTSIZE_ERROR):
+            told = zstandard.get_frame_parameters(feed.look(18)).content_size
+            if told > max_record and told not in unknown:
                 raise WarcError(f"{here}: a record of {told} bytes")
-            frame = reader.decompressobj()
-            parts, fed = [], at
-            while not frame.eof and fed < len(data):  # slices, so that what follows a frame is copied once at most
-                parts.append(frame.decompress(view[fed : fed + 65_536]))
-                fed = min(len(data), fed + 65_536)
-            raw = b"".join(parts)
+            frame, parts, size = reader.decompressobj(), [], 0
+            while not frame.eof and (data := feed.some()):
+                parts.append(frame.decompress(data))
+                size += len(parts[-1])
+                if size > max_record:
+                    raise WarcError(f"{here}: a record of more than {max_record} bytes")
         except zstandard.ZstdError as e:
             raise WarcError(f"{here}: {e}") from e
         if not frame.eof:
             raise WarcError(f"{here}: the frame is cut off")
-        if told not in (zstandard.CONTENTSIZE_UNKNOWN, zstandard.CONTENTSIZE_ERROR) and told != len(raw):
-            raise WarcError(f"{here}: the frame holds {len(raw)} bytes, its header says {told}")
-        at = fed - len(frame.unused_data)
-        yield parse_record(raw, here)
+        if told not in unknown and told != size:
+            raise WarcError(f"{here}: the frame holds {size} bytes, its header says {told}")
+        feed.give_back(frame.unused_data)
+        yield at, b"".join(parts)
+
+
+def read_archive(data: bytes | BinaryIO, where: str = "", max_record: int = 1 << 31) -> Iterator[dict]:
+    """The page records of one archive written here, one frame at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    for at, raw in read_frames(stream, where, max_record):
+        yield parse_record(raw, f"{where} at {at}")
 
 
 # ---------------------------------------------------------------- Spark
@@ -304,27 +394,65 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
         store, root = _store(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                with store.open_input_file(f"{root}/{r['path']}") as f:
-                    data = f.read()
-                rows, held = [], 0
                 count = 0
-                for x in read_archive(data, r["path"]):
-                    count += 1
-                    if not payloads:
-                        x["payload"] = None
-                    rows.append(x)
-                    held += len(x["payload"] or b"")
-                    if held > 4_000_000 or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+                def counted(f, path=r["path"]):
+                    nonlocal count
+                    for x in read_archive(f, path):
+                        count += 1
+                        yield x if payloads else {**x, "payload": None}
+
+                with store.open_input_stream(f"{root}/{r['path']}", compression=None) as f:
+                    yield from _in_batches(counted(f), schema)
                 if count != r["n_records"]:
                     raise WarcError(f"{r['path']}: {count} records, the manifest has {r['n_records']}")
 
     return manifest.select("path", "n_records").mapInArrow(run, RECORD)
 
 
+def _in_batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 5,000 rows and about 4 MB of payload."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += len(row["payload"] or b"")
+        if held > 4_000_000 or len(part) >= 5000:
+            yield pa.RecordBatch.from_pylist(part, schema)
+            part, held = [], 0
+    if part:
+        yield pa.RecordBatch.from_pylist(part, schema)
+
+
+def read_records(paths: DataFrame, max_record: int = 1 << 31) -> DataFrame:
+    """Every record of any WARC archives (column path, a URI): path, offset, record_id, record_type, target_uri, date,
+    content_type, payload (null for a revisit), payload_digest as told, refers_to. A fault is an error that names its place."""
+    schema = pa.schema(
+        [("path", pa.string()), ("offset", pa.int64()), *[(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "date", "content_type")],
+         ("payload", pa.binary()), ("payload_digest", pa.string()), ("refers_to", pa.string())]
+    )
+
+    def records(path: str) -> Iterator[dict]:
+        store, place = _store(path)
+        with store.open_input_stream(place, compression=None) as f:
+            for at, raw in read_frames(f, path, max_record, dictionary=False):
+                record = parse_warc(raw, f"{path} at {at}")
+                told = record["head"].get
+                yield {
+                    "path": path, "offset": at, "record_id": told("warc-record-id"), "record_type": record["type"],
+                    "target_uri": told("warc-target-uri"), "date": told("warc-date"), "content_type": told("content-type"),
+                    "payload": record["payload"], "payload_digest": told("warc-payload-digest"), "refers_to": told("warc-refers-to"),
+                }
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                yield from _in_batches(records(path), schema)
+
+    fields = "path string, offset long, record_id string, record_type string, target_uri string, date string, content_type string"
+    named = paths.where("path IS NOT NULL").select("path")
+    return named.mapInArrow(run, fields + ", payload binary, payload_digest string, refers_to string")
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, params: WarcParams = WarcParams(), payloads: bool = False) -> DataFrame:
     """Write every page to archives in the shared folder and read the archives back."""
     folder = common.fresh_path(spark, "warc")

@@ -1,6 +1,7 @@
 """Near joins, media, language model, BPE, WARC, toxicity and the pipeline."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -513,6 +514,53 @@ def test_faults_are_reported():
             warc.parse_record(good.replace(old, new, 1) if old != b"abc" else good.replace(old, new))
 
 
+def test_archives_of_others(spark, tmp_path):
+    """All record types, foreign ids, SHA-1 in base 32, folded headers; with and without a dictionary; clashing columns."""
+    import base64
+
+    import zstandard
+
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>page</p>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"<p>page</p>").digest()).decode()
+    whole = "sha1:" + hashlib.sha1(body).hexdigest().upper()
+
+    def record(kind, block, *more, version="1.0"):
+        head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response"
+    raw = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/"),
+        record("response", body, http, f"WARC-Payload-Digest: {sha1}", f"WARC-Block-Digest: {whole}", "X-Note: folded", "  over lines", version="1.1"),
+        record("revisit", body[:46], http, f"WARC-Payload-Digest: {sha1}", "WARC-Refers-To: <urn:uuid:response>"),
+        record("metadata", b"", "WARC-Payload-Digest: tiger:unknown"),
+    ]
+    assert body[:46].endswith(b"\r\n\r\n") or b"\r\n\r\n" in body[:46]
+    bare = zstandard.ZstdCompressor(write_content_size=False)
+    files = {"bare": b"".join(bare.compress(r) for r in raw)}
+    words = zstandard.ZstdCompressionDict(b"WARC/1.0 WARC-Type: response " * 30)
+    with_words = zstandard.ZstdCompressor(dict_data=words)
+    frames = [with_words.compress(r) for r in raw]
+    frames.insert(2, struct.pack("<II", 0x184D2A50, 3) + b"xyz")  # frames to be skipped may stand anywhere
+    files["worded"] = struct.pack("<II", 0x184D2A5D, len(words.as_bytes())) + words.as_bytes() + b"".join(frames)
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([(str(tmp_path / n), "clash", 1) for n in files] + [(None, "", 0)], "path string, record_id string, offset int")
+    got = warc.read_records(paths).collect()
+    for name in files:
+        rows = sorted((r for r in got if r.path.endswith(name)), key=lambda r: r.offset)
+        assert [r.record_type for r in rows] == ["warcinfo", "request", "response", "revisit", "metadata"]
+        assert [r.payload for r in rows] == [b"software: x\r\n", b"", b"<p>page</p>", None, b""]
+        assert rows[3].refers_to == rows[2].record_id == "<urn:uuid:response>" and rows[2].payload_digest == sha1
+    broken = raw[2].replace(b"<p>page", b"<p>pagf")
+    with pytest.raises(warc.WarcError):
+        warc.parse_warc(broken)
+    with pytest.raises(warc.WarcError):
+        list(warc.read_frames(io.BytesIO(bare.compress(b"x" * 5000)), max_record=1000, dictionary=False))
+    assert warc.read_records(paths.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- toxicity
 
 
