@@ -33,6 +33,7 @@ Defined results
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,6 +48,8 @@ from . import common, hashing
 
 END = np.uint64(0x5E17D5E17D5E17D5)
 START = np.uint64(0x57A57A57A57A57A5)
+#: Files that a worker keeps mapped: far below what a process may map.
+OPEN_FILES = 4096
 
 
 @dataclass(frozen=True)
@@ -165,6 +168,11 @@ def _save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
             f.write(data)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each, or eight where one needs them."""
+    return counts.astype("<u8" if len(counts) and int(counts.max()) >= 2**32 else "<u4")
+
+
 _KINDS = {1: "u1", 4: "<u4", 8: "<u8"}
 
 
@@ -258,8 +266,8 @@ def _pair_shard(folder: str, word_shards: int, spread: np.ndarray):
             {"kind": "spread", "shard": shard, "name": None, "stats": [int(context.view(np.int64)[i]), *[int(x[i]) for x in groups]], "data": None}
             for i in np.flatnonzero(wide)
         ]
-        own = [context[~wide], groups[0][~wide].astype("<u8"), *[x[~wide].astype("<u4") for x in groups[1:]]]
-        _save(folder, name, [g[order], np.minimum(c[order], 2**32 - 1).astype("<u4"), *own])
+        own = [context[~wide], groups[0][~wide].astype("<u8"), *[_narrow(x[~wide]) for x in groups[1:]]]
+        _save(folder, name, [g[order], _narrow(c[order]), *own])
         q = shard_of(w, word_shards)
         order = np.lexsort((w, q))
         q, w, c = q[order], w[order], c[order]
@@ -364,14 +372,18 @@ class MappedModel:
 
     def __init__(self, model: LmModel):
         self.model = model
-        self.open: dict[str, list[np.ndarray]] = {}
+        self.open: OrderedDict[str, list[np.ndarray]] = OrderedDict()
         table = np.array(sorted((v % 2**64, *rest) for v, *rest in model.spread), dtype=object).reshape(-1, 5)
         self.spread = table[:, 0].astype(np.uint64)
         self.spread_stats = table[:, 1:].astype(float)
 
     def arrays(self, name: str) -> list[np.ndarray]:
+        """The arrays of a file. At most ``OPEN_FILES`` stay mapped, those used last."""
         if name not in self.open:
+            while len(self.open) >= OPEN_FILES:
+                self.open.popitem(last=False)
             self.open[name] = _open(self.model.folder, name)
+        self.open.move_to_end(name)
         return self.open[name]
 
     @staticmethod

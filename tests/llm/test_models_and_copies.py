@@ -415,6 +415,16 @@ def test_language_model(odd_docs, plain_rows, chars):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
+def test_large_counts_are_kept(tmp_path):
+    """Counts beyond 32 bits pass through packing and the stored arrays."""
+    v, w, c = (np.array(x, np.uint64) for x in ([1, 1, 2], [5, 6, 5], [2**40, 254, 255]))
+    got = language_model.unpack(language_model.pack(v, w, c.astype(np.int64)))
+    assert all((a == b).all() for a, b in zip(got, (v, w, c.astype(np.int64))))
+    language_model._save(str(tmp_path), "x", [v, language_model._narrow(c), language_model._narrow(c[1:])])
+    back = language_model._open(str(tmp_path), "x")
+    assert back[1].tolist() == c.tolist() and back[2].dtype == np.dtype("<u4")
+
+
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a b c", "a c d", "b a", "d d d a b"]
     _, _, v, p2 = kneser_ney(texts)
