@@ -14,11 +14,16 @@ def bind(value: Column, use) -> Column:
 def split_lines(content: Column) -> Column:
     """Lines under universal newlines; a trailing newline opens no further line."""
     parts = F.split(F.coalesce(content, F.lit("")), r"\r\n|\r|\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # bound, so that the split runs once
+    return bind(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+
+#: Unicode white space.
+SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators.comments import strip_c_comments
+from codeloom.sources.checkpoints import written
 
 
 def windows(files: DataFrame, k: int, mask: bool = False, strip_c: bool = False) -> DataFrame:
@@ -67,25 +68,31 @@ def first_seen(blocks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- pair budget
 
 
-def ranked(texts: DataFrame, cap: int) -> DataFrame:
-    """Row numbers i = 0, 1, ... in (path, line) order, for the rows that a budget of cap pairs can reach.
+def budget_texts(blocks: DataFrame, cap: int) -> DataFrame:
+    """path, line, block, h, i: the first-seen texts that a budget of cap pairs can reach, numbered from 0 in (path, line) order.
 
-    Pair (0, j) has number j - 1, so rows after cap + 2 take part in no pair of the budget; with fewer rows
-    all stay. The order-by-limit keeps cap + 2 rows, so the numbering window's one task is bounded by the budget.
+    Pair (0, j) has number j - 1, so texts after cap + 2 take part in no pair of the budget; with fewer all stay.
+    The order-by-limit keeps cap + 2 rows, so the numbering window's one task is bounded by the budget. Places alone
+    are sorted; the texts of those that stay are fetched afterwards. Written: pairs read it on both sides.
     """
-    head = texts.orderBy("path", "line").limit(cap + 2)
-    return head.withColumn("i", F.row_number().over(Window.orderBy("path", "line")) - 1)
+    places = blocks.groupBy("h").agg(F.min(F.struct("path", "line")).alias("x")).select("x.path", "x.line")
+    head = places.orderBy("path", "line").limit(cap + 2)
+    head = written(head.withColumn("i", F.row_number().over(Window.orderBy("path", "line")) - 1), "budget")
+    # cap + 2 rows: a bound by parameter
+    return written(blocks.join(F.broadcast(head), ["path", "line"]).select("path", "line", "block", "h", "i"), "budget-texts")
 
 
-def capped_pairs(texts: DataFrame, cap: int, inclusive: bool = True, extra=None) -> DataFrame:
-    """i, j and both sides of the first pairs of a double loop over the first-seen texts.
+def capped_pairs(blocks: DataFrame, cap: int, inclusive: bool = True, extra=None) -> DataFrame:
+    """i, j and both sides of the first pairs of a double loop over the first-seen texts of ``blocks``.
 
     The number of pair (i, j) of n texts is i n - i (i + 1) / 2 + (j - i - 1) in closed form. inclusive: the
     loop that stops after exceeding the cap runs cap + 1 pairs. Length rejects come later and so use up budget.
-    The n of the formula is the number of all texts. ``extra`` adds columns to the texts before they are paired.
+    n is the number of texts within reach: with more of them, text 0 alone fills the budget, whatever n is.
+    ``extra`` adds columns to the texts before they are paired.
     """
-    n = texts.count()
-    head = ranked(texts, cap)
+    head = budget_texts(blocks, cap)
+    n = head.count()
+    head = head.repartition(max(1, min(32, n // 100)), "i")  # few rows, each costly
     head = extra(head) if extra else head
     a = head.select(*[F.col(c).alias(f"a_{c}") for c in head.columns])
     b = head.select(*[F.col(c).alias(f"b_{c}") for c in head.columns])
@@ -93,7 +100,7 @@ def capped_pairs(texts: DataFrame, cap: int, inclusive: bool = True, extra=None)
     limit = cap + 1 if inclusive else cap
     # row i has pairs in the budget only if its first pair has; a is thereby bounded, b is the budget's head
     heads = a.where(F.col("a_i") * n - F.col("a_i") * (F.col("a_i") + 1) / 2 < limit)
-    return heads.join(b, F.col("a_i") < F.col("b_i")).where(number < limit)
+    return b.join(F.broadcast(heads), F.col("a_i") < F.col("b_i")).where(number < limit)
 
 
 def close_lengths(la: Column, lb: Column, share: float = 0.4) -> Column:
@@ -131,9 +138,9 @@ def sequence_ratio(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def near_pairs_difflib(blocks: DataFrame, cap: int = 4000, least: float = 0.85) -> DataFrame:
     """ratio (2 decimals), a_path, a_line, b_path, b_line of the budget's pairs at or above ``least``."""
-    pairs = capped_pairs(first_seen(blocks), cap)
+    pairs = capped_pairs(blocks, cap)
     # the filter stays below the Python node: the ratio is computed for close lengths only
-    near = pairs.where(close_lengths(F.length("a_block"), F.length("b_block"))).repartition(32)  # cap + 1 rows at most, each costly
+    near = pairs.where(close_lengths(F.length("a_block"), F.length("b_block")))
     scored = sequence_ratio(near, "a_block", "b_block").where(F.col("ratio") >= least)
     return scored.select(F.round("ratio", 2).alias("ratio"), "a_path", "a_line", "b_path", "b_line")
 
@@ -154,7 +161,7 @@ def tokens(block: Column) -> Column:
 
 def near_pairs_dice(blocks: DataFrame, cap: int = 4000, least: float = 0.85) -> DataFrame:
     """The same by bigram Dice over tokens, without Python; the loop with >= runs cap pairs."""
-    pairs = capped_pairs(first_seen(blocks), cap, inclusive=False, extra=_measured)
+    pairs = capped_pairs(blocks, cap, inclusive=False, extra=_measured)
     near = pairs.where(close_lengths(F.length("a_block"), F.length("b_block")))
     return _scored(near).where(F.col("ratio") >= least).select(
         F.round("ratio", 2).alias("ratio"), "a_path", "a_line", "b_path", "b_line"

@@ -105,7 +105,7 @@ def structural_near_pairs(files: DataFrame, canonical: bool = False, min_lines:
     blocks = structural_blocks(files, canonical, min_lines).select(
         "path", "line", F.col("fingerprint").alias("h"), F.array_join("tokens", "\x1f").alias("block")
     )
-    pairs = duplicates.capped_pairs(duplicates.first_seen(blocks), cap, inclusive=False)
+    pairs = duplicates.capped_pairs(blocks, cap, inclusive=False)
     a, b = (F.split(F.col(f"{s}_block"), "\x1f") for s in "ab")
     near = pairs.where(duplicates.close_lengths(F.size(a), F.size(b))).withColumn("ratio", duplicates.dice(a, b))
     return near.where(F.col("ratio") >= least).select(F.round("ratio", 2).alias("ratio"), "a_path", "a_line", "b_path", "b_line")

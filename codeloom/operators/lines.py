@@ -12,33 +12,46 @@ from pyspark.sql import functions as F
 from codeloom.functions import languages, text
 
 
-def fold_lines(lines: Column, marker: Column, start: Column, end: Column) -> Column:
-    """(block, code, blank, comment) after the last line. First rule that holds: blank, in a block, block start, marker, code."""
+# What a line is, as bits of one number.
+BLANK, OPENS, ENDS, ENDS_AFTER, REMARK = (1 << i for i in range(5))
+
+
+def line_bits(lines: Column, marker: Column, start: Column, end: Column) -> Column:
+    """For each line: blank, starts a block, holds a block's end, holds one after its first marker, starts with the line marker.
+
+    Lines are stripped in a pass of their own: a column expression that is used twice inside a lambda runs twice.
+    """
     none = F.lit("\0")  # a marker that no line has
     marker, start, end = (F.coalesce(x, none) for x in (marker, start, end))
+    has = lambda test, bit: F.when(test, bit).otherwise(0)
+
+    def bits(line: Column) -> Column:
+        opens = line.startswith(start)
+        after = F.when(opens, F.substr(line, F.length(start) + 1).contains(end)).otherwise(False)
+        full = has(opens, OPENS) + has(line.contains(end), ENDS) + has(after, ENDS_AFTER) + has(line.startswith(marker), REMARK)
+        return F.when(line == "", BLANK).otherwise(full)
+
+    return F.transform(F.transform(lines, text.strip), bits)
+
+
+def fold_lines(lines: Column, marker: Column, start: Column, end: Column) -> Column:
+    """(block, code, blank, comment) after the last line. First rule that holds: blank, in a block, block start, marker, code."""
     zero = F.struct(*[F.lit(0).alias(x) for x in ("block", "code", "blank", "comment")])
 
-    def step(acc: Column, raw: Column) -> Column:
-        line = text.strip(raw)
-        blank = line == ""
-        inside = ~blank & (acc["block"] == 1)
-        opens = ~blank & ~inside & line.startswith(start)
-        remark = ~blank & ~inside & ~opens & line.startswith(marker)
-        rest = F.substr(line, F.length(start) + 1)
-        block = (
-            F.when(inside & line.contains(end), 0)
-            .when(opens & ~rest.contains(end), 1)
-            .otherwise(acc["block"])
-        )
+    def step(acc: Column, line: Column) -> Column:
+        bit = lambda b: line.bitwiseAND(b) != 0
         one = lambda c: c.cast("int")
-        return F.struct(
-            block.alias("block"),
-            (acc["code"] + one(~(blank | inside | opens | remark))).alias("code"),
-            (acc["blank"] + one(blank)).alias("blank"),
-            (acc["comment"] + one(inside | opens | remark)).alias("comment"),
-        )
-
-    return F.aggregate(lines, zero, step)
+        inside = acc["block"] == 1
+        block = F.when(inside, one(~bit(ENDS))).otherwise(one(bit(OPENS) & ~bit(ENDS_AFTER)))
+        remark = inside | (line.bitwiseAND(OPENS | REMARK) != 0)
+        return (
+            F.when(line == BLANK, F.struct(acc["block"].alias("block"), acc["code"].alias("code"), (acc["blank"] + 1).alias("blank"), acc["comment"].alias("comment")))
+            .otherwise(
+                F.struct(block.alias("block"), (acc["code"] + one(~remark)).alias("code"), acc["blank"].alias("blank"), (acc["comment"] + one(remark)).alias("comment"))
+            )
+        )
+
+    return F.aggregate(line_bits(lines, marker, start, end), zero, step)
 
 
 def inventory(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def test_pair_budget_is_the_double_loop(spark):
                     done += 1
                     if done <= cap + inclusive:
                         want.append((i, j))
-            got = duplicates.capped_pairs(duplicates.first_seen(blocks), cap, inclusive)
+            got = duplicates.capped_pairs(blocks, cap, inclusive)
             assert sorted((r.a_line, r.b_line) for r in got.collect()) == want
 
 
@@ -353,3 +354,39 @@ def test_pairs_beyond_the_budget_are_found(spark, tmp_path):
     for name in ("near_pairs_dice_all", "changed_scope_pairs_all"):
         got = catalogue.queries()[name](spark, str(tmp_path)).collect()
         assert [(r.a_path, r.b_path) for r in got] in ([("s/14099.py", "s/99999.py")], [("s/99999.py", "s/14099.py")]), name
+
+
+def test_graphs_of_any_size(spark):
+    """The forms for one task and for many rounds give what a plain search gives."""
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (75, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(130, 100)]
+    edges += [(200, 201), (201, 202), (202, 201), (202, 203), (203, 204), (204, 203), (300, 300)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+
+    def reach(a, links):
+        seen, todo = set(), [a]
+        while todo:
+            for w in links.get(todo.pop(), ()):
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        return seen
+
+    far = {a: reach(a, after) for a in after}
+    want = {a: min(b for b in far[a] if a in far[b]) for a in after if a in far[a]}
+    both = {}
+    for a, b in edges:
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    tied = {a: min({a} | reach(a, both)) for a in both}
+    for kind, name in (("long", int), ("string", lambda x: f"n{x:04d}")):
+        frame = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"src {kind}, dst {kind}").repartition(5)
+        for held in (1_000_000, 12):
+            assert {r.node: r.cycle for r in graph.cycles(frame, held).collect()} == {name(a): name(c) for a, c in want.items()}
+            got = graph.components(frame.toDF("a", "b"), held).collect()
+            assert {r.node: r.component for r in got} == {name(a): name(c) for a, c in tied.items()} and len(got) == len(tied)
+    nothing = spark.createDataFrame([], "src long, dst long")
+    assert graph.cycles(nothing).count() == 0 and graph.components(nothing.toDF("a", "b")).count() == 0
