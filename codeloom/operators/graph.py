@@ -181,7 +181,7 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
         step = labels.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node"), "color")
         nxt = labels.unionByName(step).groupBy("node").agg(F.min("color").alias("color"))
         nxt = written(nxt, "cycle-colors")
-        if nxt.join(labels.withColumnRenamed("color", "old"), "node").where("color < old").isEmpty():
+        if nxt.join(labels.withColumnRenamed("color", "old"), "node", "left").where("old IS NULL OR color < old").isEmpty():
             return nxt
         labels = nxt
 
