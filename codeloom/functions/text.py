@@ -81,9 +81,10 @@ def percent_delta(before: Column, after: Column) -> Column:
 
 
 def delta_label(before: Column, after: Column, zero: str) -> Column:
-    """Signed percent with one decimal; ``zero`` where there is no base to compare with."""
+    """Signed percent with one decimal, halves to the even digit; ``zero`` where there is no base to compare with."""
     percent = percent_delta(before, after)
-    return F.when(percent.isNull(), F.lit(zero)).otherwise(F.format_string("%+.1f%%", percent))
+    digits = F.replace(F.format_number(F.abs(percent), 1), F.lit(","), F.lit(""))
+    return F.when(percent.isNull(), F.lit(zero)).otherwise(F.concat(F.when(percent < 0, "-").otherwise("+"), digits, F.lit("%")))
 
 
 def verdict(before: Column, after: Column, lower_is_better: bool = True) -> Column:

@@ -48,7 +48,6 @@ NAMED_BY = {
 WRITES = {"VariableDeclarator": "id", "AssignmentExpression": "left", "UpdateExpression": "argument"}
 LEAVING = frozenset(("ReturnStatement", "ThrowStatement", "BreakStatement", "ContinueStatement"))
 EQUALITIES = frozenset(("==", "===", "!=", "!=="))
-ITEM = ("item",)
 
 # ---------------------------------------------------------------- patterns
 
@@ -200,13 +199,13 @@ def _call_walk(walk: dict) -> tuple:
 def each(source: Node, guarded: str, guard: Node | None, element: Node | None, item: str) -> tuple:
     """A walk over ``source``. ``guarded`` and ``item``: how guard and element call what they get; no element: itself."""
     kept = None if guard is None else sealed(canonical(guard), guarded)
-    turned = sealed(ITEM, item) if element is None else sealed(canonical(element), item)
+    turned = sealed(("variable", item) if element is None else canonical(element), item)
     return ("each", sealed(canonical(source)), kept, turned)
 
 
 def sealed(term: tuple, item: str | None = None) -> str:
     """A digest that depends on the term alone."""
-    return _digest(read_out(term, {} if item is None else {item: ITEM[0]}))
+    return _digest(read_out(term, {} if item is None else {item: "item"}))
 
 
 def body_term(function: Node) -> tuple:
@@ -319,7 +318,8 @@ def shape(function: Node, exact: bool) -> list[str]:
     if not exact:
         return read_out(plain(function), {})
     frame = Node(function.kind, function.line, function.end, {k: v for k, v in function.fields.items() if k != "body"})
-    return read_out(("function", body_term(function), canonical(frame)), {})
+    # the frame first: parameters have their numbers before operands and statements are compared
+    return read_out(("function", canonical(frame), body_term(function)), {})
 
 
 def _tokens(words: list[str]) -> list[str]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import change, code, lines
+from codeloom.plans import change, code, forms, lines
 
-MODULES = [lines, code, change]
+MODULES = [lines, code, change, forms]
 
 
 def _all() -> dict:

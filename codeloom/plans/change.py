@@ -146,7 +146,7 @@ def batch_manifest(spark, sf_dir):
     return plans.batch_manifest(table(spark, sf_dir, "events").select(F.col("event_id").alias("sha"), subject.alias("subject")))
 
 
-def comment_upsert(spark, sf_dir):
+def last_per_key(spark, sf_dir):
     return report.last_per_key(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
@@ -213,6 +213,17 @@ hits AS (
 best AS (SELECT a, b, min((rule, shared)) AS x FROM hits GROUP BY a, b)
 SELECT a, b, CASE x[1] WHEN 1 THEN 'same file: ' WHEN 2 THEN 'duplicate cluster overlap: '
   ELSE 'target block is inside the other change''s duplicate cluster: ' END || x[2] AS reason FROM best"""
+# First-fit in plan order, by recursion: each change takes the smallest color that no earlier neighbour has.
+COLORS_SQL = f"""WITH RECURSIVE {CHANGES_SQL},
+cand AS (SELECT plan_order, row_number() OVER (ORDER BY plan_order) AS i FROM changes WHERE tier = 1 AND EXISTS (SELECT 1 FROM item WHERE o = plan_order)),
+edge AS (SELECT x.i AS i, y.i AS j FROM ({PAIRS_SQL}) p JOIN cand x ON p.b = x.plan_order JOIN cand y ON p.a = y.plan_order),
+near AS (SELECT c.i, c.plan_order, list(e.j) FILTER (WHERE e.j IS NOT NULL) AS js FROM cand c LEFT JOIN edge e ON e.i = c.i GROUP BY c.i, c.plan_order),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS cs
+  UNION ALL
+  SELECT n.i, list_append(w.cs, list_filter(range(1, len(w.cs) + 2), lambda c: NOT list_contains(list_transform(coalesce(n.js, []), lambda j: w.cs[j]), c))[1])
+  FROM walk w JOIN near n ON n.i = w.i + 1),
+colors AS (SELECT n.plan_order, CAST(w.cs[w.i] AS INT) AS color FROM walk w JOIN near n ON n.i = w.i)"""
 DEFERRED = "tier <> 1 OR NOT EXISTS (SELECT 1 FROM item WHERE o = plan_order)"
 PATHS_SQL = "paths AS (SELECT source || '/' || lang || '/' || doc_id || '.py' AS path FROM documents)"
 
@@ -263,10 +274,10 @@ SELECT metric, base, head, CASE WHEN base IS NULL THEN NULL WHEN head = base THE
         plan_blind_spots,
         f"WITH {CHANGES_SQL} SELECT id FROM changes WHERE tier = 1 AND NOT EXISTS (SELECT 1 FROM item WHERE o = plan_order AND cluster IS NOT NULL)",
     ),
-    "plan_groups": (plan_groups, None),
+    "plan_groups": (plan_groups, COLORS_SQL + " SELECT plan_order, color FROM colors"),
     "plan_totals": (
         plan_totals,
-        f"WITH {CHANGES_SQL} SELECT count(*) AS total_changes, count(*) FILTER (WHERE NOT ({DEFERRED})) AS parallelizable, 1 AS group_count FROM changes",
+        COLORS_SQL + ", n AS (SELECT count(*) AS total_changes FROM changes) SELECT total_changes, count(*) AS parallelizable, max(color) AS group_count FROM colors, n GROUP BY total_changes",
     ),
     "effective_tier": (
         effective_tier,
@@ -288,7 +299,7 @@ SELECT metric, base, head, CASE WHEN base IS NULL THEN NULL WHEN head = base THE
         batch_manifest,
         "SELECT event_id AS sha, event_type AS category, 'user ' || user_id AS summary, CASE WHEN value > 50 THEN CAST(event_id AS VARCHAR) END AS verification FROM events",
     ),
-    "comment_upsert": (comment_upsert, "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
+    "last_per_key": (last_per_key, "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
     "section_items": (
         section_items,
         """SELECT c.conv_id AS doc, c.turn AS line_no, 'turn ' || c.turn AS item, CASE WHEN c.turn % 2 = 1 THEN c.role ELSE '' END AS reason

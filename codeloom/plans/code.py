@@ -102,7 +102,7 @@ def _hits(spark, sf_dir):
 
 
 def coverage_gaps_py(spark, sf_dir):
-    executed = coverage.executed_lines(_hits(spark, sf_dir).where(F.col("path").rlike("[02468]\\.py$")))
+    executed = coverage.executed_lines(_hits(spark, sf_dir))
     return coverage.python_gaps(_spans(spark, sf_dir), executed).select("path", "function")
 
 
@@ -173,7 +173,7 @@ QUERIES = {
     "structural_near_pairs": (structural_near_pairs, None),
     "coverage_gaps_py": (
         coverage_gaps_py,
-        f"WITH {SPANS_SQL} SELECT path, function FROM spans WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.path = spans.path AND regexp_matches(hits.path, '[02468]\\.py$') AND line BETWEEN s AND e)",
+        f"WITH {SPANS_SQL} SELECT path, function FROM spans WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.path = spans.path AND line BETWEEN s AND e)",
     ),
     "coverage_gaps_js": (
         coverage_gaps_js,
