@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codeloom import config
 from codeloom.functions import languages, text
-from codeloom.operators import coverage, delta, duplicates, excludes, functions, graph, lines, plans, report
+from codeloom.operators import coverage, delta, duplicates, excludes, functions, graph, lines, modules, plans, report
 from codeloom.sources import files as fs
 
 
@@ -28,14 +28,21 @@ def session() -> SparkSession:
     return spark
 
 
-def tree(spark: SparkSession, path: str, exts: tuple, settings: dict, apply_excludes: bool = True) -> DataFrame:
-    """The files of a target that a scan takes; a single file stands for itself."""
-    if os.path.isfile(path):
-        root, single = os.path.dirname(os.path.abspath(path)), True
-        found = fs.read_tree(spark, root).where(F.col("path") == os.path.basename(path))
+def tree(spark: SparkSession, path: str, exts: tuple, settings: dict, apply_excludes: bool = True, **how) -> DataFrame:
+    """The files of a target that a scan takes; a single file stands for itself. how: what ``excludes.scan`` takes."""
+    single = os.path.isfile(path)
+    if single:
+        root = os.path.dirname(os.path.abspath(path))
+        found = fs.read_tree(spark, root, (os.path.basename(path),)).where(F.col("path") == os.path.basename(path))
     else:
-        single, found = False, fs.read_tree(spark, path)
-    return excludes.scan(found, exts, settings["excludePaths"], single_file=single, apply_excludes=apply_excludes)
+        # only names that every scan skips go before the files are read; dot folders are the scan's choice
+        found = fs.read_tree(spark, path, tuple(e if e.startswith(".") else "." + e for e in exts), ("node_modules", ".git"))
+    return excludes.scan(found, exts, settings["excludePaths"], single_file=single, apply_excludes=apply_excludes, **how)
+
+
+def scripts(spark: SparkSession, path: str, settings: dict) -> DataFrame:
+    """JavaScript and TypeScript files; their excludes have a dialect of their own."""
+    return tree(spark, path, languages.JS_EXTS, settings, dialect="segment")
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -87,7 +94,7 @@ def duplicates_(spark, a, settings) -> int:
     scanned = tree(spark, a.path, exts, settings, apply_excludes=False)
     blocks = duplicates.windows(scanned, k, a.normalize_literals, strip_c=True)
     exact = duplicates.cluster_members(blocks)
-    shapes = functions.structural_blocks(tree(spark, a.path, languages.JS_EXTS, settings), a.canonicalize, k)
+    shapes = functions.structural_blocks(scripts(spark, a.path, settings), a.canonicalize, k)
     own = shapes.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
     ast_members = shapes.join(own, "fingerprint").select(F.concat(F.lit("ast:"), "fingerprint").alias("cluster"), "path", "line")
     members = exact.select(F.col("h").alias("cluster"), "path", "line").unionByName(ast_members)
@@ -106,7 +113,7 @@ def duplicates_(spark, a, settings) -> int:
 
 
 def complexity(spark, a, settings) -> int:
-    scanned = tree(spark, a.path, (".py", *languages.JS_EXTS), settings)
+    scanned = tree(spark, a.path, (".py",), settings).unionByName(scripts(spark, a.path, settings))
     measured = functions.complexity(scanned)
     total = rows(functions.complexity_totals(measured))[0]
     if a.save:
@@ -125,30 +132,83 @@ def complexity(spark, a, settings) -> int:
 
 
 def functions_(spark, a, settings) -> int:
-    found = functions.js_functions(tree(spark, a.path, languages.JS_EXTS, settings)).where("error IS NULL").drop("error")
-    out(rows(found.orderBy("path", "line")), True, list)
+    """The analyzer's payloads: functions, duplicates, complexity or the last two."""
+    files = scripts(spark, a.path, settings)
+    found = functions.js_functions(files).where("error IS NULL").drop("error")
+    if a.mode == "functions":
+        out({"functions": rows(found.orderBy("path", "line"))}, True, list)
+        return 0
+    payload = {}
+    if a.mode != "complexity":
+        k = config.resolve(a.min_lines, settings["duplication"]["minLines"], 5)
+        least = config.resolve(a.similarity, settings["duplication"]["similarity"], 0.85)
+        blocks = functions.structural_blocks(files, a.canonicalize, k).withColumnRenamed("fingerprint", "h")
+        own = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        members = blocks.select("h", "path", "line").join(own.where("n > 1").select("h"), "h")
+        near = functions.structural_near_pairs(files, a.canonicalize, k, a.max_compare, least)
+        n = own.count()
+        payload["duplicates"] = rows(duplicates.report(members, near, min(a.max_compare, n * (n - 1) // 2)))[0]
+        if a.canonicalize:
+            payload["duplicates"]["canonicalize"] = True
+    if a.mode != "duplicates":
+        total = rows(functions.complexity_totals(found))[0]
+        snapshot = {"per_function": rows(found.select(F.col("path").alias("file"), "function", "line", "complexity").orderBy("file", "line")), "totals": total}
+        if a.save:
+            saved(a.save, snapshot)
+            print(f"saved {total['functions']} functions to {a.save}")
+            return 0
+        if a.diff:
+            print("\n".join(_diff(loaded(a.diff)["totals"], total)))
+            return 0
+        payload["complexity"] = snapshot
+    out(payload, True, list)
     return 0
 
 
 def gaps(spark, a, settings) -> int:
-    scanned = tree(spark, a.path, (".py", *languages.JS_EXTS), settings).where(~coverage.is_test(F.col("path")))
+    how = {"skip": languages.COVERAGE_SKIP_DIRS, "dotted": False}
+    scanned = tree(spark, a.path, (".py", *languages.JS_EXTS), settings, **how).where(~coverage.is_test(F.col("path")))
+    folder = a.path if os.path.isdir(a.path) else os.path.dirname(os.path.abspath(a.path))
+    notes = []
     executed = spark.createDataFrame([], "path string, line int")
-    if a.coverage_json:
-        executed = coverage.coverage_json(spark.read.text(a.coverage_json, wholetext=True).withColumnRenamed("value", "content"))
+    report_path = a.coverage_json or (os.path.join(folder, "coverage.json") if os.path.isfile(os.path.join(folder, "coverage.json")) else None)
+    if report_path:
+        executed = coverage.coverage_json(spark.read.text(report_path, wholetext=True).withColumnRenamed("value", "content"))
+    else:
+        notes.append("no coverage.json: every Python function counts as uncovered")
     py = coverage.python_gaps(functions.python_functions(scanned).where("error IS NULL"), executed)
     records = spark.createDataFrame([], "report string, path string, line int, function string, hits int")
-    if a.lcov:
-        raw = spark.read.text(a.lcov, wholetext=True).select(F.lit(a.lcov).alias("report"), F.posexplode(text.split_lines(F.col("value"))).alias("line_no", "line"))
+    lcov = a.lcov or _found_lcov(spark, folder)
+    if lcov:
+        raw = spark.read.text(lcov, wholetext=True).select(F.lit(lcov).alias("report"), F.posexplode(text.split_lines(F.col("value"))).alias("line_no", "line"))
         records = coverage.unique_hits(coverage.lcov_records(raw))
     js = coverage.js_gaps(functions.js_functions(scanned).where("error IS NULL"), records)
     found = rows(py.select("path", "function", "line").unionByName(js.select("path", "function", "line")).orderBy("path", "line"))
     if a.emit_dir:
-        stubs = rows(coverage.python_stub(py)) + rows(coverage.js_stub(js, a.runner))
+        stubs = rows(coverage.python_stub(py)) + rows(coverage.js_stub(js, a.runner or _found_runner(spark, folder)))
         _write_stubs(spark, a.emit_dir, stubs)
-    out(found, a.json, lambda v: [f"{len(v)} uncovered functions", *[f"  {r['path']}:{r['line']} {r['function']}" for r in v]])
+    total = rows(coverage.gap_totals(py.select("path").unionByName(js.select("path"))).orderBy("path"))
+    out(found, a.json, lambda v: [
+        f"{len(v)} uncovered functions in {len(total)} files", *[f"  {r['path']}:{r['line']} {r['function']}" for r in v],
+        *[f"  {t['uncovered']:>4} {t['path']}" for t in total], *[f"note: {n}" for n in notes],
+    ])
     return 0
 
 
+def _found_lcov(spark, folder: str) -> str | None:
+    """The report to use: fixed places first, then the shallowest one."""
+    listed = fs.read_tree(spark, folder, ("lcov.info",), ("node_modules", ".git"))
+    place = coverage.lcov_place(listed.select("path")).first()
+    return os.path.join(folder, place[0]) if place else None
+
+
+def _found_runner(spark, folder: str) -> str:
+    manifest = os.path.join(folder, "package.json")
+    content = open(manifest, encoding="utf-8-sig").read() if os.path.isfile(manifest) else None
+    here = spark.createDataFrame([(content, os.listdir(folder))], "package string, names array<string>")
+    return here.select(coverage.js_runner(F.col("package"), F.col("names"))).first()[0]
+
+
 def _write_stubs(spark, folder: str, stubs: list[dict]) -> None:
     os.makedirs(folder, exist_ok=True)
     wanted = {s["path"].replace("/", "_") + (".characterization.py" if s["path"].endswith(".py") else ".characterization.test.js"): s["source"] for s in stubs}
@@ -197,9 +257,15 @@ def partition(spark, a, settings) -> int:
     edges = plans.conflicts(plans.candidates(changes))
     colored = plans.groups(changes, edges)
     met = plans.scanned_conflicts(edges, colored)
-    ids = {r["plan_order"]: r["id"] for r in rows(changes.select("plan_order", "id"))}
+    own = {r["plan_order"]: r for r in rows(changes.select("plan_order", "id", "category", "tier", "files", "est", "description"))}
+    ids = {k: r["id"] for k, r in own.items()}
+    blocked = {r["plan_order"]: [{"id": ids[b["a"]], "reason": b["reason"]} for b in r["blockers"]] for r in rows(plans.blocked_by(edges, colored))}
+    shown = lambda m: {"id": ids[m], "category": own[m]["category"], "tier": own[m]["tier"], "files": own[m]["files"], "estLinesSaved": own[m]["est"], "description": own[m]["description"], "blockedBy": blocked.get(m, [])}
     found = {
-        "groups": [{"index": r["color"], "changeIds": [ids[m] for m in r["members"]], "files": r["files"]} for r in rows(plans.group_files(changes, colored).orderBy("color"))],
+        "groups": [
+            {"index": r["color"], "changeIds": [ids[m] for m in r["members"]], "files": r["files"], "changes": [shown(m) for m in r["members"]]}
+            for r in rows(plans.group_files(changes, colored).orderBy("color"))
+        ],
         "deferred": rows(plans.deferred(changes).select("id", "tier", "reason")),
         "conflicts": [{"a": ids[r["a"]], "b": ids[r["b"]], "reason": r["reason"]} for r in rows(met.select("a", "b", plans.reason(F.col("rule"), F.col("shared")).alias("reason")).orderBy("b", "a"))],
         "blindSpots": [r["id"] for r in rows(plans.blind_spots(changes).select("id"))],
@@ -230,8 +296,17 @@ def report_(spark, a, settings) -> int:
 
 
 def checkpoint(spark, a, settings) -> int:
-    if a.action == "save":
-        fs.append_checkpoint(spark, a.log, a.sha, a.subject)
+    if a.action == "start":  # an empty log under a name of its own; one that is there is never overwritten
+        if os.path.exists(a.log):
+            print(f"{a.log} is there already: a run starts from a clean state", file=sys.stderr)
+            return 1
+        fs.start_checkpoints(spark, a.log)
+        print(f"checkpoints go to {a.log}")
+    elif a.action == "save":
+        if not a.subject:
+            print("a checkpoint needs a subject: <category>: <what> [verified: <how>]", file=sys.stderr)
+            return 1
+        fs.append_checkpoint(spark, a.log, a.sha, f"{a.prefix}: {a.subject}" if not a.subject.startswith(a.prefix + ":") else a.subject)
     elif a.action == "revert":
         fs.revert_checkpoint(spark, a.log, a.sha)
     else:
@@ -240,12 +315,24 @@ def checkpoint(spark, a, settings) -> int:
 
 
 def dead(spark, a, settings) -> int:
-    """Candidates: Python functions whose name no file mentions elsewhere."""
+    """Candidates for removal, never verdicts: Python functions, exports, dependencies and modules that nothing names, and import cycles."""
     scanned = tree(spark, a.path, (".py",), settings)
     words = scanned.select(F.explode(F.regexp_extract_all("content", F.lit(r"(?U)\w+"), F.lit(0))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     defined = functions.python_functions(scanned).where("error IS NULL").withColumn("name", F.element_at(F.split("function", r"\."), -1)).where(~F.col("name").startswith("__"))
     for r in rows(graph.unreferenced(defined, words.where("n > 1"), "name").select("path", "line", "function").orderBy("path", "line")):
         print(f"candidate {r['path']}:{r['line']} {r['function']}")
+    files = scripts(spark, a.path, settings)
+    edges = modules.import_edges(files)
+    for r in rows(graph.unreferenced(modules.exports(files), modules.imported_names(files), "key").orderBy("path", "key")):
+        print(f"unused export {r['path']} {r['key']}")
+    for r in rows(graph.orphans(files.select(F.col("path").alias("node")), edges).orderBy("node")):
+        print(f"orphan {r['node']}")
+    cycle = graph.cycles(edges).groupBy("cycle").agg(F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("members"))
+    for r in rows(cycle.orderBy("cycle")):
+        print(f"cycle {r['members']}")
+    manifests = tree(spark, a.path, (".json",), settings).where(F.element_at(F.split("path", "/"), -1) == "package.json")
+    for r in rows(graph.unreferenced(modules.dependencies(manifests), modules.packages(files), "key").orderBy("path", "key")):
+        print(f"unused dependency {r['path']} {r['key']}")
     return 0
 
 
@@ -256,7 +343,17 @@ def package(spark, a, settings) -> int:
         print("\n".join(own))
         return 0
     content = [(p, open(os.path.join(a.repo, p), "rb").read()) for p in own]
-    name = os.path.basename(os.path.abspath(a.repo))
+    manual = next((c.decode("utf-8", "replace") for p, c in content if p == a.manual), None)
+    if manual is None:
+        print(f"{a.manual} not found in {a.repo}", file=sys.stderr)
+        return 1
+    lines_ = spark.createDataFrame([("m", i, x) for i, x in enumerate(manual.split("\n"))], "doc string, line_no int, line string")
+    head = (rows(report.frontmatter(lines_)) if manual.startswith("---") else []) or [None]
+    fault = report.contract_fault(head[0])
+    if fault:
+        print(f"{a.manual}: {fault}", file=sys.stderr)
+        return 1
+    name = head[0]["name"]
     data = fs.archive(content, name)
     if fs.verify_archive(data, content, name):
         return 1
@@ -283,14 +380,17 @@ def parser() -> argparse.ArgumentParser:
         ("--max-compare", {"type": int, "default": 4000}), ("--top", {"type": int, "default": 25}), ("--canonicalize", flag), ("--json", flag),
     )
     command("complexity", complexity, path, ("--save", {}), ("--diff", {}), ("--top", {"type": int, "default": 15}), ("--threshold", number))
-    command("functions", functions_, path)
-    command("gaps", gaps, path, ("--coverage-json", {}), ("--lcov", {}), ("--runner", {"default": "vitest"}), ("--emit-dir", {}), ("--json", flag))
+    command(
+        "functions", functions_, path, ("--mode", {"choices": ["functions", "duplicates", "complexity", "all"], "default": "functions"}), ("--min-lines", number),
+        ("--similarity", {"type": float}), ("--max-compare", {"type": int, "default": 4000}), ("--canonicalize", flag), ("--save", {}), ("--diff", {}),
+    )
+    command("gaps", gaps, path, ("--coverage-json", {}), ("--lcov", {}), ("--runner", {"choices": ["vitest", "jest"]}), ("--emit-dir", {}), ("--json", flag))
     command("delta", delta_, ("--base", {}), ("--head", {"required": True}), ("--changed", {"required": True}), ("--json", flag), ("--fail-on-regression", flag), ("--top", {"type": int, "default": 10}))
     command("partition", partition, ("plan", {}), ("--json", flag))
     command("report", report_, *[(f"--{n}", {}) for n in ("loc-before", "loc-after", "complexity-before", "complexity-after", "duplicates", "batches", "plan")], ("--output", {"required": True}), ("--title", {"default": "Code measurement"}))
-    command("checkpoint", checkpoint, ("action", {"choices": ["save", "list", "revert"]}), ("--log", {"required": True}), ("--sha", {"default": ""}), ("--subject", {"default": ""}), ("--prefix", {"default": "checkpoint"}))
+    command("checkpoint", checkpoint, ("action", {"choices": ["start", "save", "list", "revert"]}), ("--log", {"required": True}), ("--sha", {"default": ""}), ("--subject", {"default": ""}), ("--prefix", {"default": "checkpoint"}))
     command("dead", dead, path)
-    command("package", package, ("repo", {}), ("--output", {"default": "package.zip"}), ("--list", flag))
+    command("package", package, ("repo", {}), ("--manual", {"default": "SKILL.md"}), ("--output", {"default": "package.zip"}), ("--list", flag))
     return p
 
 

@@ -83,12 +83,15 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]+)$", 1)
 
 
-def scan(files: DataFrame, exts: tuple, patterns: list[str] = (), dialect: str = "python", single_file: bool = False, apply_excludes: bool = True) -> DataFrame:
+def scan(
+    files: DataFrame, exts: tuple, patterns: list[str] = (), dialect: str = "python", single_file: bool = False, apply_excludes: bool = True,
+    skip: tuple = SKIP_DIRS, dotted: bool = True,
+) -> DataFrame:
     """The files that a scan takes. A single-file target is not pruned; whether it is excluded is the scan's choice."""
     exts = tuple(e if e.startswith(".") else "." + e for e in exts)
     kept = files.where(F.col("ext").isin(*exts))
     if not single_file:
-        kept = kept.where(~skipped(F.col("path")))
+        kept = kept.where(~skipped(F.col("path"), skip, dotted))
     if apply_excludes or not single_file:
         kept = kept.where(~excluded(F.col("path"), list(patterns), dialect))
     return kept

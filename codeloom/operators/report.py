@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,17 @@ def frontmatter(lines: DataFrame) -> DataFrame:
     return own.groupBy("doc").agg(F.max(named).alias("name"), F.max(described).alias("has_description"))
 
 
+def contract_fault(header) -> str | None:
+    """Why a package cannot be published: its manual's header must have a name of plain characters and a description."""
+    if header is None:
+        return "no header between two --- lines"
+    if not header["name"]:
+        return "the header has no name"
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", header["name"]):
+        return f"the name has characters that are not allowed: {header['name']!r}"
+    return None if header["has_description"] else "the header has no description"
+
+
 def batches(rows: DataFrame) -> DataFrame:
     """rows(content): a list, or an object with ``batches`` -> sha, category, tier, summary, verification of its objects."""
     doc = F.try_parse_json("content")

@@ -5,25 +5,65 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.excludes import extension
 
 
-def read_tree(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """files(path, ext, content) under root. Bytes that are no UTF-8 are dropped, as a tolerant reader does."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)  # prunes the listing, not the rows
-    raw = reader.format("binaryFile").load(root).select("path", "content")
-    base = F.lit(root.rstrip("/").removeprefix("file:") + "/")
-    plain = F.regexp_replace("path", r"^\w+:/*(?=/)", "")
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return raw.select(F.substr(plain, F.instr(plain, base) + F.length(base)).alias("path"), text.alias("content")).select(
-        "path", extension(F.col("path")).alias("ext"), "content"
-    )
+def list_tree(spark: SparkSession, root: str, exts: tuple | None = None, skip: tuple = ()) -> list[str]:
+    """Paths under root, relative to it: names with one of the endings, in no folder of a skipped name.
+
+    Names alone reach the driver, folder by folder, as they do when Spark lists a source. Spark's own listing cannot
+    be used: it leaves out names that begin with an underscore or a dot, and so every package's __init__.py.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+    top = jvm.Path(root)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [(top, "")]
+    while todo:
+        folder, inside = todo.pop()
+        for status in store.listStatus(folder):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name not in skip and not status.isSymlink():
+                    todo.append((status.getPath(), f"{inside}{name}/"))
+            elif not exts or name.endswith(tuple(exts)):
+                found.append(inside + name)
+    return sorted(found)
+
+
+def read_tree(spark: SparkSession, root: str, exts: tuple | None = None, skip: tuple = ()) -> DataFrame:
+    """files(path, ext, content) under root (see ``list_tree``). Bytes that are no UTF-8 are dropped, as a tolerant reader
+    does. The tasks read the files, from a mounted folder or through Arrow's file systems."""
+    paths = list_tree(spark, root, exts, skip)
+    uri = root.rstrip("/").removeprefix("file://")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = (fs.LocalFileSystem(), uri.removeprefix("file:")) if ":" not in uri.removeprefix("file:").split("/")[0] else fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            names, held, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    names.append(name)
+                    held.append(f.read())
+                size += len(held[-1])
+                if size > 16_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(held, pa.binary())], names=["path", "content"])
+                    names, held, size = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(held, pa.binary())], names=["path", "content"])
+
+    tasks = max(1, min(len(paths) // 64, 4096))
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks, "path")
+    raw = listed.mapInArrow(run, "path string, content binary")
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return raw.select("path", extension(F.col("path")).alias("ext"), text.alias("content"))
 
 
 def two_versions(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -46,6 +86,11 @@ def write_text(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
 
+def start_checkpoints(spark: SparkSession, path: str) -> None:
+    """An empty log; an error if there is one."""
+    spark.createDataFrame([], "sha string, subject string").write.mode("error").parquet(path)
+
+
 def append_checkpoint(spark: SparkSession, path: str, sha: str, subject: str) -> None:
     """The checkpoint log only grows; a revert is a row that names the commit it undoes."""
     spark.createDataFrame([(sha, subject)], "sha string, subject string").write.mode("append").parquet(path)

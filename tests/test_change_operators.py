@@ -267,11 +267,12 @@ def test_commands(spark, tree, capsys, tmp_path, monkeypatch):
     assert code == 0 and len(json.loads(body)["exact_clusters"]) == 2  # six lines hold two windows of five
     code, body = say("complexity", tree, "--save", tmp_path / "cx.json")
     assert code == 0 and json.loads((tmp_path / "cx.json").read_text())["totals"]["functions"] == 3
-    assert json.loads(say("functions", tree)[1])[0]["params"] == ["x"]
+    assert json.loads(say("functions", tree)[1])["functions"][0]["params"] == ["x"]
     assert len(json.loads(say("gaps", tree, "--json", "--emit-dir", tmp_path / "stubs")[1])) == 3
     assert len(os.listdir(tmp_path / "stubs")) == 3
     (tmp_path / "plan.json").write_text(json.dumps({"changes": [change(1, ["a"]), change(2, ["a"])]}))
-    assert json.loads(say("partition", tmp_path / "plan.json", "--json")[1])["group_count"] == 2
+    found = json.loads(say("partition", tmp_path / "plan.json", "--json")[1])
+    assert found["group_count"] == 2 and [[m["blockedBy"] for m in g["changes"]] for g in found["groups"]] == [[[]], [[{"id": "1", "reason": "same file: a"}]]]
     (tmp_path / "plan.json").write_text('{"changes": []}')
     assert say("partition", tmp_path / "plan.json")[0] == 2
     assert say("report", "--output", tmp_path / "r.html")[0] == 1
@@ -280,16 +281,63 @@ def test_commands(spark, tree, capsys, tmp_path, monkeypatch):
     (tmp_path / "changed.txt").write_text("a.py\n")
     assert say("delta", "--base", tree, "--head", tree, "--changed", tmp_path / "changed.txt", "--json", "--fail-on-regression")[0] == 0
     assert say("dead", tree)[0] == 0
+    assert say("package", tree, "--output", tmp_path / "p.zip")[0] == 1  # no manual
+    (tree / "SKILL.md").write_text("---\nname: my tool\ndescription: x\n---\n")
+    assert say("package", tree, "--output", tmp_path / "p.zip")[0] == 1  # a name with a space
+    (tree / "SKILL.md").write_text("---\nname: tool\ndescription: >\n  x\n---\n")
     assert say("package", tree, "--output", tmp_path / "p.zip")[0] == 0
+    log = tmp_path / "log"
+    assert say("checkpoint", "save", "--log", log, "--sha", "a")[0] == 1
+    assert say("checkpoint", "start", "--log", log)[0] == 0 and say("checkpoint", "start", "--log", log)[0] == 1
+    assert say("checkpoint", "save", "--log", log, "--sha", "a", "--subject", "dedup: x")[0] == 0
+    assert say("checkpoint", "list", "--log", log)[1].split() == ["a", "checkpoint:", "dedup:", "x"]
 
 
-def test_stream(spark, tmp_path):
-    from codeloom.streaming import live
+SCRIPTS = {
+    "a.js": "import { used } from './lib';\nimport x from 'left';\nexport function f(a) {\n  const b = a;\n  if (b) {\n    return used(b);\n  }\n  return x;\n}\n",
+    "b.js": "import './a.js';\nfunction g(p) {\n  const q = p;\n  if (q) {\n    return use(q);\n  }\n  return y;\n}\n",
+    "lib/index.ts": "import '../b';\nexport const used = (v: number) => v;\nexport class Unused {}\n",
+    "lone.js": "const z = require('@s/pack/deep');\n",
+    "node_modules/m/i.js": "export function inner() {}\n",
+    "skip/me/s.js": "export function s() {}\n",
+    "package.json": '{"dependencies": {"left": "1", "@s/pack": "2", "idle": "3"}, "devDependencies": {"jest": "1"}}',
+}
 
-    src = str(tmp_path / "in")
-    files = spark.createDataFrame([("a.py", ".py", "x = 1\n# y\n")], "path string, ext string, content string")
-    files.write.parquet(src)
-    stream = spark.readStream.schema(files.schema).parquet(src)
-    live.upsert_stream(live.inventory_stream(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    row = spark.read.parquet(str(tmp_path / "out")).first()
-    assert (row.code, row.comment) == (1, 1)
+
+def test_commands_for_scripts(spark, capsys, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    root = tmp_path / "web"
+    for name, content in SCRIPTS.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    (root / config.FILE_NAME).write_text('{"excludePaths": ["skip/*/s.js"]}')
+    say = lambda *a: (cli.main([str(x) for x in a]), capsys.readouterr().out)
+    code, body = say("dead", root)
+    assert code == 0 and set(body.strip().split("\n")) == {
+        "unused export a.js f", "unused export lib/index.ts Unused", "orphan lone.js", "cycle a.js, b.js, lib/index.ts", "unused dependency package.json idle"
+    }
+    found = json.loads(say("functions", root, "--mode", "all", "--canonicalize")[1])
+    assert found["complexity"]["totals"]["functions"] == 3 and found["duplicates"]["canonicalize"] is True
+    assert found["duplicates"]["compared"] == 0 and [m["path"] for m in found["duplicates"]["exact_clusters"][0]] == ["a.js", "b.js"]
+    assert "complexity" not in json.loads(say("functions", root, "--mode", "duplicates")[1])
+    assert say("functions", root, "--mode", "complexity", "--save", tmp_path / "c.json")[0] == 0
+    assert "functions" in say("functions", root, "--mode", "complexity", "--diff", tmp_path / "c.json")[1]
+    (root / "coverage").mkdir()
+    (root / "coverage" / "lcov.info").write_text(f"SF:a.js\nFNDA:1,f\nend_of_record\n")
+    (root / ".dot").mkdir()
+    (root / ".dot" / "d.js").write_text("function d() {\n  return 1;\n}\n")  # coverage looks into dot folders
+    left = json.loads(say("gaps", root, "--json", "--emit-dir", tmp_path / "stubs")[1])
+    assert {r["function"] for r in left} == {"g", "used", "d"}
+    assert all("vitest" not in (tmp_path / "stubs" / n).read_text() for n in os.listdir(tmp_path / "stubs"))  # jest, by the manifest
+
+
+def test_folders_are_skipped_before_reading(spark, tmp_path):
+    """What lies in a skipped folder is not read; names with an underscore or a dot are."""
+    for name in ("a.js", "node_modules/m/b.js", "c.txt", "pkg/__init__.js", ".hidden/d.js"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/"):
+        files = fs.read_tree(spark, root, (".js",), ("node_modules",))
+        assert sorted((r.path, r.ext, r.content) for r in files.collect()) == [(p, ".js", "x") for p in (".hidden/d.js", "a.js", "pkg/__init__.js")]
+    (tmp_path / "empty").mkdir()
+    assert fs.read_tree(spark, str(tmp_path / "empty")).count() == 0
