@@ -20,6 +20,7 @@ from codeloom import config
 from codeloom.functions import languages, text
 from codeloom.operators import coverage, delta, duplicates, excludes, functions, graph, lines, modules, plans, report
 from codeloom.sources import files as fs
+from codeloom.sources.checkpoints import written
 
 
 def session() -> SparkSession:
@@ -94,7 +95,7 @@ def duplicates_(spark, a, settings) -> int:
     scanned = tree(spark, a.path, exts, settings, apply_excludes=False)
     blocks = duplicates.windows(scanned, k, a.normalize_literals, strip_c=True)
     exact = duplicates.cluster_members(blocks)
-    shapes = functions.structural_blocks(scripts(spark, a.path, settings), a.canonicalize, k)
+    shapes = written(functions.structural_blocks(scripts(spark, a.path, settings), a.canonicalize, k), "shapes")
     own = shapes.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
     ast_members = shapes.join(own, "fingerprint").select(F.concat(F.lit("ast:"), "fingerprint").alias("cluster"), "path", "line")
     members = exact.select(F.col("h").alias("cluster"), "path", "line").unionByName(ast_members)
@@ -142,10 +143,10 @@ def functions_(spark, a, settings) -> int:
     if a.mode != "complexity":
         k = config.resolve(a.min_lines, settings["duplication"]["minLines"], 5)
         least = config.resolve(a.similarity, settings["duplication"]["similarity"], 0.85)
-        blocks = functions.structural_blocks(files, a.canonicalize, k).withColumnRenamed("fingerprint", "h")
-        own = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        members = blocks.select("h", "path", "line").join(own.where("n > 1").select("h"), "h")
-        near = functions.structural_near_pairs(files, a.canonicalize, k, a.max_compare, least)
+        blocks = written(functions.structural_blocks(files, a.canonicalize, k), "shapes")
+        own = blocks.groupBy(F.col("fingerprint").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+        members = blocks.select(F.col("fingerprint").alias("h"), "path", "line").join(own.where("n > 1").select("h"), "h")
+        near = functions.near_pairs_of(blocks, a.max_compare, least)
         n = own.count()
         payload["duplicates"] = rows(duplicates.report(members, near, min(a.max_compare, n * (n - 1) // 2)))[0]
         if a.canonicalize:

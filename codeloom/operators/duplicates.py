@@ -150,7 +150,7 @@ def _measured(texts: DataFrame) -> DataFrame:
     return texts.withColumn("t", tokens(F.col("block"))).withColumn("g", numbered_bigrams(F.col("t")))
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
+def scored(pairs: DataFrame) -> DataFrame:
     found = dice_of_bigrams(F.col("a_g"), F.col("b_g"), F.size("a_t"), F.size("b_t"))
     return pairs.withColumn("ratio", F.coalesce(found, (F.col("a_t") == F.col("b_t")).cast("double")))
 
@@ -163,7 +163,7 @@ def near_pairs_dice(blocks: DataFrame, cap: int = 4000, least: float = 0.85) ->
     """The same by bigram Dice over tokens, without Python; the loop with >= runs cap pairs."""
     pairs = capped_pairs(blocks, cap, inclusive=False, extra=_measured)
     near = pairs.where(close_lengths(F.length("a_block"), F.length("b_block")))
-    return _scored(near).where(F.col("ratio") >= least).select(
+    return scored(near).where(F.col("ratio") >= least).select(
         F.round("ratio", 2).alias("ratio"), "a_path", "a_line", "b_path", "b_line"
     )
 
@@ -189,8 +189,8 @@ def similar_pairs(blocks: DataFrame, least: float = 0.85) -> DataFrame:
     sizes = F.col("b_n").between(F.col("a_n") * least / (2 - least), F.col("a_n") * (2 - least) / least)
     pairs = a.join(b, "g").where((F.col("a_h") < F.col("b_h")) & sizes).select("a_h", "b_h").distinct()
     side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in texts.columns])
-    scored = _scored(pairs.join(side("a"), "a_h").join(side("b"), "b_h"))
-    return scored.where(F.col("ratio") >= least).select("ratio", "a_path", "a_line", "b_path", "b_line")
+    compared = scored(pairs.join(side("a"), "a_h").join(side("b"), "b_h"))
+    return compared.where(F.col("ratio") >= least).select("ratio", "a_path", "a_line", "b_path", "b_line")
 
 
 def report(exact: DataFrame, near: DataFrame, compared: int) -> DataFrame:

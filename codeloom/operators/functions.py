@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import languages
-from codeloom.operators import pyast
+from codeloom.operators import duplicates, pyast
+from codeloom.sources.checkpoints import written
 
 PY = "path string, function string, line int, end_line int, body_start int, complexity int, params array<string>, arguments string, is_method boolean, error string"
 JS = "path string, function string, line int, end_line int, complexity int, params array<string>, error string"
@@ -90,22 +91,30 @@ def structural_blocks(files: DataFrame, canonical: bool = False, min_lines: int
     return js_functions(files, canonical, blocks=True).where(F.col("error").isNull() & (F.col("n_lines") >= min_lines))
 
 
-def structural_clusters(files: DataFrame, canonical: bool = False, min_lines: int = 5) -> DataFrame:
+def clusters_of(blocks: DataFrame) -> DataFrame:
     """fingerprint, n, path, line, function (the first member's) of shapes found more than once."""
-    blocks = structural_blocks(files, canonical, min_lines)
     return blocks.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line", "function")).alias("at")
     ).where("n > 1").select("fingerprint", "n", "at.*")
 
 
-def structural_near_pairs(files: DataFrame, canonical: bool = False, min_lines: int = 5, cap: int = 4000, least: float = 0.85) -> DataFrame:
+def near_pairs_of(blocks: DataFrame, cap: int = 4000, least: float = 0.85) -> DataFrame:
     """Similar shapes of the budget's pairs: bigram Dice over the shape's tokens, in first-seen order."""
-    from codeloom.operators import duplicates
-
-    blocks = structural_blocks(files, canonical, min_lines).select(
-        "path", "line", F.col("fingerprint").alias("h"), F.array_join("tokens", "\x1f").alias("block")
-    )
-    pairs = duplicates.capped_pairs(blocks, cap, inclusive=False)
-    a, b = (F.split(F.col(f"{s}_block"), "\x1f") for s in "ab")
-    near = pairs.where(duplicates.close_lengths(F.size(a), F.size(b))).withColumn("ratio", duplicates.dice(a, b))
+    texts = blocks.select("path", "line", F.col("fingerprint").alias("h"), F.array_join("tokens", "\x1f").alias("block"))
+    pairs = duplicates.capped_pairs(texts, cap, inclusive=False, extra=_counted)
+    near = duplicates.scored(pairs.where(duplicates.close_lengths(F.size("a_t"), F.size("b_t"))))
     return near.where(F.col("ratio") >= least).select(F.round("ratio", 2).alias("ratio"), "a_path", "a_line", "b_path", "b_line")
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """Tokens and bigrams once per shape, not once per pair."""
+    return texts.withColumn("t", F.split("block", "\x1f")).withColumn("g", duplicates.numbered_bigrams(F.col("t")))
+
+
+def structural_clusters(files: DataFrame, canonical: bool = False, min_lines: int = 5) -> DataFrame:
+    return clusters_of(structural_blocks(files, canonical, min_lines))
+
+
+def structural_near_pairs(files: DataFrame, canonical: bool = False, min_lines: int = 5, cap: int = 4000, least: float = 0.85) -> DataFrame:
+    """Files are parsed once: the shapes are written before they are numbered and paired."""
+    return near_pairs_of(written(structural_blocks(files, canonical, min_lines), "shapes"), cap, least)
