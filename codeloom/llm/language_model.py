@@ -1,27 +1,30 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped for scoring.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark, memory-mapped for scoring.
 
-Tokens are the words between ASCII blanks with A-Z lower-cased, then one end token per text; the context of
-the first word is a start mark. Tokens are known by 64-bit hashes.
+Tokens are the words between ASCII blanks with A-Z lower-cased, then one end token per text; contexts of the first
+words are filled with a start mark. Tokens and contexts are known by 64-bit hashes; the context of order m, of m - 1
+words, is hashed from its first word and the context of order m - 1 that follows it.
 
-Counting. A task sums the pairs (context, word) of its texts and sends each context's pairs, packed, to the
-context's shard; a frequent context is thereby reduced to its distinct followers before anything moves. A
-shard merges what it gets and writes two sorted hash arrays: pairs with their counts, contexts with their
-totals and the number of followers seen once, twice and more often. What it learns about words (in how
-many contexts, how often) goes, packed again, to the word shards, which write the third sorted array. All
-texts count; nothing is pruned.
+Counting. A task sums the grams (context, word) of its texts and sends each context's grams, packed, to the context's
+shard; a frequent context is thereby reduced to its distinct followers before anything moves. A shard merges what it
+gets and writes sorted hash arrays: grams with their counts, contexts with their totals and the number of followers
+seen once, twice and more often. From its distinct grams it passes on, summed and packed again, how many different
+words stand before each gram that is a word shorter: the counts of the next order down, whose shards do the same.
+The last shards are those of the words: how often each stands, after how many others. All texts count; nothing is
+pruned.
 
 A context that a tenth of a shard's worth of tokens follows (the start mark, the commonest words) is dealt by
 context and word instead, over all shards; its totals are summed afterwards. Which contexts these are is read
 off a sample and bears on placement alone, never on a count.
 
-Files. Arrays lie in the shared folder, one file per shard and array. A task writes under a name of its own
-and the manifest names the files that count, so retried tasks do no harm. Workers map local files into memory;
-from a store without a mount they read the arrays they touch. No array is sent through the driver: it gets
-counts of counts, totals and file names.
+Files. Arrays lie in the shared folder, one file per order and shard, under a name that order and shard give: a task
+writes aside and renames, so a retried task replaces a file by the same file, and no list of files is needed. Workers
+map local files into memory; from a store without a mount they read the arrays they touch. No array is sent through
+the driver: it gets counts of counts and totals, summed by Spark.
 
-Probability. p(w|v) = max(c - D(c), 0) / c(v) + g(v) p(w), with p(w) built the same way from the number
-of contexts of w and interpolated with 1 / (V + 1), which is also what a new word gets. D has three values per
-order, from the counts of counts; g is the mass that discounting freed. A new context backs off wholly.
+Probability. p(w|v) = max(c - D(c), 0) / c(v) + g(v) p(w|v'), v' being v without its first word, down to the words,
+which are interpolated with 1 / (V + 1); that is also what a new word gets. Counts below the highest order are those
+of different words before. D has three values per order, from the counts of counts; g is the mass that discounting
+freed. A new context backs off wholly.
 
 Defined results
 * null or empty text: the end token alone. Null doc_id: belongs to the training part (its text form is empty).
@@ -54,9 +57,11 @@ OPEN_FILES = 4096
 
 @dataclass(frozen=True)
 class LmParams:
-    """chars_per_shard: text per shard of the model; the number of shards follows the input. max_spread bounds the
-    contexts that are spread over the shards, sample_texts the texts that they are guessed from."""
+    """order: words of the longest gram. chars_per_shard: text per shard of the model; the number of shards follows the
+    input. max_spread bounds the contexts of an order that are spread over the shards, sample_texts the texts that they
+    are guessed from."""
 
+    order: int = 2
     chars_per_shard: int = 16_000_000
     flush_tokens: int = 3_000_000
     score_tokens: int = 600_000
@@ -77,16 +82,20 @@ def token_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def contexts_of(tokens: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[0], out[1:] = START, tokens[:-1]
-    return out
-
-
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return hashing.mix64(v * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0x2545F4914F6CDD1D)))
 
 
+def contexts_of(tokens: np.ndarray, order: int = 2) -> list[np.ndarray]:
+    """For each token its contexts of order 2 to ``order``."""
+    out: list[np.ndarray] = []
+    for m in range(2, order + 1):
+        word = np.full(len(tokens), START)
+        word[m - 1 :] = tokens[: max(0, len(tokens) - m + 1)]
+        out.append(pair_hash(word, out[-1]) if out else word)
+    return out
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
@@ -109,40 +118,48 @@ def pair_shard(v: np.ndarray, w: np.ndarray, shards: int, spread: np.ndarray) ->
 # ---------------------------------------------------------------- arrays
 
 
-def merge_pairs(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum the counts of equal pairs; sorted by v, then w."""
+def merge_grams(v: np.ndarray, w: np.ndarray, counts: list, suffixes: list = ()) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """Sum the counts of equal grams; sorted by v, then w. suffixes: further columns that v decides."""
     if not len(v):
-        return v, w, c
+        return v, w, list(counts), list(suffixes)
     order = np.lexsort((w, v))
-    v, w, c = v[order], w[order], c[order]
+    v, w = v[order], w[order]
     first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
-    return v[first], w[first], np.add.reduceat(c, first)
+    return v[first], w[first], [np.add.reduceat(c[order], first) for c in counts], [s[order][first] for s in suffixes]
 
 
-def pack(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Pairs sorted by v: each v once. Counts in the fewest bytes."""
+def pack(v: np.ndarray, w: np.ndarray, counts: list, suffixes: list = ()) -> bytes:
+    """Grams sorted by v: each v once, with its suffixes. Counts in the fewest bytes."""
     first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     runs = np.diff(np.append(first, len(v))).astype("<u4")
-    small = c < 255
-    big = c[~small].astype("<u8")
-    head = np.array([len(first), len(v), len(big)], "<u8")
-    short = np.where(small, c, 255).astype("u1")
-    return b"".join(x.tobytes() for x in (head, v[first].astype("<u8"), runs, w.astype("<u8"), short, big))
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    nv, n, nb = (int(x) for x in np.frombuffer(data, "<u8", 3))
-    at = 24
-    vs = np.frombuffer(data, "<u8", nv, at)
-    at += 8 * nv
-    runs = np.frombuffer(data, "<u4", nv, at)
-    at += 4 * nv
-    w = np.frombuffer(data, "<u8", n, at)
-    at += 8 * n
-    c = np.frombuffer(data, "u1", n, at).astype(np.int64)
-    at += n
-    c[c == 255] = np.frombuffer(data, "<u8", nb, at).astype(np.int64)
-    return np.repeat(vs, runs), w, c
+    parts = [v[first].astype("<u8"), *[s[first].astype("<u8") for s in suffixes], runs, w.astype("<u8")]
+    big = []
+    for c in counts:
+        small = c < 255
+        big.append(c[~small].astype("<u8"))
+        parts += [np.where(small, c, 255).astype("u1"), big[-1]]
+    head = np.array([len(first), len(v), len(suffixes), len(counts), *map(len, big)], "<u8")
+    return b"".join(x.tobytes() for x in (head, *parts))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, list, list]:
+    nv, n, ns, nc = (int(x) for x in np.frombuffer(data, "<u8", 4))
+    big = [int(x) for x in np.frombuffer(data, "<u8", nc, 32)]
+    at = 32 + 8 * nc
+
+    def take(kind: str, k: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(data, kind, k, at)
+        at += found.nbytes
+        return found
+
+    vs, suffixes = take("<u8", nv), [take("<u8", nv) for _ in range(ns)]
+    runs, w, counts = take("<u4", nv), take("<u8", n), []
+    for k in big:
+        c = take("u1", n).astype(np.int64)
+        c[c == 255] = take("<u8", k).astype(np.int64)
+        counts.append(c)
+    return np.repeat(vs, runs), w, counts, [np.repeat(s, runs) for s in suffixes]
 
 
 def _save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
@@ -157,14 +174,16 @@ def _save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
         import os
 
         os.makedirs(path, exist_ok=True)
-        with open(f"{path}/{name}", "wb") as f:
+        aside = f"{path}/.{name}-{uuid.uuid4().hex}"
+        with open(aside, "wb") as f:
             f.write(data)
+        os.replace(aside, f"{path}/{name}")
     else:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/{name}", compression=None) as f:
+        with store.open_output_stream(f"{path}/{name}", compression=None) as f:  # a store shows a file when it is whole
             f.write(data)
 
 
@@ -176,15 +195,19 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 _KINDS = {1: "u1", 4: "<u4", 8: "<u8"}
 
 
-def _open(folder: str, name: str) -> list[np.ndarray]:
-    if (path := common.local_path(folder)) is not None:
-        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
-    else:
-        from pyarrow import fs
+def _open(folder: str, name: str) -> list[np.ndarray] | None:
+    """The arrays of a file; None where no text led to that shard."""
+    try:
+        if (path := common.local_path(folder)) is not None:
+            raw = np.memmap(f"{path}/{name}", np.uint8, "r")
+        else:
+            from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(folder)
-        with store.open_input_file(f"{path}/{name}") as f:
-            raw = np.frombuffer(f.read(), np.uint8)
+            store, path = fs.FileSystem.from_uri(folder)
+            with store.open_input_file(f"{path}/{name}") as f:
+                raw = np.frombuffer(f.read(), np.uint8)
+    except FileNotFoundError:
+        return None
     k = int(raw[:8].view("<u8")[0])
     shape = raw[8 : 8 + 16 * k].view("<u8").astype(np.int64).reshape(k, 2)
     out, at = [], 8 + 16 * k
@@ -198,46 +221,64 @@ def _open(folder: str, name: str) -> list[np.ndarray]:
 # ---------------------------------------------------------------- counting
 
 
-def frequent_contexts(texts: DataFrame, chars: int, params: LmParams) -> np.ndarray:
-    """Sorted hashes of the start mark and of words that take a tenth of a shard's text or more, most frequent first."""
+def frequent_contexts(texts: DataFrame, chars: int, params: LmParams) -> dict[int, np.ndarray]:
+    """By order, sorted hashes of the start's context and of contexts that take a tenth of a shard's text or more."""
     share = min(1.0, params.chars_per_shard / max(chars, 1)) / 10
     n = texts.count()
     some = texts.select("text").sample(min(1.0, params.sample_texts / max(n, 1)), seed=1)
-    words = some.select(F.explode(common.blank_words(common.ascii_lower(F.coalesce("text", F.lit(""))))).alias("w"))
-    counts = common.written(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "lm-sample")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("n") >= max(2.0, share * total)).orderBy(F.desc("n"), "w").limit(params.max_spread - 1).collect()
-    found = hashing.hashes_of([r["w"] for r in top])
-    return np.unique(np.append(found, START))
+    orders = range(2, params.order + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                for m, v in zip(orders, contexts_of(token_hashes(text.as_py()), params.order), strict=True):
+                    own, k = np.unique(v, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), m)), pa.array(own.view(np.int64)), pa.array(k)], names=["m", "v", "k"])
+
+    counts = some.mapInArrow(run, "m long, v long, k long").groupBy("m", "v").agg(F.sum("k").alias("n"))
+    counts = common.written(counts, "lm-sample")
+    out = {}
+    for m in orders:
+        own = counts.where(F.col("m") == m)
+        total = own.agg(F.sum("n")).first()[0] or 0
+        top = own.where(F.col("n") >= max(2.0, share * total)).orderBy(F.desc("n"), "v").limit(params.max_spread - 1).collect()
+        start = contexts_of(np.array([END]), m)[-1]
+        out[m] = np.unique(np.append(np.array([r["v"] for r in top], np.int64).view(np.uint64), start))
+    return out
+
+
+def _packs(v: np.ndarray, w: np.ndarray, counts: list, suffixes: list, shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A pack for each shard; grams are sorted by v, then w."""
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    cut = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        own = order[lo:hi]
+        yield int(shard[lo]), pack(v[own], w[own], [c[own] for c in counts], [s[own] for s in suffixes])
 
 
 def _count_tasks(shards: int, spread: np.ndarray, params: LmParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vs, ws, held = [], [], 0
+        held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            v, w = np.concatenate(vs), np.concatenate(ws)
-            v, w, c = merge_pairs(v, w, np.ones(len(v), np.int64))
-            p, _ = pair_shard(v, w, shards, spread)
-            order = np.argsort(p, kind="stable")
-            p, v, w, c = p[order], v[order], w[order], c[order]
-            cut = np.append(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])), len(p))
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p[lo])], pa.int32()), pa.array([pack(v[lo:hi], w[lo:hi], c[lo:hi])], pa.binary())], names=["p", "data"]
-                )
+            ctx = [np.concatenate(x) for x in zip(*[contexts_of(t, params.order) for t in held], strict=True)]
+            w = np.concatenate(held)
+            v, w, counts, suffixes = merge_grams(ctx[-1], w, [np.ones(len(w), np.int64)], ctx[-2::-1])
+            shard, _ = pair_shard(v, w, shards, spread)
+            for p, data in _packs(v, w, counts, suffixes, shard):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([data], pa.binary())], names=["p", "data"])
 
         for batch in batches:
             texts = batch.column(0)
             for i in range(batch.num_rows):
-                t = token_hashes(texts[i].as_py())
-                ws.append(t)
-                vs.append(contexts_of(t))
-                held += len(t)
-                if held >= params.flush_tokens:
+                held.append(token_hashes(texts[i].as_py()))
+                size += len(held[-1])
+                if size >= params.flush_tokens:
                     yield from flush()
-                    vs, ws, held = [], [], 0
-        if held:
+                    held, size = [], 0
+        if size:
             yield from flush()
 
     return run
@@ -247,40 +288,39 @@ def _count_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _pair_shard(folder: str, word_shards: int, spread: np.ndarray):
-    """Merge one shard's pairs; write pairs and contexts; pass on what is learnt about words."""
+def _gram_shard(folder: str, m: int, shards: int, spread: dict[int, np.ndarray]):
+    """Merge one shard's grams of order m; write grams and contexts; pass on what is learnt about grams a word shorter."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(d) for d in pdf["data"]]
-        v, w, c = merge_pairs(*(np.concatenate([x[i] for x in parts]) for i in range(3)))
+        join = lambda i, k: [np.concatenate([x[i][j] for x in parts]) for j in range(k)]
+        v, w = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        v, w, counts, suffixes = merge_grams(v, w, join(2, len(parts[0][2])), join(3, len(parts[0][3])))
         del parts
+        c, times = counts[0], counts[-1]  # the highest order's counts are both
         shard = int(pdf["p"].iloc[0])
-        name = f"pairs-{shard}-{uuid.uuid4().hex}"
         g = pair_hash(v, w)
         order = np.argsort(g)
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         groups = [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c > 2)]
         context = v[first]
-        wide = among(context, spread)
+        wide = among(context, spread[m])
         rows = [
-            {"kind": "spread", "shard": shard, "name": None, "stats": [int(context.view(np.int64)[i]), *[int(x[i]) for x in groups]], "data": None}
+            {"kind": "spread", "p": shard, "stats": [int(context.view(np.int64)[i]), *[int(x[i]) for x in groups]], "data": None}
             for i in np.flatnonzero(wide)
         ]
         own = [context[~wide], groups[0][~wide].astype("<u8"), *[_narrow(x[~wide]) for x in groups[1:]]]
-        _save(folder, name, [g[order], _narrow(c[order]), *own])
-        q = shard_of(w, word_shards)
-        order = np.lexsort((w, q))
-        q, w, c = q[order], w[order], c[order]
-        own = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        contexts, times, words, wq = np.diff(np.append(own, len(w))), np.add.reduceat(c, own), w[own], q[own]
-        edge = np.append(np.flatnonzero(np.concatenate([[True], wq[1:] != wq[:-1]])), len(wq))
-        rows += [
-            {"kind": "words", "shard": int(wq[lo]), "name": None, "stats": None,
-             "data": pack(words[lo:hi], times[lo:hi].astype(np.uint64), contexts[lo:hi].astype(np.int64))}
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True)
-        ]
-        rows.append({"kind": "pairs", "shard": shard, "name": name, "stats": _count_of_counts(c), "data": None})
-        return pd.DataFrame(rows, columns=["kind", "shard", "name", "stats", "data"])
+        _save(folder, f"{m}-{shard}", [g[order], _narrow(c[order]), *own])
+        ones = np.ones(len(w), np.int64)
+        if m > 2:
+            v, w, counts, suffixes = merge_grams(suffixes[0], w, [ones, times], suffixes[1:])
+            target, _ = pair_shard(v, w, shards, spread[m - 1])
+        else:  # words: each is its own context
+            v, w, counts, suffixes = merge_grams(w, w, [ones, times])
+            target = shard_of(w, shards)
+        rows += [{"kind": "next", "p": p, "stats": None, "data": data} for p, data in _packs(v, w, counts, suffixes, target)]
+        rows.append({"kind": "counts", "p": shard, "stats": _count_of_counts(c), "data": None})
+        return pd.DataFrame(rows, columns=["kind", "p", "stats", "data"])
 
     return run
 
@@ -290,16 +330,12 @@ def _word_shard(folder: str):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(d) for d in pdf["data"]]
-        w, times, contexts = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        order = np.argsort(w, kind="stable")
-        w, times, contexts = w[order], times[order].astype(np.int64), contexts[order]
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        w, times, contexts = w[first], np.add.reduceat(times, first), np.add.reduceat(contexts, first)
-        shard = int(pdf["shard"].iloc[0])
-        name = f"words-{shard}-{uuid.uuid4().hex}"
-        _save(folder, name, [w, times.astype("<u8"), contexts.astype("<u8")])
+        w = np.concatenate([x[1] for x in parts])
+        _, w, (contexts, times), _ = merge_grams(w, w, [np.concatenate([x[2][k] for x in parts]) for k in (0, 1)])
+        shard = int(pdf["p"].iloc[0])
+        _save(folder, f"1-{shard}", [w, times.astype("<u8"), contexts.astype("<u8")])
         stats = [*_count_of_counts(contexts), len(w), int(times.sum()), int(contexts.sum()), int((contexts > 2).sum())]
-        return pd.DataFrame([{"shard": shard, "name": name, "stats": stats}])
+        return pd.DataFrame([{"p": shard, "stats": stats}])
 
     return run
 
@@ -315,12 +351,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass(frozen=True)
 class LmModel:
-    """Where the arrays lie, and the few numbers that hold for the whole corpus."""
+    """Where the arrays lie, and the few numbers that hold for the whole corpus. discounts and spread are by order, from 2."""
 
     folder: str
-    pair_files: tuple
-    word_files: tuple
-    pair_discounts: tuple
+    order: int
+    shards: int
+    discounts: tuple
     word_discounts: tuple
     tokens: int
     vocabulary: int
@@ -329,38 +365,40 @@ class LmModel:
     spread: tuple = ()
 
 
+def _sums(rows: DataFrame, n: int) -> list[int]:
+    """Sums over all rows of the places of ``stats``."""
+    found = rows.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)).alias(f"s{i}") for i in range(n)]).first()
+    return [int(x) for x in found]
+
+
 def train(texts: DataFrame, params: LmParams = LmParams()) -> LmModel:
     """Count the column ``text`` of every row."""
+    if params.order < 2:
+        raise ValueError("the order of a model is 2 or more")
     spark = texts.sparkSession
     folder = common.fresh_path(spark, "lm")
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // params.chars_per_shard))
     spread = frequent_contexts(texts, int(size), params)
-    packed = texts.select("text").mapInArrow(_count_tasks(shards, spread, params), "p int, data binary")
-    dealt = packed.groupBy("p").applyInPandas(
-        _pair_shard(folder, shards, spread), "kind string, shard int, name string, stats array<long>, data binary"
-    )
-    dealt = common.written(dealt, "lm-shards")
-    pairs = dealt.where("kind = 'pairs'").select("shard", "name", "stats").collect()
-    words = dealt.where("kind = 'words'").select("shard", "data").groupBy("shard").applyInPandas(
-        _word_shard(folder), "shard int, name string, stats array<long>"
-    )
-    words = words.collect()
-    sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(1, 5)]
-    wide = dealt.where("kind = 'spread'").groupBy(F.get("stats", F.lit(0)).alias("v")).agg(*sums).collect()  # max_spread rows at most
-    total = lambda rows, i: sum(r["stats"][i] for r in rows)
-    pair_d = discounts(*(total(pairs, i) for i in range(4)))
-    word_d = discounts(*(total(words, i) for i in range(4)))
-    contexts = total(words, 6)
-    freed = word_d[0] * total(words, 0) + word_d[1] * total(words, 1) + word_d[2] * total(words, 7)
-
-    def files(rows) -> tuple:
-        by = {r["shard"]: r["name"] for r in rows}
-        return tuple(by.get(i) for i in range(shards))
-
+    packed = texts.select("text").mapInArrow(_count_tasks(shards, spread[params.order], params), "p int, data binary")
+    found, wide = {}, {}
+    for m in range(params.order, 1, -1):
+        dealt = packed.groupBy("p").applyInPandas(_gram_shard(folder, m, shards, spread), "kind string, p int, stats array<long>, data binary")
+        dealt = common.written(dealt, f"lm-{m}")
+        found[m] = discounts(*_sums(dealt.where("kind = 'counts'"), 4))
+        sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(1, 5)]
+        # max_spread rows at most
+        rows = dealt.where("kind = 'spread'").groupBy(F.get("stats", F.lit(0)).alias("v")).agg(*sums).collect()
+        wide[m] = tuple(sorted(tuple(r) for r in rows))
+        packed = dealt.where("kind = 'next'").select("p", "data")
+    words = common.written(packed.groupBy("p").applyInPandas(_word_shard(folder), "p int, stats array<long>"), "lm-1")
+    n1, n2, n3, n4, vocabulary, tokens, contexts, more = _sums(words, 8)
+    word_d = discounts(n1, n2, n3, n4)
+    freed = word_d[0] * n1 + word_d[1] * n2 + word_d[2] * more
+    orders = range(2, params.order + 1)
     return LmModel(
-        folder, files(pairs), files(words), pair_d, word_d, total(words, 5), total(words, 4), contexts,
-        freed / contexts if contexts else 1.0, tuple(sorted(tuple(r) for r in wide)),
+        folder, params.order, shards, tuple(found[m] for m in orders), word_d, tokens, vocabulary, contexts,
+        freed / contexts if contexts else 1.0, tuple(wide[m] for m in orders),
     )
 
 
@@ -373,11 +411,12 @@ class MappedModel:
     def __init__(self, model: LmModel):
         self.model = model
         self.open: OrderedDict[str, list[np.ndarray]] = OrderedDict()
-        table = np.array(sorted((v % 2**64, *rest) for v, *rest in model.spread), dtype=object).reshape(-1, 5)
-        self.spread = table[:, 0].astype(np.uint64)
-        self.spread_stats = table[:, 1:].astype(float)
+        self.spread = []
+        for own in model.spread:
+            table = np.array(sorted((v % 2**64, *rest) for v, *rest in own), dtype=object).reshape(-1, 5)
+            self.spread.append((table[:, 0].astype(np.uint64), table[:, 1:].astype(float).T))
 
-    def arrays(self, name: str) -> list[np.ndarray]:
+    def arrays(self, name: str) -> list[np.ndarray] | None:
         """The arrays of a file. At most ``OPEN_FILES`` stay mapped, those used last."""
         if name not in self.open:
             while len(self.open) >= OPEN_FILES:
@@ -396,11 +435,11 @@ class MappedModel:
         """Count and unigram probability of distinct sorted word hashes."""
         m = self.model
         count, contexts = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-        shard = shard_of(w, len(m.word_files))
+        shard = shard_of(w, m.shards)
         for s in np.unique(shard):
-            if (name := m.word_files[s]) is None:
+            if (found := self.arrays(f"1-{s}")) is None:
                 continue
-            keys, times, ctx = self.arrays(name)
+            keys, times, ctx = found
             own = np.flatnonzero(shard == s)
             at, there = self._find(keys, w[own])
             count[own[there]] = times[at[there]]
@@ -409,24 +448,25 @@ class MappedModel:
         kept = (contexts - d).clip(0) / m.pairs if m.pairs else np.zeros(len(w))
         return count, kept + m.word_backoff / (m.vocabulary + 1)
 
-    def pairs(self, v: np.ndarray, w: np.ndarray, p_word: np.ndarray) -> np.ndarray:
-        """p(w|v) of pairs, given p(w)."""
+    def grams(self, level: int, v: np.ndarray, w: np.ndarray, p_word: np.ndarray) -> np.ndarray:
+        """p(w|v) of grams of that order, given the probability of the next order down."""
         m = self.model
         out = p_word.copy()
-        shard, wide = pair_shard(v, w, len(m.pair_files), self.spread)
+        spread, spread_stats = self.spread[level - 2]
+        shard, wide = pair_shard(v, w, m.shards, spread)
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(len(m.pair_files) + 1))
-        d = np.array([0.0, *m.pair_discounts])
-        for s, name in enumerate(m.pair_files):
-            own = order[cut[s] : cut[s + 1]]
-            if name is None or not len(own):
+        cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0])), len(order))
+        d = np.array([0.0, *m.discounts[level - 2]])
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            own = order[lo:hi]
+            if (found := self.arrays(f"{level}-{shard[own[0]]}")) is None:
                 continue
-            g, c, ctx, *stats = self.arrays(name)
+            g, c, ctx, *stats = found
             keys, kback = np.unique(pair_hash(v[own], w[own]), return_inverse=True)
             at, there = self._find(g, keys)
             n = np.where(there, c[at], 0).astype(np.int64)
             kept = (n - d[np.minimum(n, 3)]).clip(0)[kback]
-            for part, known, known_stats in ((~wide[own], ctx, stats), (wide[own], self.spread, self.spread_stats.T)):
+            for part, known, known_stats in ((~wide[own], ctx, stats), (wide[own], spread, spread_stats)):
                 here = own[part]
                 if not len(here):
                     continue
@@ -447,11 +487,13 @@ class MappedModel:
         sizes = np.array([len(x) for x in docs])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         w = np.concatenate(docs)
-        v = np.concatenate([contexts_of(x) for x in docs])
+        contexts = [np.concatenate(x) for x in zip(*[contexts_of(x, m.order) for x in docs], strict=True)]
         distinct, back = np.unique(w, return_inverse=True)
         count, p_word = self.words(distinct)
         base = np.log10((count + 1) / (m.tokens + m.vocabulary + 1))
-        p = self.pairs(v, w, p_word[back])
+        p = p_word[back]
+        for level, v in enumerate(contexts, 2):
+            p = self.grams(level, v, w, p)
         sums = [np.add.reduceat(x, first) for x in ((count > 0)[back].astype(np.int64), base[back], np.log10(p))]
         return list(zip(sizes.tolist(), *[x.tolist() for x in sums], strict=True))
 

@@ -415,11 +415,67 @@ def test_language_model(odd_docs, plain_rows, chars):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
+def kneser_ney_of(train, order):
+    """log10 probability of a text under the model of that order, from the definition."""
+    pad = [0] * (order - 1)
+    grams = {order: Counter()}
+    for t in train:
+        w = pad + tokens(t)
+        grams[order].update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+    for m in range(order - 1, 0, -1):
+        grams[m] = Counter(g[1:] for g in grams[m + 1])
+    v = len(grams[1])
+
+    def steps(values):
+        k = [sum(c == i for c in values) for i in (1, 2, 3, 4)]
+        if not all(k):
+            return [0, 0.5, 0.5, 0.5]
+        y = k[0] / (k[0] + 2 * k[1])
+        return [0, *(min(max(i - (i + 1) * y * k[i] / k[i - 1], 0), i) for i in (1, 2, 3))]
+
+    d, after = {m: steps(c.values()) for m, c in grams.items()}, {}
+    for m, c in grams.items():
+        for g, k in c.items():
+            x = after.setdefault((m, g[:-1]), [0, 0, 0, 0])
+            x[0] += k
+            x[min(k, 3)] += 1
+
+    def p(ctx, w):
+        m = len(ctx) + 1
+        low = p(ctx[1:], w) if ctx else 1 / (v + 1)
+        if (m, ctx) not in after:
+            return low
+        x, k = after[m, ctx], grams[m].get((*ctx, w), 0)
+        return max(k - d[m][min(k, 3)], 0) / x[0] + sum(d[m][i] * x[i] for i in (1, 2, 3)) / x[0] * low
+
+    def score(t):
+        w = pad + tokens(t)
+        return sum(math.log10(p(tuple(w[i : i + order - 1]), w[i + order - 1])) for i in range(len(w) - order + 1))
+
+    return score
+
+
+@pytest.mark.parametrize("order,chars", [(2, 900), (3, 16_000_000), (3, 700), (4, 700)])
+def test_language_model_of_any_order(spark, order, chars):
+    rng = random.Random(order)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocab[: 1 + k % 40]) for _ in range(rng.randint(0, 60))) for k in range(90)] + ["", "w1", "w1 w2", "W1 W2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    params = language_model.LmParams(order=order, chars_per_shard=chars, flush_tokens=300, score_tokens=500)
+    model = language_model.train(docs.where("doc_id % 3 > 0"), params)
+    score = kneser_ney_of([t for i, t in enumerate(texts) if i % 3], order)
+    got = {r.doc_id: r for r in language_model.score_documents(docs, model, params).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i].score, score(t), rel_tol=1e-9), (i, t)
+    with pytest.raises(ValueError):
+        language_model.train(docs, language_model.LmParams(order=1))
+
+
 def test_large_counts_are_kept(tmp_path):
     """Counts beyond 32 bits pass through packing and the stored arrays."""
-    v, w, c = (np.array(x, np.uint64) for x in ([1, 1, 2], [5, 6, 5], [2**40, 254, 255]))
-    got = language_model.unpack(language_model.pack(v, w, c.astype(np.int64)))
-    assert all((a == b).all() for a, b in zip(got, (v, w, c.astype(np.int64))))
+    v, w, c, s = (np.array(x, np.uint64) for x in ([1, 1, 2], [5, 6, 5], [2**40, 254, 255], [9, 9, 8]))
+    gv, gw, counts, suffixes = language_model.unpack(language_model.pack(v, w, [c.astype(np.int64), w.astype(np.int64)], [s]))
+    assert all((a == b).all() for a, b in zip((gv, gw, *counts, *suffixes), (v, w, c.astype(np.int64), w.astype(np.int64), s)))
     language_model._save(str(tmp_path), "x", [v, language_model._narrow(c), language_model._narrow(c[1:])])
     back = language_model._open(str(tmp_path), "x")
     assert back[1].tolist() == c.tolist() and back[2].dtype == np.dtype("<u4")
