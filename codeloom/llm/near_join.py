@@ -10,8 +10,10 @@ found more often, so no estimate over the table's links, which its close copies
 
 Crowds. Every class of a trie node is tied to the node's smallest class, and the ties' connected components hold
 all candidates. A component of ``crowd`` classes or fewer is verified as it is, so a class meets a bounded number
-of others. In a larger one, common passages join classes that are not alike, and all its pairs would grow with
-the square of the table. There an exact prefix filter takes over: a class's shingles are put in order of how many
+of others. So is a larger one if ties between like signatures alone keep half of it together: it is a group of near
+copies, and comparing its pairs costs four times what its cluster's pairs cost. In any other large component, common
+passages join classes that are not alike, and all its pairs would grow with the square of the table. There an exact
+prefix filter takes over: a class's shingles are put in order of how many
 classes of the component have them, rarest first, and two classes with a similarity of ``threshold`` share one of
 the first n - ceil(threshold * n) + 1 of theirs. Classes are tied anew through those shingles alone, which lose no
 link, and the components of these ties replace the large one: what many texts share comes last in the order and
@@ -264,16 +266,46 @@ def crowd_ties(docs: DataFrame, reps: DataFrame, crowded: DataFrame, params: Nea
     return kept.join(heads, ["comp", "x"]).where("node > b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def candidate_components(docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
-    """node, comp: the components whose pairs are compared."""
-    comps = common.written(components(adaptive_ties(reps, params)), "near-components")
+def like_ties(ties: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """The ties (a, b) whose signatures agree in as many places as those of links at the threshold do, three deviations less."""
+    n = params.trees * params.depth
+    least = n * params.threshold - 3 * (n * params.threshold * (1 - params.threshold)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, n) for i in (2, 3))
+            own = pa.array((one == other).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(own) for i in (0, 1)], names=["a", "b"])
+
+    sigs = reps.select("node", "sig")
+    both = ties.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def mixed_crowds(ties: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParams) -> DataFrame:
+    """comp of the large components that no cluster of like ties holds half of."""
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    large = common.written(sizes.where(F.col("m") > params.crowd).select("comp"), "near-crowds")
+    large = common.written(sizes.where(F.col("m") > params.crowd), "near-large")
     if large.isEmpty():
+        return large.select("comp")
+    members = common.written(comps.join(large, "comp").select("node", "comp", "m"), "near-large-members")
+    own = ties.join(members.select(F.col("node").alias("a")), "a", "left_semi")
+    clusters = components(like_ties(own, reps, params)).select("node", F.col("comp").alias("cluster"))
+    shares = members.join(clusters, "node").groupBy("comp", "m", "cluster").agg(F.count(F.lit(1)).alias("k"))
+    whole = shares.where(F.col("k") * 2 >= F.col("m")).select("comp").distinct()
+    return common.written(large.join(whole, "comp", "left_anti").select("comp"), "near-crowds")
+
+
+def candidate_components(docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """node, comp: the components whose pairs are compared."""
+    ties = adaptive_ties(reps, params)
+    comps = common.written(components(ties), "near-components")
+    mixed = mixed_crowds(ties, reps, comps, params)
+    if mixed.isEmpty():
         return comps
-    crowded = common.written(comps.join(large, "comp", "left_semi").select("node", "comp"), "near-crowded")
+    crowded = common.written(comps.join(mixed, "comp", "left_semi").select("node", "comp"), "near-crowded")
     finer = components(crowd_ties(docs, reps, crowded, params))
-    return common.written(comps.join(large, "comp", "left_anti").select("node", "comp").unionByName(finer), "near-components")
+    return common.written(comps.join(mixed, "comp", "left_anti").select("node", "comp").unionByName(finer), "near-components")
 
 
 # ---------------------------------------------------------------- verification

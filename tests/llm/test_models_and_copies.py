@@ -128,6 +128,26 @@ def test_common_passages_make_no_crowds(spark):
     assert by_counts(tuple(r) for r in got) == by_counts(brute_classes(rows + rows[:40]))
 
 
+def test_groups_of_copies_stay_whole(spark):
+    """A large component of near copies is no crowd; one that passages chain is, though it holds copies."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    copies = [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(60)]
+    chained = [(1000 + i, t) for i, t in boilerplate_rows(150)]
+    p = near_join.NearParams(crowd=8)
+    docs = spark.createDataFrame(copies + chained, "doc_id long, text string")
+    signed = near_join.signatures(docs, p)
+    reps = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = near_join.common.written(reps, "test-reps")
+    ties = near_join.adaptive_ties(reps, p)
+    comps = near_join.common.written(near_join.components(ties), "test-comps")
+    mixed = {r.comp for r in near_join.mixed_crowds(ties, reps, comps, p).collect()}
+    assert 0 not in mixed and mixed and min(mixed) >= 1000
+    got = near_join.near_classes(docs, p).collect()
+    assert by_counts(tuple(r) for r in got) == by_counts(brute_classes(copies + chained))
+
+
 def test_prefixes_are_shortened(spark):
     """Recall of the start depth falls short for links at the threshold, so the depth shrinks until the bound holds."""
     p = near_join.NearParams()
