@@ -12,44 +12,53 @@ from .common import table
 
 
 def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a Jaccard similarity of 0.8 of five-word shingles, over all documents: class and number of links of each."""
     return near_join.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of cropped and edited copies among the images drawn from all embeddings."""
     images = media.vector_media(table(spark, sf_dir, "embeddings"))
     return media.copy_classes(images).withColumnRenamed("id", "vec_id")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed to the weights of their sources: the words that the mix takes of each."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shard", "quota")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases, and the notices and licenses found, in all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of the documents that are not held out; the log10 probability of every document under it."""
     docs = table(spark, sf_dir, "documents")
     model = language_model.train(docs.where(~language_model.held_out(F.col("doc_id"))))
     return language_model.score_documents(docs, model)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and their decoded texts, as digests."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that a document with a smaller id holds, as digests."""
     found = line_dedup.deduped(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back."""
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents, cutoffs learnt from the labels."""
     found = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -57,6 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels that are not held out."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
