@@ -52,7 +52,8 @@ from . import common, hashing
 
 @dataclass(frozen=True)
 class NearParams:
-    """crowd: classes of a component beyond which its shingles are asked; block: classes of a block, block_bytes their
+    """crowd: classes of a component beyond which its shingles are asked; common: classes from which a shingle is ranked by
+    its count; block: classes of a block, block_bytes their
     shingle sets' bytes; broadcast_rows: ids up to which they are sent to the texts instead of the texts to them."""
 
     words: int = 5
@@ -62,6 +63,7 @@ class NearParams:
     start_depth: int = 6
     target: float = 0.999
     crowd: int = 64
+    common: int = 8
     block: int = 512
     block_bytes: int = 16_000_000
     broadcast_rows: int = 1_000_000
@@ -235,9 +237,75 @@ def _with_texts(docs: DataFrame, chosen: DataFrame, params: NearParams) -> DataF
     return texts.join(F.broadcast(chosen) if chosen.count() <= params.broadcast_rows else chosen, "node")
 
 
-def crowd_ties(docs: DataFrame, reps: DataFrame, crowded: DataFrame, params: NearParams) -> DataFrame:
-    """a, b: classes of one crowded component (node, comp) that share a shingle of the prefix filter, each tied to the
-    shingle's smallest class."""
+def _frequent(chosen: DataFrame, shingles: int, params: NearParams) -> DataFrame:
+    """comp, x, df of the shingles that ``common`` classes of a component or more have. Tasks send packed counts, not shingles."""
+    buckets = max(1, -(-shingles // 4_000_000))
+
+    def packs(held: list) -> Iterator[pa.RecordBatch]:
+        found = _summed(np.concatenate(held, axis=1))
+        at = (found[1].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+        for k in np.unique(at):
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([found[:, at == k].tobytes()], pa.binary())], names=["bucket", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = _own_set(r["text"], r["d1"], params)
+                if s is not None:
+                    held.append(np.stack([np.full(len(s), r["comp"]), s.view(np.int64), np.ones(len(s), np.int64)]))
+                    size += len(s)
+                if size >= 1_000_000:
+                    yield from packs(held)
+                    held, size = [], 0
+        if size:
+            yield from packs(held)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _summed(np.concatenate([np.frombuffer(d, np.int64).reshape(3, -1) for d in pdf["data"]], axis=1))
+        return pd.DataFrame(dict(zip(("comp", "x", "df"), found[:, found[2] >= params.common], strict=True)))
+
+    return chosen.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInPandas(merge, "comp long, x long, df long")
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (comp, x, count) in order of comp and x, the counts of equal ones summed."""
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:2], axis=1) != 0).any(axis=0)])) if rows.shape[1] else np.zeros(0, int)
+    return np.stack([*rows[:2, first], np.add.reduceat(rows[2], first)]) if len(first) else rows
+
+
+def _prefix_length(n: int, threshold: float) -> int:
+    return n - int(np.ceil(threshold * n - 1e-6)) + 1
+
+
+def _prefixes_by_table(chosen: DataFrame, often: DataFrame, params: NearParams) -> DataFrame:
+    """comp, x, node: the rarest shingles of each class. ``often`` has ``broadcast_rows`` rows at most."""
+    known = often.orderBy("comp", "x").toArrow()
+    sent = chosen.sparkSession.sparkContext.broadcast([known.column(i).to_numpy() for i in range(3)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comps, xs, dfs = sent.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = _own_set(r["text"], r["d1"], params)
+                if s is None:
+                    continue
+                s = s.view(np.int64)
+                lo, hi = np.searchsorted(comps, [r["comp"], r["comp"] + 1])
+                df = np.ones(len(s), np.int64)
+                if hi > lo:
+                    at = np.minimum(np.searchsorted(xs[lo:hi], s), hi - lo - 1)
+                    df = np.where(xs[lo:hi][at] == s, dfs[lo:hi][at], 1)
+                first = s[np.lexsort((s, df))][: _prefix_length(len(s), params.threshold)]
+                columns = [np.full(len(first), r["comp"]), first, np.full(len(first), r["node"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["comp", "x", "node"])
+
+    return chosen.mapInArrow(run, "comp long, x long, node long")
+
+
+def _prefixes_by_join(chosen: DataFrame, often: DataFrame, params: NearParams) -> DataFrame:
+    """The same where ``often`` is larger: every shingle of a class meets its count in a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,22 +313,24 @@ def crowd_ties(docs: DataFrame, reps: DataFrame, crowded: DataFrame, params: Nea
                 s = _own_set(r["text"], r["d1"], params)
                 for at in range(0, 0 if s is None else len(s), 65_536):
                     part = s[at : at + 65_536].view(np.int64)
-                    k = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, r["comp"])), pa.array(np.full(k, r["node"])), pa.array(np.full(k, len(s))), pa.array(part)],
-                        names=["comp", "node", "n", "x"],
-                    )
+                    columns = [np.full(len(part), r["comp"]), np.full(len(part), r["node"]), np.full(len(part), _prefix_length(len(s), params.threshold)), part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["comp", "node", "first", "x"])
 
-    members = common.written(crowded.join(reps.select("node", "d1"), "node"), "near-crowd-members")
-    chosen = _with_texts(docs, members, params).select("comp", "node", "d1", "text")
-    have = common.written(chosen.mapInArrow(run, "comp long, node long, n long, x long"), "near-shingles")
-    often = have.groupBy("comp", "x").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 8)
-    often = common.written(often, "near-often")
+    have = chosen.mapInArrow(run, "comp long, node long, first long, x long")
     ranked = have.join(often, ["comp", "x"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.dense_rank().over(Window.partitionBy("node").orderBy("df", "x"))  # dense: a repeated row counts once
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(params.threshold) - 1e-6) + 1
-    kept = ranked.withColumn("rank", rank).where(F.col("rank") <= first).select("comp", "x", "node")
-    kept = common.written(kept, "near-prefixes")
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= F.col("first")).select("comp", "x", "node")
+
+
+def crowd_ties(docs: DataFrame, reps: DataFrame, crowded: DataFrame, params: NearParams) -> DataFrame:
+    """a, b: classes of one crowded component (node, comp) that share a shingle of the prefix filter, each tied to the
+    shingle's smallest class. Any order of the shingles that is one for all makes the filter exact; that by counts of the
+    common ones makes it narrow."""
+    members = common.written(crowded.join(reps.select("node", "d1", "n"), "node"), "near-crowd-members")
+    chosen = _with_texts(docs, members, params).select("comp", "node", "d1", "text")
+    often = common.written(_frequent(chosen, members.agg(F.sum("n")).first()[0] or 0, params), "near-often")
+    by = _prefixes_by_table if often.count() <= params.broadcast_rows else _prefixes_by_join
+    kept = common.written(by(chosen, often, params), "near-prefixes")
     heads = kept.groupBy("comp", "x").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").drop("last")
     heads = common.written(heads, "near-heads")
     return kept.join(heads, ["comp", "x"]).where("node > b").select(F.col("node").alias("a"), "b").distinct()

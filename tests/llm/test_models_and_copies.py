@@ -124,8 +124,9 @@ def test_common_passages_make_no_crowds(spark):
         compared[n] = sum(m * (m - 1) // 2 for m in sizes)
         assert max(sizes) <= 8 < n / 4 < loose
     assert compared[600] <= 5 * max(compared[150], 90)
-    got = near_join.near_classes(docs, p).collect()
-    assert by_counts(tuple(r) for r in got) == by_counts(brute_classes(rows + rows[:40]))
+    for held in (1_000_000, 0):  # the counts sent to the texts, or met in a join
+        got = near_join.near_classes(docs, near_join.NearParams(crowd=8, broadcast_rows=held)).collect()
+        assert by_counts(tuple(r) for r in got) == by_counts(brute_classes(rows + rows[:40]))
 
 
 def test_groups_of_copies_stay_whole(spark):
