@@ -4,20 +4,25 @@ Each image gives corners at several scales (Harris response, local maxima). A co
 its intensity centroid; 128 binary brightness tests, turned to it and chosen for little correlation, describe it.
 
 Hamming tables. The tests are cut into bands of ``band_bits`` bits. A band's word alone is too common to be a
-row once images are many, so a row is the word of a corner followed by those of its nearest corners on the same
-scale, in order of distance: a path in a trie. It starts with ``least`` corners; a row with more than ``crowd``
-entries is split by the word of the next corner, until ``most``. Rows that stay small give all their pairs, which
-``crowd`` bounds per entry; a row still crowded at ``most`` corners ties its images to its smallest. Rows that very
-many images share are found from a sample of the images, and tied by a partial aggregation and a join, so that no
-task gathers them. A meeting of two images also says how far the one is turned and scaled against the other. Pairs
-with ``votes`` meetings that agree on both, and the ties of crowded rows, are candidates.
-
-The candidates' connected components are cut into blocks of ``block`` images; a task compares two blocks, or many
-small components. Every pair of a component with rows in common (half of ``votes``) is verified by geometric consensus: one
-similarity transform must carry enough matched corners of one image onto the other, and make up enough of the
-corners in the area that both show. A task returns one row per image: its number of links and the smallest image
-it reaches. Links' connected components are the classes. So a pair needs no common smallest image to be compared:
-strangers with smaller ids in its rows cost it nothing.
+row once images are many, so a row is the word of a corner followed by that of its nearest corner on the same scale
+(``least`` corners). No row is cut, split or sampled.
+
+Quiet images lie in no row with more than ``crowd`` entries. Their rows give all their pairs, which ``crowd`` bounds
+per entry. A meeting of two images also says how far the one is turned and scaled against the other; pairs with
+``votes`` meetings that agree on both are candidates. The candidates' connected components are cut into blocks of
+``block`` images; a task compares two blocks, or many small components. Every pair of a component with rows in common
+(half of ``votes``) is verified.
+
+Crowded images lie in some row with more entries. They are cut into blocks of up to ``wide`` images; a task takes two
+blocks, counts the rows that each pair has in common, however crowded, and verifies every pair with half of ``votes``.
+So the links of crowded images are those of a comparison of all pairs with rows in common, at a cost that grows with
+the square of the number of crowded images. A pair with a quiet image has no crowded row, and is found above.
+
+Verification is by geometric consensus: one similarity transform must carry enough matched corners of one image onto
+the other, and make up enough of the corners in the area that both show. Its first steps are done for many images at
+once, and the whole where they leave it possible. A task returns one row per image: its number of links and the
+smallest image it reaches. Links' connected components are the classes. So a pair needs no common smallest image to
+be compared: strangers with smaller ids in its rows cost it nothing.
 
 Images with equal pixels are one class from the start and are described once.
 
@@ -39,7 +44,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -55,8 +60,9 @@ from .near_join import _roots, components
 @dataclass(frozen=True)
 class MediaParams:
     """scales: pyramid factors; least_response: share of an image's strongest corner that a corner must reach;
-    least, most: corners of a table row; crowd: entries of a row beyond which it is split; popular: images beyond
-    which a row at ``most`` corners is tied without being gathered; block: images of a block."""
+    least: corners of a table row; crowd: entries beyond which a row is crowded; most, popular: corners of the rows, and images
+    that share one, from which ``candidate_ties`` of a whole table ties them without gathering them; block: images of a block; wide: images of a block of
+    those that lie in crowded rows."""
 
     scales: tuple = (1.0, 0.75, 0.5)
     least_response: float = 0.05
@@ -73,12 +79,17 @@ class MediaParams:
     min_inliers: int = 6
     min_share: float = 0.35
     block: int = 128
+    wide: int = 12_288
 
 
 TESTS = 128
 TURNS = 30
 #: Bits in a table row of whether it stands for two (1), of the corner's scale (3) and angle (5).
 PLACE_BITS = 9
+#: Ids or heads up to which they are sent to the images instead of the images to them.
+BROADCAST_ROWS = 1_000_000
+#: Images whose corners are compared with an image's at once.
+TOGETHER = 32
 #: One keypoint: x, y, scale, angle, descriptor.
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("a", "<f4"), ("d", "u1", TESTS // 8)])
 
@@ -348,31 +359,44 @@ def _near_corners(points: np.ndarray, count: int) -> np.ndarray:
     """Indices of the nearest corners of the same scale, nearest first; -1 where there are too few."""
     gap = np.hypot(points["x"][:, None] - points["x"], points["y"][:, None] - points["y"]) / points["s"][:, None]
     gap[(points["s"][:, None] != points["s"]) | np.eye(len(points), dtype=bool)] = np.inf
-    order = np.argsort(gap, axis=1, kind="stable")[:, :count]
+    order = gap.argmin(axis=1)[:, None] if count == 1 else np.argsort(gap, axis=1, kind="stable")[:, :count]
     out = np.full((len(points), count), -1)
     out[:, : order.shape[1]] = np.where(np.isfinite(np.take_along_axis(gap, order, axis=1)), order, -1)
     return out
 
 
+def _paths(words: np.ndarray, near: np.ndarray, params: MediaParams) -> tuple[np.ndarray, ...]:
+    """Words along the path of every corner and band, hash of the first ``least``, corners that are their nearest's nearest, rows
+    that stand: of two corners that are each other's nearest, the one with the smaller word speaks for both."""
+    path = np.concatenate([words[:, :, None], np.where(near[:, None, :] >= 0, words[near].transpose(0, 2, 1), 0)], axis=2)
+    head = np.broadcast_to(np.arange(1, params.bands + 1, dtype=np.uint64), words.shape)
+    for k in range(params.least):
+        head = hashing.mix64(head * np.uint64(0x9E3779B97F4A7C15) + path[:, :, k].astype(np.uint64))
+    nearest = near[:, 0]
+    mutual = (nearest >= 0) & (nearest[nearest] == np.arange(len(near)))
+    return path, head, mutual, ~mutual[:, None] | (words <= words[nearest])
+
+
+def row_heads(points: np.ndarray, params: MediaParams = MediaParams()) -> np.ndarray:
+    """The heads of ``row_paths``, one for every corner that has them."""
+    if not len(points):
+        return np.zeros(0, np.int64)
+    _, head, _, speaks = _paths(_words(points, params), _near_corners(points, max(1, params.least - 1)), params)
+    return head.astype(np.int64)[speaks]
+
+
 def row_paths(points: np.ndarray, params: MediaParams = MediaParams()) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of an image, one per corner and band: the hash of the first ``least`` words, and, packed into
     one number, the words of the following corners, the earlier ones higher, then the corner's place (``PLACE_BITS``)."""
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words, near = _words(points, params), _near_corners(points, params.most - 1)
-    path = np.concatenate([words[:, :, None], np.where(near[:, None, :] >= 0, words[near].transpose(0, 2, 1), 0)], axis=2)
-    head = np.broadcast_to(np.arange(1, params.bands + 1, dtype=np.uint64), words.shape)
-    for k in range(params.least):
-        head = hashing.mix64(head * np.uint64(0x9E3779B97F4A7C15) + path[:, :, k].astype(np.uint64))
+    path, head, mutual, speaks = _paths(words, near, params)
     rest = np.zeros(words.shape, np.int64)
     for k in range(params.least, params.most):
         rest = (rest << params.band_bits) | path[:, :, k]
     scale = np.abs(points["s"][:, None] - 1 / np.array(params.scales)).argmin(axis=1)
-    # of two corners that are each other's nearest, the one with the smaller word speaks for both
-    nearest = near[:, 0]
-    mutual = (nearest >= 0) & (nearest[nearest] == np.arange(len(points)))
     rest = (rest << PLACE_BITS) | (mutual * 256 + scale * 32 + _turn(points["a"]))[:, None]
-    speaks = ~mutual[:, None] | (words <= words[nearest])
     both = np.unique(np.stack([head.astype(np.int64)[speaks], rest[speaks]], axis=1), axis=0)
     return both[:, 0], both[:, 1]
 
@@ -380,12 +404,17 @@ def row_paths(points: np.ndarray, params: MediaParams = MediaParams()) -> tuple[
 # ---------------------------------------------------------------- consensus
 
 
+def _halves(points: np.ndarray) -> np.ndarray:
+    """Descriptors as two 64-bit words."""
+    return np.ascontiguousarray(points["d"]).view("<u8")
+
+
 def consensus(a: np.ndarray, b: np.ndarray, size_a: tuple, size_b: tuple, params: MediaParams = MediaParams()) -> int:
     """Corners of a that one similarity transform carries onto matching corners of b; 0 where that proves nothing."""
     if len(a) < params.min_inliers or len(b) < params.min_inliers:
         return 0
-    bits_a, bits_b = (np.unpackbits(p["d"], axis=1).astype(np.float32) for p in (a, b))
-    distance = bits_a.sum(axis=1)[:, None] + bits_b.sum(axis=1)[None] - 2 * (bits_a @ bits_b.T)
+    (low_a, high_a), (low_b, high_b) = (_halves(p).T for p in (a, b))
+    distance = np.bitwise_count(low_a[:, None] ^ low_b) + np.bitwise_count(high_a[:, None] ^ high_b)
     i = np.arange(len(a))
     j = distance.argmin(axis=1)
     good = (distance[i, j] <= params.max_distance) & (distance.argmin(axis=0)[j] == i)
@@ -426,61 +455,140 @@ def consensus(a: np.ndarray, b: np.ndarray, size_a: tuple, size_b: tuple, params
 # ---------------------------------------------------------------- pairs of a task
 
 
-def shared_rows(left: list[np.ndarray], right: list[np.ndarray], step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """Number of table rows that each of ``left`` shares with each of ``right``: (first of a part of ``left``, counts)."""
-    words = np.concatenate(right)
-    owner = np.repeat(np.arange(len(right)), [len(w) for w in right])
-    order = np.argsort(words, kind="stable")
-    words, owner = words[order], owner[order]
+def shared_rows(left: list[np.ndarray], right: list[np.ndarray], params: MediaParams, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of table rows that each image of ``left`` (its corners) shares with each of ``right``: (first of a part of ``left``, counts)."""
+
+    def heads(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.unique(row_heads(p, params)) for p in part]
+        words, owner = np.concatenate(rows), np.repeat(np.arange(len(part), dtype=np.int32), [len(w) for w in rows])
+        order = np.argsort(words, kind="stable")
+        return words[order], owner[order]
+
+    words, owner = heads(right)
     for at in range(0, len(left), step):
         part = left[at : at + step]
-        own, who = np.concatenate(part), np.repeat(np.arange(len(part)), [len(w) for w in part])
+        own, who = heads(part)
         lo = np.searchsorted(words, own, "left")
         n = np.searchsorted(words, own, "right") - lo
         ends = np.cumsum(n)
         votes = np.zeros(len(part) * len(right), np.int64)
         start = 0
         while start < len(n):  # so many meetings at a time
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + 4_000_000, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + 1_000_000, "right")))
             k = n[start:stop]
             met = np.repeat(lo[start:stop] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            votes += np.bincount(np.repeat(who[start:stop], k) * len(right) + owner[met], minlength=len(votes))
+            votes += np.bincount(np.repeat(who[start:stop].astype(np.int64), k) * len(right) + owner[met], minlength=len(votes))
             start = stop
         yield at, votes.reshape(len(part), len(right))
 
 
-def _maybe(one: np.ndarray, others: list[np.ndarray], params: MediaParams) -> np.ndarray:
-    """Which of ``others`` have enough close corners for a consensus with ``one``. Descriptors as two 64-bit words."""
-    out = []
-    for at in range(0, len(others), 64):
-        part = others[at : at + 64]
-        sizes = np.array([len(x) for x in part])
-        d = np.concatenate(part)
-        apart = np.bitwise_count(one[:, None, 0] ^ d[None, :, 0])
-        apart += np.bitwise_count(one[:, None, 1] ^ d[None, :, 1])
-        least = np.minimum.reduceat(apart, np.cumsum(sizes) - sizes, axis=1)
-        most = np.add.reduceat(apart.min(axis=0) <= params.max_distance, np.cumsum(sizes) - sizes, dtype=np.int64)
-        out.append(((least <= params.max_distance).sum(axis=0) >= params.min_inliers) & (most >= params.min_inliers))
-    return np.concatenate(out)
-
-
-def linked_pairs(ids: np.ndarray, points: list[np.ndarray], sizes: list[tuple], side: np.ndarray, params: MediaParams) -> np.ndarray:
-    """Index pairs of verified links. ids ascend; side: 0 for one block (all pairs), else 1 and 2 (pairs across)."""
+@dataclass
+class Corners:
+    """The corners of many images, one after another: place, scale, angle and the two halves of the descriptors; room for the
+    distances of an image's corners to those of ``TOGETHER`` others."""
+
+    z: np.ndarray
+    s: np.ndarray
+    a: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    room: tuple
+
+    @staticmethod
+    def of(points: list[np.ndarray]) -> Corners:
+        size = np.array([len(p) for p in points])
+        flat = np.concatenate(points)
+        low, high = _halves(flat).T
+        cells = int(size.max()) ** 2 * TOGETHER
+        room = tuple(np.empty(cells, t) for t in (np.uint64, np.uint8, np.uint8))
+        return Corners(flat["x"] + 1j * flat["y"], flat["s"].copy(), flat["a"].copy(), low.copy(), high.copy(), np.cumsum(size) - size, size, room)
+
+
+def _close(corners: Corners, image: int, others: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Corners of ``image`` and of ``others`` at most ``most`` bits apart: (index of the one, index of the other, whose that is in
+    ``others``, bits)."""
+    begin, count = corners.start[image], corners.size[image]
+    low, high = corners.low[begin : begin + count, None], corners.high[begin : begin + count, None]
+    size = corners.size[others]
+    ends = np.append(0, np.cumsum(size))
+    who = np.repeat(np.arange(len(others)), size)
+    place = np.arange(len(who)) + np.repeat(corners.start[others] - ends[:-1], size)
+    lows, highs, found = corners.low[place], corners.high[place], []
+    for at in range(0, len(others), TOGETHER):
+        lo, hi = ends[at], ends[min(at + TOGETHER, len(others))]
+        words, bits, more = (x[: count * (hi - lo)].reshape(count, hi - lo) for x in corners.room)
+        np.bitwise_count(np.bitwise_xor(low, lows[lo:hi], out=words), out=bits)
+        np.bitwise_count(np.bitwise_xor(high, highs[lo:hi], out=words), out=more)
+        np.add(bits, more, out=bits)
+        flat = np.flatnonzero(np.less_equal(bits, most, out=more.view(bool)))
+        i, j = np.divmod(flat, hi - lo)
+        found.append((i, j + lo, bits.ravel()[flat].astype(np.int64)))
+    i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, place[j], who[j], apart
+
+
+def _maybe(corners: Corners, image: int, others: np.ndarray, params: MediaParams) -> np.ndarray:
+    """Which of ``others`` can have a consensus with ``image``: its first steps for many images at once, with a little more tolerance.
+    They come out the same whichever of two images is the first."""
+    out = np.zeros(len(others), bool)
+    least, begin, count, total = params.min_inliers, corners.start[image], corners.size[image], int(corners.size.max())
+    for at in range(0, len(others), 384):
+        part = others[at : at + 384]
+        i, place, who, apart = _close(corners, image, part, params.max_distance)
+        # each corner's closest, the first of equals
+        j = who * total + place - corners.start[part][who]
+        mine = who * count + i
+        to_one, to_other = apart * count + i, apart * (len(part) * total) + j
+        none = np.iinfo(np.int64).max
+        best_i, best_j = np.full(len(part) * total, none), np.full(len(part) * count, none)
+        np.minimum.at(best_i, j, to_one)
+        np.minimum.at(best_j, mine, to_other)
+        mutual = (best_i[j] == to_one) & (best_j[mine] == to_other)
+        n = np.bincount(who[mutual], minlength=len(part))
+        mutual &= (n >= least)[who]
+        i, place, who = i[mutual] + begin, place[mutual], who[mutual]
+        if not len(i):
+            continue
+        order = np.argsort(who, kind="stable")
+        i, place, who = i[order], place[order], who[order]
+        n = np.bincount(who, minlength=len(part))
+        turn = corners.a[place] - corners.a[i]
+        turn = np.where(np.abs((turn + np.pi) % (2 * np.pi) - np.pi) < 0.3, 0.0, turn)
+        za, zb, m = corners.z[i], corners.z[place], corners.s[place] / corners.s[i]
+        reach = (params.tolerance * np.maximum(1, m) + 0.01) ** 2
+        m = m * np.exp(1j * turn)
+        # every match's transform against every match of the same image
+        k = n[who]
+        guess = np.repeat(np.arange(len(who)), k)
+        match = np.repeat((np.cumsum(n) - n)[who] - (np.cumsum(k) - k), k) + np.arange(len(guess))
+        off = m[guess] * (za[match] - za[guess]) - (zb[match] - zb[guess])
+        inside = off.real**2 + off.imag**2 <= reach[guess]
+        fits = np.bincount(guess[inside], minlength=len(who))
+        out[at + who[fits >= least]] = True
+    return out
+
+
+def linked_pairs(ids: np.ndarray, points: list[np.ndarray], sizes: list[tuple], side: np.ndarray, params: MediaParams, done: np.ndarray | None = None) -> np.ndarray:
+    """Index pairs of verified links. ids ascend; side: 0 for one block (all pairs), else 1 and 2 (pairs across). Pairs of two ``done``
+    images are left out."""
     one = bool((side == 0).all())
     l, r = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
     found = []
     if not len(l) or not len(r):
         return np.zeros((0, 2), np.int64)
-    words = [np.unique(row_paths(p, params)[0]) for p in points]
-    tests = [np.ascontiguousarray(p["d"]).view("<u8") for p in points]
-    for at, votes in shared_rows([words[i] for i in l], [words[i] for i in r]):
+    corners = Corners.of(points)
+    for at, votes in shared_rows([points[i] for i in l], [points[i] for i in r], params):
         for row, v in enumerate(votes):
             i = int(l[at + row])
             near = r[v >= (params.votes + 1) // 2]  # a row may stand for two meetings
             near = near[near > i] if one else near
+            if done is not None and done[i]:
+                near = near[~done[near]]
             if not len(near):
                 continue
-            for j in near[_maybe(tests[i], [tests[k] for k in near], params)].tolist():
+            for j in near[_maybe(corners, i, near, params)].tolist():
                 x, y = (j, i) if ids[j] > ids[i] else (i, j)
                 if consensus(points[x], points[y], sizes[x], sizes[y], params):
                     found.append((i, j))
@@ -543,37 +651,20 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def meetings(ids: np.ndarray, head: np.ndarray, rest: np.ndarray, params: MediaParams) -> tuple[np.ndarray, ...]:
-    """(a, b, tie, scale, turn, weight) of rows sorted by head, rest and id, a > b: the pairs of small rows (tie false) and the
-    ties of crowded ones. scale and turn: how a's corner differs from b's."""
+    """(a, b, tie, scale, turn, weight) of rows sorted by head, rest and id, a > b: all pairs of the rows that are not crowded (the
+    others are the business of ``crowd_links``). scale and turn: how a's corner differs from b's. tie is false."""
     found = []
     place = (rest & ((1 << PLACE_BITS) - 1)).astype(np.int32)
-    path = rest >> PLACE_BITS
-    open_ = np.ones(len(ids), bool)  # entries whose row so far is crowded
-
-    def meet(one: np.ndarray, other: np.ndarray, tie: bool) -> None:
-        apart = ids[one] != ids[other]
-        one, other = one[apart], other[apart]
+    run = np.cumsum(_starts(head)) - 1
+    small = (np.bincount(run, minlength=len(ids)) <= params.crowd)[run]
+    for apart in range(1, max(2, params.crowd)):
+        one = np.flatnonzero(small[:-apart] & (run[:-apart] == run[apart:]))
+        other = one + apart
+        differ = ids[one] != ids[other]
+        one, other = one[differ], other[differ]
         one, other = np.where(ids[one] > ids[other], (one, other), (other, one))
         scale, turn = (place[one] >> 5 & 7) - (place[other] >> 5 & 7), ((place[one] & 31) - (place[other] & 31)) % TURNS
-        found.append((ids[one], ids[other], np.full(len(one), tie), scale, turn, 1 + ((place[one] & place[other]) >> 8)))
-
-    for depth in range(params.least, params.most + 1):
-        part = path >> (params.band_bits * (params.most - depth))
-        begins = _starts(head, part)
-        run = np.cumsum(begins) - 1
-        size = np.bincount(run, minlength=len(ids))[run]
-        small = open_ & (size <= params.crowd)
-        for apart in range(1, params.crowd):
-            at = np.flatnonzero(small[:-apart] & (run[:-apart] == run[apart:]))
-            meet(at, at + apart, False)
-        open_ &= ~small
-        if depth == params.most and open_.any():
-            begin = np.flatnonzero(begins)
-            least = np.minimum.reduceat(ids, begin)
-            first = np.zeros(len(begin), np.int64)
-            first[run[ids == least[run]]] = np.flatnonzero(ids == least[run])
-            at = np.flatnonzero(open_)
-            meet(at, first[run[at]], True)
+        found.append((ids[one], ids[other], np.zeros(len(one), bool), scale, turn, 1 + ((place[one] & place[other]) >> 8)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -602,7 +693,7 @@ def row_meetings(rows: DataFrame, params: MediaParams) -> DataFrame:
                 for at in range(0, len(met[0]), 65_536):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536]) for x in met], names=names)
 
-    dealt = rows.repartition("head").sortWithinPartitions("head", "rest", "id")
+    dealt = rows.select("id", "head", "rest").repartition("head").sortWithinPartitions("head", "rest", "id")
     return dealt.mapInArrow(run, "a long, b long, tie boolean, scale int, turn int, weight int")
 
 
@@ -623,11 +714,52 @@ def _pathed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("path", F.shiftright("rest", PLACE_BITS))
 
 
-def candidate_ties(able: DataFrame, params: MediaParams) -> DataFrame:
-    """a, b (a > b, distinct): pairs with ``votes`` meetings that agree, and the ties of crowded rows."""
-    rows = table_rows(able, params)
-    popular = common.written(popular_rows(able, params), "media-popular")
-    known = popular.count()
+def crowded_images(able: DataFrame, params: MediaParams) -> DataFrame:
+    """id of the images that lie in a row (of ``least`` corners) with more than ``crowd`` entries. A corner whose row its image
+    has already counts too, so ``meetings`` finds no row of another image crowded."""
+    hold = 1_048_576
+
+    def list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 512):
+            heads = [row_heads(np.frombuffer(p.as_py(), POINT), params) for p in batch.column(1)]
+            if heads:
+                ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(h) for h in heads])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(heads))], names=["id", "head"])
+
+    def list_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, head = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in _ending(batches):
+            if batch is not None:
+                ids, head = (np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate((ids, head)))
+                if len(ids) < hold:
+                    continue
+            begin = np.flatnonzero(_starts(head))
+            size = np.diff(np.append(begin, len(head)))
+            found = np.unique(ids[np.repeat(size > params.crowd, size)])
+            for at in range(0, len(found), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 65_536])], names=["id"])
+            if batch is not None:  # of the last row, which may go on, as many entries as tell whether it is crowded
+                last = max(int(begin[-1]), len(head) - params.crowd - 1)
+                ids, head = ids[last:], head[last:]
+
+    rows = able.select("id", "points").mapInArrow(list_rows, "id long, head long")
+    return rows.repartition("head").sortWithinPartitions("head").mapInArrow(list_images, "id long").distinct()
+
+
+def quiet_rows(able: DataFrame, crowded: DataFrame, params: MediaParams) -> DataFrame:
+    """The table rows of ``able`` that hold an image which is not ``crowded``. None has more than ``crowd`` entries."""
+    heads = common.written(table_rows(able.join(crowded, "id", "left_anti"), params).select("head").distinct(), "media-heads")
+    return table_rows(able, params).join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, "head", "left_semi")
+
+
+def candidate_ties(able: DataFrame, params: MediaParams, rows: DataFrame | None = None) -> DataFrame:
+    """a, b (a > b, distinct): pairs with ``votes`` meetings that agree in rows that are not crowded. rows: those to look at; without
+    them all rows; images that lie in a row which very many share are tied to its smallest, and their other rows are not looked at."""
+    popular, known = None, 0
+    if rows is None:
+        rows = table_rows(able, params)
+        popular = common.written(popular_rows(able, params), "media-popular")
+        known = popular.count()
     met = row_meetings(rows, params)
     if known:
         small = known <= 100_000
@@ -635,7 +767,7 @@ def candidate_ties(able: DataFrame, params: MediaParams) -> DataFrame:
         shared = rows.join(F.broadcast(popular) if small else popular, row)
         smallest = shared.groupBy(*row).agg(F.min("id").alias("b"))
         ties = shared.join(F.broadcast(smallest) if small else smallest, row).where("id > b")
-        rest = rows.join(F.broadcast(popular) if small else popular, row, "left_anti").drop("path")
+        rest = rows.join(shared.select("id").distinct(), "id", "left_anti")
         met = row_meetings(rest, params).unionByName(
             ties.select(F.col("id").alias("a"), "b", F.lit(True).alias("tie"), *[F.lit(0).alias(c) for c in ("scale", "turn", "weight")])
         )
@@ -646,7 +778,8 @@ def candidate_ties(able: DataFrame, params: MediaParams) -> DataFrame:
 
 
 def verified(shown: DataFrame, comps: DataFrame, params: MediaParams) -> DataFrame:
-    """id, n_links, root (smallest image reached): one row per image and task. Every pair of a component meets in one task."""
+    """id, n_links, root (smallest image reached): one row per image and task. Every pair of a component meets in one task, and is
+    compared unless both are ``crowded``."""
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "comp")
     packs = max(1, -(-sized.count() // params.block))
     placed = sized.select(F.col("node").alias("id"), "comp", F.ceil(F.col("m") / params.block).cast("int").alias("nb")).withColumn(
@@ -663,19 +796,19 @@ def verified(shown: DataFrame, comps: DataFrame, params: MediaParams) -> DataFra
     # small components share tasks; a task of a large one has two blocks
     pack = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp", "t.i", "t.j"))
     dealt = shown.join(placed, "id").withColumn("t", F.explode(tasks)).select(
-        "id", "comp", "t.i", "t.j", "t.side", "points", "h", "w", (F.col("nb") == 1).alias("whole"), pack.alias("pack")
+        "id", "comp", "t.i", "t.j", "t.side", "points", "h", "w", "crowded", (F.col("nb") == 1).alias("whole"), pack.alias("pack")
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["comp", "i", "j", "id"])
         cuts = np.flatnonzero((pdf[["comp", "i", "j"]].diff().fillna(1) != 0).any(axis=1).to_numpy())
-        ids, side = pdf["id"].to_numpy(np.int64), pdf["side"].to_numpy()
+        ids, side, done = pdf["id"].to_numpy(np.int64), pdf["side"].to_numpy(), pdf["crowded"].to_numpy(bool)
         points = [np.frombuffer(b, POINT) for b in pdf["points"]]
         sizes = list(zip(pdf["h"].tolist(), pdf["w"].tolist(), strict=True))
         count, root = np.zeros(len(pdf), np.int64), ids.copy()
         for lo, hi in zip(cuts, np.append(cuts[1:], len(pdf)), strict=True):
             if hi - lo > 1:
-                pairs = linked_pairs(ids[lo:hi], points[lo:hi], sizes[lo:hi], side[lo:hi], params)
+                pairs = linked_pairs(ids[lo:hi], points[lo:hi], sizes[lo:hi], side[lo:hi], params, done[lo:hi])
                 count[lo:hi] = np.bincount(pairs.ravel(), minlength=hi - lo)
                 root[lo:hi] = ids[lo:hi][_roots(hi - lo, pairs)]
         return pd.DataFrame({"id": ids, "n_links": count, "root": root})
@@ -683,6 +816,40 @@ def verified(shown: DataFrame, comps: DataFrame, params: MediaParams) -> DataFra
     return dealt.groupBy("whole", "pack").applyInPandas(compare, "id long, n_links long, root long")
 
 
+def crowd_links(shown: DataFrame, count: int, params: MediaParams) -> DataFrame:
+    """id, n_links, root as of ``verified``, for the ``count`` images of ``shown``: all pairs with rows in common, however many images
+    share the rows. A task compares two blocks of about ``wide`` images, fewer where a table is small."""
+    cores = shown.sparkSession.sparkContext.defaultParallelism
+    nb = max(-(-count // params.wide), min(-(-count // params.block), int(np.ceil(np.sqrt(4 * cores)))))
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.lit(nb - 1)),
+        lambda o: F.struct(
+            (F.greatest("blk", o) * (F.greatest("blk", o) + 1) / 2 + F.least("blk", o)).cast("int").alias("task"),
+            F.when(F.col("blk") == o, 0).when(F.col("blk") < o, 1).otherwise(2).alias("side"),
+        ),
+    )
+    blocks = shown.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
+    dealt = blocks.withColumn("t", F.explode(tasks)).select("id", "points", "h", "w", "t.side", "t.task").repartitionById(nb * (nb + 1) // 2, "task").drop("task")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held or not sum(b.num_rows for b in held):
+            return
+        ids, h, w, side = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("id", "h", "w", "side"))
+        points = [np.frombuffer(p.as_py(), POINT) for b in held for p in b.column("points")]
+        held.clear()
+        order = np.argsort(ids)
+        ids, side, points = ids[order], side[order], [points[k] for k in order]
+        pairs = linked_pairs(ids, points, list(zip(h[order].tolist(), w[order].tolist(), strict=True)), side, params)
+        links = np.bincount(pairs.ravel(), minlength=len(ids))
+        some = links > 0
+        columns = [ids[some], links[some], ids[_roots(len(ids), pairs)][some]]
+        for at in range(0, int(some.sum()), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65_536]) for c in columns], names=["id", "n_links", "root"])
+
+    return dealt.mapInArrow(compare, "id long, n_links long, root long")
+
+
 def copy_classes(media: DataFrame, params: MediaParams = MediaParams()) -> DataFrame:
     """id, decoded, n_points, pixel_id (smallest id with the same pixels), class_id, n_links for every row of ``media``."""
     described = common.written(describe(media, params), "media-points")
@@ -696,9 +863,21 @@ def copy_classes(media: DataFrame, params: MediaParams = MediaParams()) -> DataF
     distinct = described if copies.isEmpty() else described.join(copies, "id", "left_anti")
     # fewer corners than a consensus needs make no link
     able = distinct.where(F.col("n") >= params.min_inliers)
-    ties = common.written(candidate_ties(able, params), "media-ties")
-    together = common.written(components(ties), "media-together")
-    seen = common.written(verified(able.select("id", "points", "h", "w"), together, params), "media-links")
+    crowded = common.written(crowded_images(able, params), "media-crowded")
+    many = crowded.count()
+    if many:
+        listed = F.broadcast(crowded) if many <= BROADCAST_ROWS else crowded
+        links = [crowd_links(able.join(listed, "id"), many, params)]
+        quiet = not able.join(listed, "id", "left_anti").isEmpty()
+        rows = quiet_rows(able, listed, params) if quiet else None
+        shown = able.join(listed.withColumn("crowded", F.lit(True)), "id", "left").fillna(False, ["crowded"])
+    else:
+        links, quiet, rows, shown = [], True, table_rows(able, params), able.withColumn("crowded", F.lit(False))
+    if quiet:
+        ties = common.written(candidate_ties(able, params, rows), "media-ties")
+        together = common.written(components(ties), "media-together")
+        links.append(verified(shown.select("id", "points", "h", "w", "crowded"), together, params))
+    seen = common.written(reduce(DataFrame.unionByName, links), "media-links")
     both = seen.where("n_links > 0").groupBy(F.col("id").alias("a")).agg(F.sum("n_links").alias("n_links"))
     links = seen.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
     comps = components(links) if not links.isEmpty() else None

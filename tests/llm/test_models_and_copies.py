@@ -276,6 +276,27 @@ def test_copies_are_found_beside_strangers(spark, block):
     assert {r.id: (r.class_id, r.n_links) for r in got} == want
 
 
+@pytest.mark.parametrize("params", [media.MediaParams(), media.MediaParams(block=4), media.MediaParams(crowd=2)])
+def test_pairs_of_crowded_rows_are_found(spark, params):
+    """The corners that noisy copies share lie in rows that many strangers crowd, and the rows' next corners differ."""
+    rng = np.random.default_rng(9)
+    images = {}
+    for c in range(6):
+        whole = scene(900 + c)
+        for k in range(2):
+            images[1000 + 2 * c + k] = np.clip(whole + rng.normal(0, 10 + 2 * c, whole.shape), 0, 255).astype(np.uint8)
+        for k in range(16):
+            other = scene(100 * c + k)
+            y, x = 14 * (k // 4), 14 * (k % 4)
+            other[54 - y : 96 - y, 54 - x : 96 - x] = whole[y : y + 42, x : x + 42]
+            images[16 * c + k] = other
+    want = brute_copies(images, params)
+    assert sum(want[i][1] > 0 for i in images) > 12
+    rows = spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in images.items()], "id long, image binary")
+    got = media.copy_classes(rows, params).collect()
+    assert {r.id: (r.class_id, r.n_links) for r in got} == want
+
+
 def resized(image, factor):
     return np.clip(media._shrink(image.shape[0], factor) @ image.astype(np.float32) @ media._shrink(image.shape[1], factor).T, 0, 255).astype(np.uint8)
 
