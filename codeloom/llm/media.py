@@ -20,7 +20,7 @@ the square of the number of crowded images. A pair with a quiet image has no cro
 
 Verification is by geometric consensus: one similarity transform must carry enough matched corners of one image onto
 the other, and make up enough of the corners in the area that both show. Its first steps are done for many images at
-once, and the whole where they leave it possible. A task returns one row per image: its number of links and the
+once, on the corners whose folded descriptors are close enough, and the whole where they leave it possible. A task returns one row per image: its number of links and the
 smallest image it reaches. Links' connected components are the classes. So a pair needs no common smallest image to
 be compared: strangers with smaller ids in its rows cost it nothing.
 
@@ -88,8 +88,10 @@ TURNS = 30
 PLACE_BITS = 9
 #: Ids or heads up to which they are sent to the images instead of the images to them.
 BROADCAST_ROWS = 1_000_000
-#: Images whose corners are compared with an image's at once.
-TOGETHER = 32
+#: Pairs of corners compared at once, and those whose results are held.
+CELLS, HELD_CELLS = 65_536, 4_194_304
+#: Corners from which on it pays to learn which bits to fold.
+LEARN = 50_000
 #: One keypoint: x, y, scale, angle, descriptor.
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("a", "<f4"), ("d", "u1", TESTS // 8)])
 
@@ -461,8 +463,10 @@ def shared_rows(left: list[np.ndarray], right: list[np.ndarray], params: MediaPa
     def heads(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         rows = [np.unique(row_heads(p, params)) for p in part]
         words, owner = np.concatenate(rows), np.repeat(np.arange(len(part), dtype=np.int32), [len(w) for w in rows])
+        rows.clear()
         order = np.argsort(words, kind="stable")
-        return words[order], owner[order]
+        words = words[order]
+        return words, owner[order]
 
     words, owner = heads(right)
     for at in range(0, len(left), step):
@@ -484,14 +488,15 @@ def shared_rows(left: list[np.ndarray], right: list[np.ndarray], params: MediaPa
 
 @dataclass
 class Corners:
-    """The corners of many images, one after another: place, scale, angle and the two halves of the descriptors; room for the
-    distances of an image's corners to those of ``TOGETHER`` others."""
+    """The corners of many images, one after another: place, scale, angle, the two halves of the descriptors and their exclusive or
+    (``fold``): two folds differ in no more bits than the descriptors do. Bits are in the order of ``_fold_order``."""
 
     z: np.ndarray
     s: np.ndarray
     a: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    fold: np.ndarray
     start: np.ndarray
     size: np.ndarray
     room: tuple
@@ -500,33 +505,73 @@ class Corners:
     def of(points: list[np.ndarray]) -> Corners:
         size = np.array([len(p) for p in points])
         flat = np.concatenate(points)
-        low, high = _halves(flat).T
-        cells = int(size.max()) ** 2 * TOGETHER
-        room = tuple(np.empty(cells, t) for t in (np.uint64, np.uint8, np.uint8))
-        return Corners(flat["x"] + 1j * flat["y"], flat["s"].copy(), flat["a"].copy(), low.copy(), high.copy(), np.cumsum(size) - size, size, room)
+        low, high = (x.copy() for x in _halves(flat).T)
+        if len(flat) >= LEARN:
+            order = _fold_order(flat["d"])
+            for at in range(0, len(flat), LEARN):
+                bits = np.unpackbits(flat["d"][at : at + LEARN], axis=1)[:, order]
+                low[at : at + LEARN], high[at : at + LEARN] = np.ascontiguousarray(np.packbits(bits, axis=1)).view("<u8").T
+        room = np.empty(CELLS, np.uint64), np.empty(HELD_CELLS, np.uint8), np.empty(HELD_CELLS, bool)
+        z, s, a = flat["x"] + 1j * flat["y"], flat["s"].copy(), flat["a"].copy()
+        return Corners(z, s, a, low, high, low ^ high, np.cumsum(size) - size, size, room)
+
+
+def _fold_order(descriptors: np.ndarray) -> np.ndarray:
+    """An order of the bits in which the one of place k and the one half the bits on seldom differ together between two corners, so
+    that few unlike descriptors have like folds. Any order gives the same links."""
+    one, other = np.random.default_rng(3).integers(0, len(descriptors), (2, 20_000))
+    apart = np.unpackbits(descriptors[one] ^ descriptors[other], axis=1).astype(np.float32)
+    share = apart.mean(axis=0)
+    single = share[:, None] + share - 2 * (apart.T @ apart) / len(apart)  # how often one of two bits differs alone
+    np.fill_diagonal(single, -1)
+    pairs = []
+    for _ in range(TESTS // 2):  # first the bit whose best partner is the worst
+        best = single.max(axis=1)
+        best[[k for pair in pairs for k in pair]] = np.inf
+        bit = int(best.argmin())
+        partner = int(single[bit].argmax())
+        pairs.append((bit, partner))
+        single[[bit, partner]] = -1
+        single[:, [bit, partner]] = -1
+    return np.array(pairs).T.ravel()
 
 
 def _close(corners: Corners, image: int, others: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """Corners of ``image`` and of ``others`` at most ``most`` bits apart: (index of the one, index of the other, whose that is in
-    ``others``, bits)."""
-    begin, count = corners.start[image], corners.size[image]
-    low, high = corners.low[begin : begin + count, None], corners.high[begin : begin + count, None]
+    ``others``, bits). Folds are compared first."""
+    begin, count = corners.start[image], int(corners.size[image])
+    own = corners.fold[begin : begin + count, None]
     size = corners.size[others]
-    ends = np.append(0, np.cumsum(size))
     who = np.repeat(np.arange(len(others)), size)
-    place = np.arange(len(who)) + np.repeat(corners.start[others] - ends[:-1], size)
-    lows, highs, found = corners.low[place], corners.high[place], []
-    for at in range(0, len(others), TOGETHER):
-        lo, hi = ends[at], ends[min(at + TOGETHER, len(others))]
-        words, bits, more = (x[: count * (hi - lo)].reshape(count, hi - lo) for x in corners.room)
-        np.bitwise_count(np.bitwise_xor(low, lows[lo:hi], out=words), out=bits)
-        np.bitwise_count(np.bitwise_xor(high, highs[lo:hi], out=words), out=more)
-        np.add(bits, more, out=bits)
-        flat = np.flatnonzero(np.less_equal(bits, most, out=more.view(bool)))
-        i, j = np.divmod(flat, hi - lo)
-        found.append((i, j + lo, bits.ravel()[flat].astype(np.int64)))
-    i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
-    return i, place[j], who[j], apart
+    place = np.arange(len(who)) + np.repeat(corners.start[others] - (np.cumsum(size) - size), size)
+    folds, found = corners.fold[place], [(np.zeros(0, np.int64),) * 2]
+    words, bits, near = corners.room
+    for lo in range(0, len(place), CELLS):
+        part = folds[lo : lo + CELLS]
+        width = -(-len(part) // 8) * 8  # eight results are looked at as one
+        held = max(1, HELD_CELLS // width)
+        for top in range(0, count, held):
+            rows = min(held, count - top)
+            apart = bits[: rows * width].reshape(rows, width)
+            apart[:, len(part) :] = 255
+            step = max(1, CELLS // width)
+            for at in range(0, rows, step):
+                few = own[top + at : top + min(at + step, rows)]
+                differ = np.bitwise_xor(few, part, out=words[: len(few) * len(part)].reshape(len(few), len(part)))
+                np.bitwise_count(differ, out=apart[at : at + step, : len(part)])
+            eight = np.less_equal(bits[: rows * width], min(most, TESTS), out=near[: rows * width]).view(np.uint64)
+            some = np.flatnonzero(eight != 0)
+            k = np.flatnonzero(eight[some].view(bool))
+            flat = some[k >> 3] * 8 + (k & 7)
+            i = np.repeat(np.arange(rows), np.diff(np.searchsorted(flat, np.arange(rows + 1) * width)))
+            j = flat - i * width + lo
+            i += top
+            found.append((i, j))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    at, to = i + begin, place[j]
+    apart = np.bitwise_count(corners.low[at] ^ corners.low[to]) + np.bitwise_count(corners.high[at] ^ corners.high[to])
+    k = np.flatnonzero(apart <= most)
+    return i[k], to[k], who[j[k]], apart[k].astype(np.int64)
 
 
 def _maybe(corners: Corners, image: int, others: np.ndarray, params: MediaParams) -> np.ndarray:

@@ -297,6 +297,40 @@ def test_pairs_of_crowded_rows_are_found(spark, params):
     assert {r.id: (r.class_id, r.n_links) for r in got} == want
 
 
+@pytest.mark.parametrize("learn, cells, held", [(1 << 60, 65_536, 4_194_304), (1, 65_536, 4_194_304), (1, 256, 1024)])
+def test_close_corners_are_found_with_less_counting(monkeypatch, learn, cells, held):
+    """All corners within the distance, whatever the order of the bits and the size of the parts; about one word is counted for two corners."""
+    for name, value in (("LEARN", learn), ("CELLS", cells), ("HELD_CELLS", held)):
+        monkeypatch.setattr(media, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    drawn = [media.draw_vector(rng.normal(size=64)) for _ in range(40)]
+    drawn += [np.clip(drawn[k] + rng.normal(0, 4, drawn[k].shape), 0, 255).astype(np.uint8) for k in range(10)]
+    points = media.describe_batch(np.stack(drawn))
+    points.insert(7, points[0][:0])  # an image without corners
+    corners = media.Corners.of(points)
+    counted, compared, count = 0, 0, np.bitwise_count
+
+    def counting(words, *args, **kwargs):
+        nonlocal counted
+        counted += words.size
+        return count(words, *args, **kwargs)
+
+    for most in (20, 128):
+        for a in (0, 7, 12):
+            others = np.setdiff1d(np.arange(len(points)), [a])
+            want = set()
+            for who, b in enumerate(others):
+                apart = count(points[a]["d"][:, None] ^ points[b]["d"]).sum(axis=2, dtype=int)
+                compared += apart.size * (most == 20)
+                want |= {(i, int(corners.start[b]) + j, who, int(apart[i, j])) for i, j in np.argwhere(apart <= most).tolist()}
+            with monkeypatch.context() as patch:
+                if most == 20:
+                    patch.setattr(np, "bitwise_count", counting)
+                got = list(zip(*(x.tolist() for x in media._close(corners, a, others, most)), strict=True))
+            assert len(got) == len(want) and set(got) == want
+    assert compared and counted < 1.3 * compared
+
+
 def resized(image, factor):
     return np.clip(media._shrink(image.shape[0], factor) @ image.astype(np.float32) @ media._shrink(image.shape[1], factor).T, 0, 255).astype(np.uint8)
 
