@@ -623,8 +623,9 @@ def linked_pairs(ids: np.ndarray, points: list[np.ndarray], sizes: list[tuple],
     found = []
     if not len(l) or not len(r):
         return np.zeros((0, 2), np.int64)
-    corners = Corners.of(points)
+    corners = None
     for at, votes in shared_rows([points[i] for i in l], [points[i] for i in r], params):
+        corners = corners or Corners.of(points)  # not beside the rows while these are sorted
         for row, v in enumerate(votes):
             i = int(l[at + row])
             near = r[v >= (params.votes + 1) // 2]  # a row may stand for two meetings
