@@ -85,21 +85,21 @@ def python_gaps(functions: DataFrame, executed: DataFrame) -> DataFrame:
 
 
 def js_gaps(functions: DataFrame, records: DataFrame) -> DataFrame:
-    """The rule for JavaScript: a function's own count decides, by dotted name and then by its last part; without one, the lines after its first."""
+    """The rule for JavaScript: a function's own count decides, by dotted name and then by its last part; without one, the lines after its first.
+
+    Counts are joined by name: a file's counts in one map would be searched from end to end for each of its functions.
+    Lines are gathered per file as in ``python_gaps``.
+    """
     named = functions.where((F.col("line") > 0) & ~F.col("function").contains("(anonymous)"))
-    by_file = records.groupBy("path").agg(
-        F.collect_set(F.when(F.col("hits") > 0, F.col("line"))).alias("__lines"),
-        F.map_from_entries(
-            F.collect_set(F.when(F.col("function").isNotNull(), F.struct("function", "hits")))
-        ).alias("__hits"),
-    )
-    joined = named.join(by_file, "path", "left")
-    own = F.coalesce(
-        F.try_element_at("__hits", F.col("function")), F.try_element_at("__hits", F.element_at(F.split("function", r"\."), -1))
-    )
+    lines = records.where("line IS NOT NULL AND hits > 0").groupBy("path").agg(F.collect_set("line").alias("__lines"))
+    counts = records.where("function IS NOT NULL").groupBy("path", "function").agg(F.max("hits").alias("__hits"))
+    joined = named.withColumn("__leaf", F.element_at(F.split("function", r"\."), -1)).join(counts, ["path", "function"], "left")
+    last = counts.select("path", F.col("function").alias("__leaf"), F.col("__hits").alias("__leaf_hits"))
+    joined = joined.join(last, ["path", "__leaf"], "left").join(lines, "path", "left")
+    own = F.coalesce("__hits", "__leaf_hits")
     touched = F.exists("__lines", lambda x: (x >= F.col("line") + 1) & (x <= F.col("end_line")))
     covered = F.when(own.isNotNull(), own > 0).otherwise(F.coalesce(touched, F.lit(False)))
-    return joined.where(~covered).drop("__lines", "__hits")
+    return joined.where(~covered).select(*functions.columns)
 
 
 def unique_hits(records: DataFrame) -> DataFrame:

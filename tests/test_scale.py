@@ -5,7 +5,7 @@ import ast
 import pytest
 
 from codeloom.jsast import scan
-from codeloom.operators import pyast
+from codeloom.operators import coverage, pyast
 from codeloom.plans import code
 from codeloom.sources import tables
 
@@ -52,3 +52,14 @@ def test_python_walk_misses_nothing():
         tree = ast.parse(f.read())
     kinds = lambda nodes: sorted(type(n).__name__ for n in nodes if not isinstance(n, ast.expr_context))
     assert kinds(pyast.everything(tree)) == kinds(ast.walk(tree))
+
+
+def test_counts_of_functions_are_joined_not_searched(spark):
+    """A map of a file's counts was searched for each of its functions, and two reports of one function made it fail."""
+    found = spark.createDataFrame([("a.js", f"K{i % 3}.f{i}", 1, 2) for i in range(90)], "path string, function string, line int, end_line int")
+    rows = [(r, "a.js", None, int(i % 5 > r), name) for i in range(60) for r, name in ((0, f"K{i % 3}.f{i}"), (3, f"f{i}"), (4, f"f{i}"))]
+    rows += [(0, "a.js", 2, 1, None)]
+    records = coverage.unique_hits(spark.createDataFrame(rows, "report int, path string, line int, hits int, function string"))
+    got = coverage.js_gaps(found, records)
+    assert "map" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.function for r in got.collect()) == sorted(f"K{i % 3}.f{i}" for i in range(60) if i % 5 == 0)
