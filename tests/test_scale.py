@@ -1,11 +1,13 @@
 """Steps whose cost must follow the rows: what the small tables cannot show by time is shown by the plan or by counting."""
 
 import ast
+import random
 
+import numpy as np
 import pytest
 
 from codeloom.jsast import scan
-from codeloom.operators import coverage, pyast
+from codeloom.operators import coverage, plans, pyast
 from codeloom.plans import code
 from codeloom.sources import tables
 
@@ -63,3 +65,42 @@ def test_counts_of_functions_are_joined_not_searched(spark):
     got = coverage.js_gaps(found, records)
     assert "map" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.function for r in got.collect()) == sorted(f"K{i % 3}.f{i}" for i in range(60) if i % 5 == 0)
+
+
+def first_fit(edges):
+    before, color = {}, {}
+    for a, b in edges:
+        before.setdefault(b, []).append(a)
+    for n in sorted({x for e in edges for x in e}):
+        used, color[n] = {color[m] for m in before.get(n, ())}, 1
+        while color[n] in used:
+            color[n] += 1
+    return {b: color[b] for b in before}
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1000])
+def test_first_fit_in_a_stream(size):
+    """Batches of any size give the plain loop's colors: chains, a node with very many neighbours, random graphs."""
+    rng = random.Random(size)
+    graphs = [[(i, i + 1) for i in range(99)], [(i, 99) for i in range(99)] + [(3, 5), (5, 99), (99, 100)]]
+    graphs += [[tuple(sorted(rng.sample(range(n), 2))) for _ in range(n * k)] for n in (5, 40, 150) for k in (1, 4, 12)]
+    for edges in graphs:
+        edges, fit, got = sorted(edges, key=lambda e: e[1]), plans.FirstFit(), {}
+        a, b = np.array(edges, np.int64).T
+        for i in range(0, len(edges), size):
+            for found in fit.add(a[i : i + size], b[i : i + size]):
+                got |= dict(zip(*(x.tolist() for x in found), strict=True))
+        assert got | dict(zip(*(x.tolist() for x in fit.close()), strict=True)) == first_fit(edges)
+
+
+def test_no_component_stands_in_one_group(spark):
+    """One file ties all changes: what holds them keeps numbers and colors, not a component's edges."""
+    rows = [(i, str(i), 1, "c", ["one", f"f{i % 7}"], [f"k:{i % 3}"], None, 1) for i in range(60)]
+    changes = spark.createDataFrame(rows, plans.CHANGE.replace(", description string", ""))
+    colored = plans.groups(changes)
+    assert "FlatMapGroupsInPandas" not in colored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.plan_order: r.color for r in colored.collect()} == {i: i + 1 for i in range(60)}
+    wanted = plans.openers(colored).where("plan_order > 50")
+    assert {(r.a, r.b) for r in plans.conflicts(changes, wanted).collect()} == {(a, b) for b in range(51, 60) for a in range(b)}
+    sizes = {r.color: (r.members, r.files) for r in plans.group_sizes(changes, colored).collect()}
+    assert sizes == {i + 1: (1, 2) for i in range(60)}
