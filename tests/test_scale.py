@@ -1,14 +1,16 @@
 """Steps whose cost must follow the rows: what the small tables cannot show by time is shown by the plan or by counting."""
 
 import ast
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from codeloom.jsast import scan
-from codeloom.operators import coverage, plans, pyast
-from codeloom.plans import code
+from codeloom.operators import coverage, duplicates, plans, pyast
+from codeloom.plans import code, forms
 from codeloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +106,34 @@ def test_no_component_stands_in_one_group(spark):
     assert {(r.a, r.b) for r in plans.conflicts(changes, wanted).collect()} == {(a, b) for b in range(51, 60) for a in range(b)}
     sizes = {r.color: (r.members, r.files) for r in plans.group_sizes(changes, colored).collect()}
     assert sizes == {i + 1: (1, 2) for i in range(60)}
+
+
+def test_all_near_pairs_as_by_brute_force(spark):
+    """Repeated words, single words, equal words in other lines and texts at the threshold: no pair is lost, none is turned round."""
+    rng = random.Random(4)
+    texts = ["x", "y", "p q", "a\nb c", "a b\nc", "w " * 40 + "end", "w " * 41 + "end"]
+    for _ in range(25):
+        words = [f"w{min(int(rng.expovariate(0.2)), 30)}" for _ in range(rng.randint(8, 60))]
+        texts.append(" ".join(words))
+        for n in (1, 1, 2, 3, 5):
+            at = rng.sample(range(len(words)), n)
+            texts.append(" ".join(f"z{rng.randint(0, 9)}" if i in at else w for i, w in enumerate(words)))
+    texts = sorted(set(texts))
+    rows = [(f"f{i:03d}", i, x, hashlib.sha1(x.encode()).hexdigest()) for i, x in enumerate(texts)]
+
+    def dice(p, q):
+        p, q = p.split(), q.split()
+        x, y = (Counter(zip(t, t[1:])) for t in (p, q))
+        return float(p == q) if len(p) == len(q) == 1 else 2 * (x & y).total() / (len(p) + len(q) - 2)
+
+    want = {(a[1], b[1]): dice(a[2], b[2]) for a in rows for b in rows if a[3] < b[3] and dice(a[2], b[2]) >= 0.85}
+    assert len(want) > 60
+    got = duplicates.similar_pairs(spark.createDataFrame(rows, "path string, line int, block string, h string").repartition(3))
+    assert {(r.a_line, r.b_line): r.ratio for r in got.collect()} == want
+    # texts meet as numbers, and none is carried with its tokens and bigrams
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("rows", [lambda s, d: forms._named(s, d), forms.plan_entries])
+def test_costly_expressions_are_dealt_over_the_cores(spark, rows):
+    assert rows(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
