@@ -102,13 +102,15 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
 def merge_clusters(members: DataFrame) -> DataFrame:
     """members(cluster, path, line) of any number of passes -> cluster, path, line with overlapping clusters joined.
 
-    Clusters are tied through the smallest cluster at each place they share; clusters of one place go.
+    Clusters are tied through the smallest cluster at each place they share; clusters of one place go. Members and
+    joined members are read several times, so they are written: what made them runs once.
     """
-    keyed = members.select(F.col("cluster").cast("string").alias("cluster"), "path", "line").distinct()
+    keyed = written(members.select(F.col("cluster").cast("string").alias("cluster"), "path", "line").distinct(), "cluster-members")
     ties = keyed.join(
         keyed.groupBy("path", "line").agg(F.min("cluster").alias("b")), ["path", "line"]
     ).select(F.col("cluster").alias("a"), "b").distinct()
     joined = keyed.join(components(ties), F.col("cluster") == F.col("node")).select(F.col("component").alias("cluster"), "path", "line").distinct()
+    joined = written(joined, "cluster-joined")
     large = joined.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return joined.join(large.select("cluster"), "cluster")
 

@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.jsast import scan
-from codeloom.operators import coverage, duplicates, plans, pyast
+from codeloom.operators import coverage, duplicates, graph, plans, pyast
 from codeloom.plans import code, forms
 from codeloom.sources import tables
 
@@ -137,3 +138,16 @@ def test_all_near_pairs_as_by_brute_force(spark):
 @pytest.mark.parametrize("rows", [lambda s, d: forms._named(s, d), forms.plan_entries])
 def test_costly_expressions_are_dealt_over_the_cores(spark, rows):
     assert rows(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_members_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame([("x", "a", 1), ("x", "b", 1), ("y", "b", 1), ("y", "c", 9)], "cluster string, path string, line int")
+    graph.merge_clusters(rows.withColumn("cluster", seen("cluster"))).collect()
+    assert made.value == 4
